@@ -35,13 +35,15 @@ def register(key: str, sql: str | None = None):
 
 
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
-    """Round every floating column (the oracle rounds the same columns the same way)."""
+    """Round every floating column (the oracle rounds the same columns the same way;
+    adding 0.0 maps -0.0 to 0.0)."""
     return df.select(*[
-        F.round(F.col(f.name), digits).alias(f.name)
+        (F.round(F.col(f.name), digits) + F.lit(0.0)).alias(f.name)
         if isinstance(f.dataType, (DoubleType, FloatType)) else F.col(f.name)
         for f in df.schema.fields
     ])
 
 
 def sql_round(cols: list[str], digits: int = 6) -> str:
-    return ", ".join(f"round({c}, {digits}) AS {c}" for c in cols)
+    # "+ 0.0" turns a rounded -0.0 into 0.0 on both sides
+    return ", ".join(f"round({c}, {digits}) + 0.0 AS {c}" for c in cols)

@@ -86,7 +86,7 @@ _FWD_SQL = "lead(close, 1) OVER (PARTITION BY symbol ORDER BY date) / close - 1.
 
 
 @register("lbl_01_label", O.with_bars(O.BARS_FLAG, body=f"""
-SELECT symbol, date, round(fwd, 6) AS fwd_return,
+SELECT symbol, date, round(fwd, 6) + 0.0 AS fwd_return,
        CAST(CASE WHEN fwd > 0.02 THEN 4 WHEN fwd > 0.005 THEN 3 WHEN fwd < -0.02 THEN 0
             WHEN fwd < -0.005 THEN 1 ELSE 2 END AS INTEGER) AS label
 FROM (SELECT symbol, date, {_FWD_SQL} AS fwd FROM bars)"""))
@@ -95,7 +95,7 @@ def lbl_01(spark, sf):
 
 
 @register("lbl_02_forecast_class", O.with_bars(O.BARS_FLAG, body=f"""
-SELECT symbol, date, round(fwd, 6) AS fwd_return,
+SELECT symbol, date, round(fwd, 6) + 0.0 AS fwd_return,
        CAST(CASE WHEN fwd > 0.02 THEN 4 WHEN fwd > 0.005 THEN 3 WHEN fwd > -0.005 THEN 2
             WHEN fwd > -0.02 THEN 1 ELSE 0 END AS INTEGER) AS forecast_class
 FROM (SELECT symbol, date, {_FWD_SQL} AS fwd FROM bars) WHERE fwd IS NOT NULL"""))
@@ -128,7 +128,7 @@ def prj_01(spark, sf):
 
 
 @register("prj_02_drop_last_row", O.with_bars(O.BARS_FLAG, body=f"""
-SELECT symbol, date, round(close, 6) AS close FROM (
+SELECT symbol, date, round(close, 6) + 0.0 AS close FROM (
   SELECT symbol, date, close, lead(close) OVER (PARTITION BY symbol ORDER BY date) AS nxt FROM bars)
 WHERE nxt IS NOT NULL"""))
 def prj_02(spark, sf):
