@@ -19,6 +19,13 @@ bars AS (
          arg_max({PRICE}, {KEY}) AS close, CAST(sum(l_quantity) AS DOUBLE) AS volume
   FROM lineitem GROUP BY 1, 2)"""
 
+BARS_ORDERDATE = f"""
+bars2 AS (
+  SELECT l_returnflag || l_linestatus AS symbol, CAST(o_orderdate AS DATE) AS date,
+         arg_min({PRICE}, {KEY}) AS open, max({PRICE}) AS high, min({PRICE}) AS low,
+         arg_max({PRICE}, {KEY}) AS close, CAST(sum(l_quantity) AS DOUBLE) AS volume
+  FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1, 2)"""
+
 BARS_SUPPLIER = f"""
 bars AS (
   SELECT CAST(l_suppkey AS VARCHAR) AS symbol, CAST(l_shipdate AS DATE) AS date,

@@ -44,6 +44,17 @@ def bars_flag(spark: SparkSession, sf_dir: str) -> DataFrame:
                            _price(), F.col("l_quantity"), [F.col(c) for c in TIEBREAK])
 
 
+def bars_flag_orderdate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A second bar batch over the same symbols, dated by the order date
+    (lineitem joined to orders): shares many (symbol, date) keys with
+    ``bars_flag`` but has different prices, as a re-fetched batch would."""
+    li = _lineitem(spark, sf_dir)
+    od = read_table(spark, sf_dir, "orders", ["o_orderkey", "o_orderdate"])
+    j = li.join(od, li.l_orderkey == od.o_orderkey)
+    return bars_from_ticks(j, F.concat("l_returnflag", "l_linestatus"), F.col("o_orderdate"),
+                           _price(), F.col("l_quantity"), [F.col(c) for c in TIEBREAK])
+
+
 def bars_supplier(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = read_table(spark, sf_dir, "lineitem", sorted(set(TIEBREAK + ["l_shipdate"])))
     return bars_from_ticks(li, F.col("l_suppkey").cast("string"), F.col("l_shipdate"),
