@@ -239,3 +239,71 @@ def with_bars(bars: str, *ctes: str, body: str) -> str:
     """Assemble ``WITH RECURSIVE <bars>, <ctes...> <body>``."""
     parts = [bars.strip()] + [c.strip() for c in ctes]
     return "WITH RECURSIVE " + ",\n".join(parts) + "\n" + body
+
+
+# ---- forecast slot, serving predictions, headline fetches -------------------------
+
+_W64 = "OVER (PARTITION BY symbol ORDER BY date ROWS BETWEEN 63 PRECEDING AND CURRENT ROW)"
+FORECAST = f"""
+fc0 AS (
+  SELECT symbol, date, open, high, low, close, volume,
+         row_number() OVER (PARTITION BY symbol ORDER BY date) - 1 AS i,
+         close / lag(close) OVER (PARTITION BY symbol ORDER BY date) - 1.0 AS ret
+  FROM bars),
+fc1 AS (
+  SELECT *, CASE WHEN ret > 0.02 THEN 4 WHEN ret > 0.005 THEN 3 WHEN ret > -0.005 THEN 2
+                 WHEN ret > -0.02 THEN 1 ELSE 0 END AS cls FROM fc0),
+fc AS (
+  SELECT symbol, date, open, high, low, close, volume, i,
+         CASE WHEN i >= 64 THEN [{", ".join(f"sum(CASE WHEN ret IS NOT NULL AND cls = {k} THEN 1 ELSE 0 END) {_W64} / 64.0" for k in range(5))}]
+              ELSE [0.2, 0.2, 0.2, 0.2, 0.2] END AS probs
+  FROM fc1)"""
+
+SIGNAL_NAMES_SQL = "['Strong Sell', 'Sell', 'Hold', 'Buy', 'Strong Buy']"
+
+PREDICTIONS = FORECAST + f""",
+latest AS (
+  SELECT * FROM fc WHERE (symbol, date) IN (SELECT (symbol, max(date)) FROM fc GROUP BY symbol)),
+pred AS (
+  SELECT symbol || '.NS' AS symbol, date, probs,
+         CAST(list_position(probs, list_max(probs)) - 1 AS INTEGER) AS signal_class,
+         {SIGNAL_NAMES_SQL}[list_position(probs, list_max(probs))] AS signal,
+         round(probs[list_position(probs, list_max(probs))], 4) AS confidence
+  FROM latest)"""
+
+FETCHED = SCORED + """,
+fetched AS (
+  SELECT symbol, date, headline, position, score, confidence FROM (
+    SELECT *, row_number() OVER (PARTITION BY symbol, date ORDER BY position) AS rn FROM (
+      SELECT symbol, date, headline, min(position) AS position, arg_min(score, position) AS score,
+             arg_min(confidence, position) AS confidence
+      FROM scored GROUP BY symbol, date, headline))
+  WHERE rn <= 20)"""
+
+DAILY_SENTIMENT = FETCHED + """,
+day_agg AS (
+  SELECT symbol, date, avg(score) AS s, avg(confidence) AS c, CAST(count(*) AS DOUBLE) AS n
+  FROM fetched GROUP BY symbol, date),
+daily0 AS (
+  SELECT d.symbol, d.date,
+         CASE WHEN DATE '2001-11-04' - d.date <= 90 AND a.n IS NOT NULL THEN a.s ELSE 0.0 END AS sentiment_score,
+         CASE WHEN DATE '2001-11-04' - d.date <= 90 AND a.n IS NOT NULL THEN a.c ELSE 0.5 END AS sentiment_confidence,
+         CASE WHEN DATE '2001-11-04' - d.date <= 90 AND a.n IS NOT NULL THEN a.n ELSE 0.0 END AS news_count_7d
+  FROM (SELECT DISTINCT symbol, date FROM bars) d LEFT JOIN day_agg a ON a.symbol = d.symbol AND a.date = d.date),
+daily AS (
+  SELECT *, coalesce(sentiment_score - lag(sentiment_score, 3) OVER (PARTITION BY symbol ORDER BY date), 0.0)
+         AS sentiment_trend_3d FROM daily0)"""
+
+LIVE_SENTIMENT = FETCHED + """,
+as_of_days AS (SELECT symbol, max(date) AS date FROM bars GROUP BY symbol),
+pool AS (
+  SELECT a.symbol, a.date AS as_of, f.headline, min(f.position) AS position,
+         arg_min(f.score, f.position) AS score, arg_min(f.confidence, f.position) AS confidence
+  FROM as_of_days a JOIN fetched f ON f.symbol = a.symbol AND f.date BETWEEN a.date - INTERVAL 6 DAY AND a.date
+  GROUP BY a.symbol, a.date, f.headline),
+live AS (
+  SELECT a.symbol, a.date, coalesce(p.s, 0.0) AS sentiment_score, coalesce(p.c, 0.5) AS sentiment_confidence,
+         coalesce(p.n, 0.0) AS news_count_7d, 0.0 AS sentiment_trend_3d
+  FROM as_of_days a LEFT JOIN (SELECT symbol, as_of, avg(score) AS s, avg(confidence) AS c,
+                                CAST(count(*) AS DOUBLE) AS n FROM pool GROUP BY symbol, as_of) p
+    ON p.symbol = a.symbol AND p.as_of = a.date)"""
