@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import q_features, q_quality_io, q_serving  # noqa: F401
+from . import q_features, q_learn, q_models, q_quality_io, q_serving  # noqa: F401
 from .catalog import REGISTRY
 
 
