@@ -17,7 +17,7 @@ import math
 from pyspark.sql import DataFrame
 
 from .ewm import Ewm, ewm_columns
-from .windows import IDX, SYMBOL, DATE
+from .windows import IDX, SYMBOL, DATE, by_series
 
 # Lookbacks and output column order of the indicator table.
 RETURN_LAGS = [1, 3, 5, 10, 20]
@@ -196,7 +196,7 @@ def indicator_exprs(by: str = SYMBOL, order: str = DATE) -> dict[str, str]:
 
 def compute_indicators(bars: DataFrame, by: str = SYMBOL, order: str = DATE) -> DataFrame:
     """Bars -> bars + ``_i`` + the 60 indicator columns (helper columns dropped)."""
-    df = base_columns(bars, by, order)
+    df = base_columns(by_series(bars, by), by, order)
     df = ewm_stage_columns(df, by, order)
     exprs = indicator_exprs(by, order)
     keep = [f"`{c}`" for c in bars.columns] + [IDX]

@@ -41,6 +41,17 @@ def rolled(x: Column | str, n: int, agg=F.avg, by: str = SYMBOL, order: str = DA
     return F.when(F.count(x).over(w) == n, agg(x).over(w))
 
 
+def by_series(df, by: str = SYMBOL):
+    """Hash-partition by the series key into ``spark.sql.shuffle.partitions`` parts.
+
+    This is the one exchange every series window needs anyway; stating the count
+    keeps adaptive execution from merging a small-in-bytes but CPU-heavy window
+    stage (dozens of window functions per row) into a single task. On a cluster
+    the session's shuffle partition count is sized to the data."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    return df.repartition(n, by)
+
+
 def div(a: Column, b: Column) -> Column:
     """Division that yields null for a zero or null divisor."""
     return F.try_divide(a, b)
