@@ -130,8 +130,9 @@ def ewm_columns(df: DataFrame, series: list[Ewm], by: str = SYMBOL, order: str =
     * rma: weights r^(t-j) over observed values; null until n values are observed;
       a null input row carries the previous mean.
     * ema: EMA_t = alpha x_t + r EMA_(t-1) from the n-th observed value, seeded with
-      the mean of the first n observed values (the input may start with nulls);
-      equal to alpha * N(y) with y = seed/alpha at the seed row and 0 before.
+      the mean of the first n observed values; equal to alpha * N(y) with y =
+      seed/alpha at the seed row and 0 before. The input may start with nulls but
+      must have none after its first value (true for close and for MACD).
     """
     w = f"PARTITION BY {by} ORDER BY {order}"
     run = f"{w} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW"

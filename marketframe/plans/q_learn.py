@@ -18,6 +18,7 @@ from ..operators.stack import stack_fit_predict
 from ..session import cut_lineage
 from ..sources import fixtures as fx
 from ..sources import io
+from . import oracle as O
 from .catalog import register
 
 SENT = ["sentiment_score", "sentiment_confidence", "news_count_7d", "sentiment_trend_3d"]
@@ -120,3 +121,40 @@ def ml_11(spark, sf):
     path = io.scratch_path(spark, "experiments")
     log.write.mode("append").parquet(path)
     return spark.read.parquet(path)
+
+
+# ---- balancing (BAL-01) ------------------------------------------------------------------------
+
+def _scaled_train(spark, sf) -> DataFrame:
+    """Train-split rows z-scored with per-symbol train statistics (population std, 0 -> 1)."""
+    train, _ = _split(spark, sf)
+    stats = train.groupBy("symbol").agg(*[x for c in MODEL_COLS for x in (
+        F.avg(c).alias(f"{c}__m"), F.stddev_pop(c).alias(f"{c}__s"))])
+    j = train.select("symbol", "date", "label", *MODEL_COLS).join(stats, "symbol")
+    return j.select("symbol", "date", "label", *[
+        ((F.col(c) - F.col(f"{c}__m")) / F.when(F.col(f"{c}__s") == 0, 1.0).otherwise(F.col(f"{c}__s"))).alias(c)
+        for c in MODEL_COLS])
+
+
+@register("bal_01_smote_class_counts", O.with_bars(O.BARS_FLAG, O.PROCESSED, """
+pos AS (
+  SELECT symbol, label, row_number() OVER (PARTITION BY symbol ORDER BY date) - 1 AS pi,
+         count(*) OVER (PARTITION BY symbol) AS pn FROM processed),
+counts AS (SELECT symbol, label, count(*) AS n_c FROM pos WHERE pi < floor(pn * CAST(0.8 AS DOUBLE)) GROUP BY ALL),
+plan AS (
+  SELECT *, max(n_c) OVER (PARTITION BY symbol) AS n_max, min(n_c) OVER (PARTITION BY symbol) AS n_min,
+         max(label) OVER (PARTITION BY symbol) AS max_label, count(*) OVER (PARTITION BY symbol) AS n_classes FROM counts)""",
+    body="""
+SELECT symbol, label, CASE WHEN least(5, n_min - 1) >= 1 AND n_classes = max_label + 1 THEN n_max ELSE n_c END AS n_after
+FROM plan"""))
+def bal_01_counts(spark, sf):
+    from ..operators.balance import smote
+    out = smote(_scaled_train(spark, sf), MODEL_COLS, ["symbol"])
+    return out.groupBy("symbol", "label").agg(F.count("*").alias("n_after"))
+
+
+@register("bal_01_smote_rows")
+def bal_01_rows(spark, sf):
+    from ..operators.balance import smote
+    out = smote(_scaled_train(spark, sf), MODEL_COLS, ["symbol"])
+    return out.where("synthetic").select("symbol", "label", *MODEL_COLS[:5])
