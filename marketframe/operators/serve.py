@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from .. import functions as fn
 from ..config import DEFAULT
 from .labels import forecast_class
-from .windows import SYMBOL, DATE
+from .windows import SYMBOL, DATE, safe_corr
 
 UNIFORM = [0.2] * 5
 
@@ -100,7 +100,7 @@ def label_correlation_importance(processed: DataFrame, features: list[str], n: i
     mean |SHAP|): unpivot, one grouped ``corr`` per (symbol, feature), rank <= n."""
     long = processed.select(by, F.col("label").cast("double").alias("_y"), F.explode(F.array(*[
         F.struct(F.lit(f).alias("feature"), F.col(f).cast("double").alias("v")) for f in features])).alias("_e"))
-    c = long.groupBy(by, F.col("_e.feature").alias("feature")).agg(F.corr("_e.v", "_y").alias("corr"))
+    c = long.groupBy(by, F.col("_e.feature").alias("feature")).agg(safe_corr("_e.v", "_y").alias("corr"))
     c = c.where(F.col("corr").isNotNull() & ~F.isnan("corr"))
     w = Window.partitionBy(by).orderBy(F.abs("corr").desc(), F.col("feature").asc())
     return (c.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)

@@ -52,6 +52,13 @@ def by_series(df, by: str = SYMBOL):
     return df.repartition(n, by)
 
 
+def safe_corr(x: Column | str, y: Column | str) -> Column:
+    """Pearson correlation that is null (not an error) when either side is constant."""
+    x = F.col(x) if isinstance(x, str) else x
+    y = F.col(y) if isinstance(y, str) else y
+    return F.try_divide(F.covar_samp(x, y), F.stddev_samp(x) * F.stddev_samp(y))
+
+
 def div(a: Column, b: Column) -> Column:
     """Division that yields null for a zero or null divisor."""
     return F.try_divide(a, b)

@@ -146,7 +146,8 @@ _PAIRS = [(a, b) for i, a in enumerate(CORR_FEATURES) for b in CORR_FEATURES[i +
           + " UNION ALL ".join(f"SELECT symbol, '{a}' AS feature_a, '{b}' AS feature_b, corr({a}, {b}) AS c FROM processed GROUP BY symbol" for a, b in _PAIRS) + ")"))
 def agg_03(spark, sf):
     feat = engineer_features(_flag(spark, sf))
-    wide = feat.groupBy("symbol").agg(*[F.corr(a, b).alias(f"{a}__{b}") for a, b in _PAIRS])
+    from ..operators.windows import safe_corr
+    wide = feat.groupBy("symbol").agg(*[safe_corr(a, b).alias(f"{a}__{b}") for a, b in _PAIRS])
     pairs = F.array(*[F.struct(F.lit(a).alias("feature_a"), F.lit(b).alias("feature_b"),
                                F.col(f"{a}__{b}").alias("corr")) for a, b in _PAIRS])
     return rounded(wide.select("symbol", F.explode(pairs).alias("_p")).select("symbol", "_p.*"))
