@@ -112,16 +112,23 @@ def ewm_sums(df: DataFrame, sums: list[Sum], by: str = SYMBOL, order: str = DATE
 class Ewm:
     """An EWM series over SQL expression ``x``: ``kind`` is 'rma' (adjusted mean,
     alpha = 1/n) or 'ema' (alpha = 2/(n+1), unadjusted, seeded with the mean of
-    the first n values)."""
+    the first n values). ``valid`` is the SQL test for "x is observed"; series that
+    pass the same test share their observation count and (per alpha) their
+    denominator sum."""
     name: str
     x: str
     n: int
     kind: str
+    valid: str | None = None
 
     @property
     def alpha(self) -> float:
         return 1.0 / self.n if self.kind == "rma" else 2.0 / (self.n + 1)
 
+    @property
+    def observed(self) -> str:
+        return self.valid or f"({self.x}) IS NOT NULL"
+
 
 def ewm_columns(df: DataFrame, series: list[Ewm], by: str = SYMBOL, order: str = DATE,
                 idx: str = IDX) -> DataFrame:
@@ -136,29 +143,39 @@ def ewm_columns(df: DataFrame, series: list[Ewm], by: str = SYMBOL, order: str =
     """
     w = f"PARTITION BY {by} ORDER BY {order}"
     run = f"{w} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW"
+    seen_of: dict[str, str] = {}
+    den_of: dict[tuple[str, float], str] = {}
     pre = []
     sums: list[Sum] = []
     for e in series:
-        pre.append(f"count({e.x}) OVER ({run}) AS _seen_{e.name}")
+        if e.observed not in seen_of:
+            seen_of[e.observed] = f"_seen{len(seen_of)}"
+            pre.append(f"sum(CASE WHEN {e.observed} THEN 1 ELSE 0 END) OVER ({run}) AS {seen_of[e.observed]}")
+    for e in series:
+        seen = seen_of[e.observed]
         if e.kind == "rma":
-            sums.append(Sum(f"_num_{e.name}", e.x, e.alpha))
-            sums.append(Sum(f"_den_{e.name}", f"CASE WHEN ({e.x}) IS NOT NULL THEN 1D END", e.alpha))
+            sums.append(Sum(f"_num_{e.name}", f"CASE WHEN {e.observed} THEN {e.x} END", e.alpha))
+            key = (e.observed, e.alpha)
+            if key not in den_of:
+                den_of[key] = f"_den{len(den_of)}"
+                sums.append(Sum(den_of[key], f"CASE WHEN {e.observed} THEN 1D END", e.alpha))
         else:
             pre.append(f"avg({e.x}) OVER ({w} ROWS BETWEEN {e.n - 1} PRECEDING AND CURRENT ROW) "
                        f"AS _seed_{e.name}")
-            y = (f"CASE WHEN ({e.x}) IS NULL THEN NULL WHEN _seen_{e.name} = {e.n} "
-                 f"THEN _seed_{e.name} / {e.alpha!r}D WHEN _seen_{e.name} > {e.n} THEN {e.x} ELSE 0D END")
+            y = (f"CASE WHEN NOT ({e.observed}) THEN NULL WHEN {seen} = {e.n} "
+                 f"THEN _seed_{e.name} / {e.alpha!r}D WHEN {seen} > {e.n} THEN {e.x} ELSE 0D END")
             sums.append(Sum(f"_num_{e.name}", y, e.alpha))
     df = df.selectExpr("*", *pre)
     df = ewm_sums(df, sums, by, order, idx)
     outs = []
     for e in series:
+        seen = seen_of[e.observed]
         if e.kind == "rma":
-            outs.append(f"CASE WHEN _seen_{e.name} >= {e.n} THEN _num_{e.name} / _den_{e.name} END AS {e.name}")
+            den = den_of[(e.observed, e.alpha)]
+            outs.append(f"CASE WHEN {seen} >= {e.n} THEN _num_{e.name} / {den} END AS {e.name}")
         else:
-            outs.append(f"CASE WHEN _seen_{e.name} >= {e.n} THEN {e.alpha!r}D * _num_{e.name} END AS {e.name}")
-    helpers = {s.name for s in sums} | {f"_seen_{e.name}" for e in series} \
-        | {f"_seed_{e.name}" for e in series}
+            outs.append(f"CASE WHEN {seen} >= {e.n} THEN {e.alpha!r}D * _num_{e.name} END AS {e.name}")
+    helpers = {s.name for s in sums} | set(seen_of.values()) | {f"_seed_{e.name}" for e in series}
     return df.selectExpr(*_keep(df, helpers), *outs)
 
 

@@ -110,10 +110,13 @@ def ewm_stage_columns(df: DataFrame, by: str = SYMBOL, order: str = DATE) -> Dat
     signal and ADX, which smooth first-batch outputs."""
     kw = dict(by=by, order=order)
     first = [Ewm(f"_ema{n}", "close", n, "ema") for n in EMA_LENGTHS + [12, 26]]
+    # gain and loss are observed exactly where the price change is; +DM and -DM
+    # exactly where the previous high/low exist: those pairs share counts and weights
     for n in (7, 14):
-        first += [Ewm(f"_ag{n}", "_gain", n, "rma"), Ewm(f"_al{n}", "_loss", n, "rma")]
-    first += [Ewm("_atr", "_tr", 14, "rma"), Ewm("_pdm14", "_pdm", 14, "rma"),
-              Ewm("_ndm14", "_ndm", 14, "rma")]
+        first += [Ewm(f"_ag{n}", "_gain", n, "rma", "_diff IS NOT NULL"),
+                  Ewm(f"_al{n}", "_loss", n, "rma", "_diff IS NOT NULL")]
+    first += [Ewm("_atr", "_tr", 14, "rma"), Ewm("_pdm14", "_pdm", 14, "rma", "_up IS NOT NULL"),
+              Ewm("_ndm14", "_ndm", 14, "rma", "_up IS NOT NULL")]
     df = ewm_columns(df, first, **kw)
     dmp, dmn = "(try_divide(100D, _atr) * _pdm14)", "(try_divide(100D, _atr) * _ndm14)"
     df = df.selectExpr("*", "_ema12 - _ema26 AS _macd",

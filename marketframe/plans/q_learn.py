@@ -15,7 +15,7 @@ from ..operators.learners import (assemble, boosted_learner, experiment_log, fit
 from ..operators.metrics import classification_metrics
 from ..operators.splits import chrono_split, inner_split, sequences, time_series_folds
 from ..operators.stack import stack_fit_predict
-from ..session import cut_lineage
+from ..session import cut_lineage, shared_table
 from ..sources import fixtures as fx
 from ..sources import io
 from . import oracle as O
@@ -32,14 +32,18 @@ SMALL = {"rf": {"num_trees": 10, "max_depth": 5}, "gbt": {"max_iter": 5, "max_de
 
 def training_table(spark, sf) -> DataFrame:
     """Processed features + forecast-slot probabilities + sequence windows + split,
-    checkpointed once (it feeds several fits)."""
+    checkpointed once per application (it feeds several fits and queries)."""
+    return shared_table(spark, f"training_flag:{sf}", lambda: _training_table(spark, sf))
+
+
+def _training_table(spark, sf) -> DataFrame:
+    from .q_models import _processed
     bars = fx.bars_flag(spark, sf)
-    p = engineer_features(bars)
+    p = _processed(spark, sf)
     fc = sv.forecast_distribution(bars).select("symbol", "date", F.col("probs").alias("forecast_probs"))
     x = p.join(fc, ["symbol", "date"])
     x = sequences(x, SEQ_COLS)
-    x = chrono_split(x).drop("_i")
-    return cut_lineage(x)
+    return chrono_split(x).drop("_i")
 
 
 def _split(spark, sf):

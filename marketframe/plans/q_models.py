@@ -13,13 +13,16 @@ from ..operators.indicators import FEATURE_COLUMNS
 from ..operators.metrics import class_counts, classification_metrics, comparison_table, per_class_report
 from ..operators.splits import (apply_fold_scaler, chrono_split, fold_scaler, inner_split, sequences,
                                 time_series_folds)
+from ..session import cut_lineage, shared_table
 from ..sources import fixtures as fx
 from . import oracle as O
 from .catalog import register, rounded, sql_round
 
 
 def _processed(spark, sf) -> DataFrame:
-    return engineer_features(fx.bars_flag(spark, sf))
+    """The processed table, checkpointed once: split, fold, drift and pool queries read
+    it two or three times (value counts, totals, quantile edges)."""
+    return shared_table(spark, f"processed_flag:{sf}", lambda: engineer_features(fx.bars_flag(spark, sf)))
 
 
 _SPLIT_SQL = O.PROCESSED + """,
@@ -360,6 +363,6 @@ def drf_07(spark, sf):
 def drf_07_all(spark, sf):
     """Alerts with every method (p-value tests included) and PSI, on the supplier
     bars, whose ~400-row references take the small-sample branch."""
-    p = engineer_features(fx.bars_supplier(spark, sf))
+    p = cut_lineage(engineer_features(fx.bars_supplier(spark, sf)))
     long = dr.drift_long(p, DRIFT_COLS)
     return dr.drift_alerts(dr.drift_report(p, DRIFT_COLS), dr.psi(long))

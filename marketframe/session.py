@@ -55,3 +55,16 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint into the shared checkpoint folder (survives executor loss)."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+_SHARED: dict[tuple[str, str], DataFrame] = {}
+
+
+def shared_table(spark: SparkSession, key: str, build) -> DataFrame:
+    """Build ``build()`` once per application, checkpoint it into the shared folder and
+    hand the same checkpointed table to every later caller (several queries read the
+    same processed / training table)."""
+    k = (spark.sparkContext.applicationId, key)
+    if k not in _SHARED:
+        _SHARED[k] = cut_lineage(build())
+    return _SHARED[k]
