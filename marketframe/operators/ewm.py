@@ -73,7 +73,6 @@ def ewm_sums(df: DataFrame, sums: list[Sum], by: str = SYMBOL, order: str = DATE
 
     first = [f"floor({idx} / {B}) AS {b}" for B, (b, _) in blocks.items()]
     first += [f"{idx} % {B} AS {k}" for B, (_, k) in blocks.items()]
-    first += [f"coalesce({s.y}, 0D) AS _y_{s.name}" for s in sums]
     df = df.selectExpr("*", *first)
 
     local = []
@@ -82,7 +81,7 @@ def ewm_sums(df: DataFrame, sums: list[Sum], by: str = SYMBOL, order: str = DATE
         b, k = blocks[B]
         r = repr(1.0 - s.alpha)
         local.append(
-            f"power({r}D, {k}) * sum(_y_{s.name} / power({r}D, {k})) OVER (PARTITION BY {by}, {b} "
+            f"power({r}D, {k}) * sum(coalesce({s.y}, 0D) / power({r}D, {k})) OVER (PARTITION BY {by}, {b} "
             f"ORDER BY {k} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS _loc_{s.name}")
     df = df.selectExpr("*", *local)
 
@@ -95,7 +94,7 @@ def ewm_sums(df: DataFrame, sums: list[Sum], by: str = SYMBOL, order: str = DATE
                     f"coalesce(lag(_loc_{s.name}, {B}) OVER ({w}), 0D) END AS _end_{s.name}")
     df = df.selectExpr("*", *ends)
 
-    helpers = {c for B in blocks for c in blocks[B]} | {f"_y_{s.name}" for s in sums} \
+    helpers = {c for B in blocks for c in blocks[B]} \
         | {f"_loc_{s.name}" for s in sums} | {f"_end_{s.name}" for s in sums}
     outs = []
     for s in sums:

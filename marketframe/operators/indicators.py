@@ -74,30 +74,27 @@ def with_row_index(df: DataFrame, by: str = SYMBOL, order: str = DATE) -> DataFr
 
 
 def base_columns(df: DataFrame, by: str = SYMBOL, order: str = DATE) -> DataFrame:
-    """Lags and per-row helper series shared by several indicators (computed once)."""
+    """Row index and the few helper series the EWM batch reads (kept narrow: every
+    column added here is carried through each following window operator)."""
     W = _W(by, order)
     df = with_row_index(df, by, order)
     df = df.selectExpr(
         "*",
-        f"lag(close, 1) {W.over()} AS _c1", f"lag(open, 1) {W.over()} AS _o1",
-        f"lag(high, 1) {W.over()} AS _h1", f"lag(low, 1) {W.over()} AS _l1",
-        f"lag(volume, 5) {W.over()} AS _v5",
-        *[f"lag(close, {n}) {W.over()} AS _cl{n}" for n in RETURN_LAGS if n > 1],
-        "(high + low + close) / 3.0D AS _tp",
+        f"lag(close, 1) {W.over()} AS _c1",
+        f"high - lag(high, 1) {W.over()} AS _up",
+        f"lag(low, 1) {W.over()} AS _l1",
     )
     hl = f"CASE WHEN high = low THEN {EPS!r}D ELSE high - low END"
     df = df.selectExpr(
         "*",
         "close - _c1 AS _diff",
-        "close / _c1 - 1.0D AS _pct",
         f"CASE WHEN _c1 IS NOT NULL THEN greatest(abs({hl}), abs(high - _c1), abs(_c1 - low)) END AS _tr",
-        f"lag(_tp, 1) {W.over()} AS _tp1",
-        "high - _h1 AS _up", "_l1 - low AS _dn",
+        "_l1 - low AS _dn",
     )
     pos = "CASE WHEN _up > _dn AND _up > 0 THEN _up ELSE 0D END"
     neg = "CASE WHEN _dn > _up AND _dn > 0 THEN _dn ELSE 0D END"
     return df.selectExpr(
-        "*",
+        *[f"`{c}`" for c in df.columns if c not in ("_l1", "_c1")],
         "CASE WHEN _diff > 0 THEN _diff WHEN _diff IS NOT NULL THEN 0D END AS _gain",
         "CASE WHEN _diff < 0 THEN -_diff WHEN _diff IS NOT NULL THEN 0D END AS _loss",
         f"CASE WHEN _up IS NOT NULL THEN (CASE WHEN abs({pos}) < {EPS!r}D THEN 0D ELSE {pos} END) END AS _pdm",
@@ -105,6 +102,13 @@ def base_columns(df: DataFrame, by: str = SYMBOL, order: str = DATE) -> DataFram
     )
 
 
+def second_base(df: DataFrame, by: str = SYMBOL, order: str = DATE) -> DataFrame:
+    """Helpers read inside window aggregates (which cannot nest a window function)."""
+    W = _W(by, order)
+    df = df.selectExpr("*", f"close / lag(close, 1) {W.over()} - 1.0D AS _pct", "(high + low + close) / 3.0D AS _tp")
+    return df.selectExpr("*", f"lag(_tp, 1) {W.over()} AS _tp1")
+
+
 def ewm_stage_columns(df: DataFrame, by: str = SYMBOL, order: str = DATE) -> DataFrame:
     """All EWM-based series in two batches: EMAs/RSI/ATR/DM first, then the MACD
     signal and ADX, which smooth first-batch outputs."""
@@ -119,21 +123,22 @@ def ewm_stage_columns(df: DataFrame, by: str = SYMBOL, order: str = DATE) -> Dat
               Ewm("_ndm14", "_ndm", 14, "rma", "_up IS NOT NULL")]
     df = ewm_columns(df, first, **kw)
     dmp, dmn = "(try_divide(100D, _atr) * _pdm14)", "(try_divide(100D, _atr) * _ndm14)"
-    df = df.selectExpr("*", "_ema12 - _ema26 AS _macd",
+    spent = {"_gain", "_loss", "_tr", "_pdm", "_ndm", "_up", "_dn", "_ema12", "_ema26", "_pdm14", "_ndm14"}
+    df = df.selectExpr(*[f"`{c}`" for c in df.columns if c not in spent], "_ema12 - _ema26 AS _macd",
                        f"try_divide(100D * abs({dmp} - {dmn}), {dmp} + {dmn}) AS _dx")
     second = [Ewm("_macds", "_macd", 9, "ema"), Ewm("_adx", "_dx", 14, "rma")]
-    return ewm_columns(df, second, **kw)
+    return ewm_columns(df, second, **kw).drop("_dx")
 
 
 def indicator_exprs(by: str = SYMBOL, order: str = DATE) -> dict[str, str]:
     """SQL of the first-stage features over a frame with base + ewm columns."""
     W = _W(by, order)
     i = IDX
-    lag_c = {1: "_c1", **{n: f"_cl{n}" for n in RETURN_LAGS if n > 1}}
+    lag_c = {n: f"lag(close, {n}) {W.over()}" for n in RETURN_LAGS}
     out: dict[str, str] = {}
     for n in RETURN_LAGS:
         out[f"log_return_{n}d"] = f"ln(close / {lag_c[n]})"
-    out["overnight_gap"] = "ln(open / _c1)"
+    out["overnight_gap"] = f"ln(open / {lag_c[1]})"
     for n in SMA_LENGTHS:
         sma = f"CASE WHEN {i} >= {n - 1} THEN avg(close) {W.last(n)} END"
         out[f"sma_{n}"] = sma
@@ -149,7 +154,7 @@ def indicator_exprs(by: str = SYMBOL, order: str = DATE) -> dict[str, str]:
     out["willr_14"] = f"CASE WHEN {i} >= 13 THEN 100D * (try_divide(close - {ll14}, {hh14} - {ll14}) - 1D) END"
     out["cci_20"] = "_cci_placeholder"
     out["roc_10"] = f"100D * try_divide(close - lag(close, 10) {W.over()}, lag(close, 10) {W.over()})"
-    out["roc_20"] = "100D * try_divide(close - _cl20, _cl20)"
+    out["roc_20"] = f"100D * try_divide(close - {lag_c[20]}, {lag_c[20]})"
     out["macd"] = "_macd"
     out["macd_hist"] = "_macd - _macds"
     out["macd_signal"] = "_macds"
@@ -177,14 +182,15 @@ def indicator_exprs(by: str = SYMBOL, order: str = DATE) -> dict[str, str]:
     nsum = f"sum(CASE WHEN {dtp} < 0 THEN _tp * volume ELSE 0D END) {W.last(14)}"
     out["mfi_14"] = f"CASE WHEN {i} >= 13 THEN try_divide(100D * {psum}, {psum} + {nsum}) END"
     out["volume_sma_ratio"] = f"try_divide(volume, CASE WHEN {i} >= 19 THEN avg(volume) {W.last(20)} END)"
-    out["volume_roc"] = "try_divide(volume, _v5) - 1D"
+    out["volume_roc"] = f"try_divide(volume, lag(volume, 5) {W.over()}) - 1D"
     rng = f"(high - low + {CANDLE_EPS!r}D)"
     out["body_size"] = f"abs(close - open) / {rng}"
     out["upper_shadow"] = f"(high - greatest(close, open)) / {rng}"
     out["lower_shadow"] = f"(least(close, open) - low) / {rng}"
     out["doji"] = "_candle_placeholder"
     out["hammer"] = "_candle_placeholder"
-    out["bullish_engulf"] = ("CAST(coalesce(open < _c1 AND close > _o1 AND close > open AND _c1 < _o1, false) "
+    c1, o1 = lag_c[1], f"lag(open, 1) {W.over()}"
+    out["bullish_engulf"] = (f"CAST(coalesce(open < {c1} AND close > {o1} AND close > open AND {c1} < {o1}, false) "
                              "AS INT)")
     out["day_of_week"] = f"CAST(weekday({order}) AS INT)"
     out["month"] = f"CAST(month({order}) AS INT)"
@@ -201,6 +207,7 @@ def compute_indicators(bars: DataFrame, by: str = SYMBOL, order: str = DATE) ->
     """Bars -> bars + ``_i`` + the 60 indicator columns (helper columns dropped)."""
     df = base_columns(by_series(bars, by), by, order)
     df = ewm_stage_columns(df, by, order)
+    df = second_base(df, by, order)
     exprs = indicator_exprs(by, order)
     keep = [f"`{c}`" for c in bars.columns] + [IDX]
     first = {k: v for k, v in exprs.items() if "_placeholder" not in v}
