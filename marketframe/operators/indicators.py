@@ -27,6 +27,7 @@ EPS = 2.220446049250313e-16      # float epsilon, replaces a zero high-low range
 CANDLE_EPS = 1e-9                # candle ratio denominators
 BB_LENGTH, BB_STD = 5, 2.0
 AROON_LENGTH = 14                # window of AROON_LENGTH + 1 rows
+EXACT_SUM_MIN = 50               # SMA frames this long use an exact running-sum difference
 CCI_CONSTANT = 0.015
 
 FEATURE_COLUMNS = (
@@ -105,7 +106,8 @@ def base_columns(df: DataFrame, by: str = SYMBOL, order: str = DATE) -> DataFram
 def second_base(df: DataFrame, by: str = SYMBOL, order: str = DATE) -> DataFrame:
     """Helpers read inside window aggregates (which cannot nest a window function)."""
     W = _W(by, order)
-    df = df.selectExpr("*", f"close / lag(close, 1) {W.over()} - 1.0D AS _pct", "(high + low + close) / 3.0D AS _tp")
+    df = df.selectExpr("*", f"close / lag(close, 1) {W.over()} - 1.0D AS _pct", "(high + low + close) / 3.0D AS _tp",
+                       f"sum(CAST(close AS DECIMAL(38, 18))) {W.running()} AS _csum")
     return df.selectExpr("*", f"lag(_tp, 1) {W.over()} AS _tp1")
 
 
@@ -140,7 +142,13 @@ def indicator_exprs(by: str = SYMBOL, order: str = DATE) -> dict[str, str]:
         out[f"log_return_{n}d"] = f"ln(close / {lag_c[n]})"
     out["overnight_gap"] = f"ln(open / {lag_c[1]})"
     for n in SMA_LENGTHS:
-        sma = f"CASE WHEN {i} >= {n - 1} THEN avg(close) {W.last(n)} END"
+        if n >= EXACT_SUM_MIN:
+            # long frames: difference of an exact decimal running sum, O(1) per row
+            # instead of re-aggregating n rows (the mean is correctly rounded to double)
+            sma = (f"CASE WHEN {i} >= {n - 1} THEN CAST((_csum - coalesce(lag(_csum, {n}) {W.over()}, 0)) "
+                   f"/ {n} AS DOUBLE) END")
+        else:
+            sma = f"CASE WHEN {i} >= {n - 1} THEN avg(close) {W.last(n)} END"
         out[f"sma_{n}"] = sma
         out[f"price_sma{n}_ratio"] = f"try_divide(close, {sma})"
     for n in EMA_LENGTHS:

@@ -63,10 +63,16 @@ def load_processed(spark: SparkSession, path: str, symbol: str) -> DataFrame:
     return df
 
 
-def write_headline_cache(headlines: DataFrame, path: str, fetched_at: str) -> None:
-    """SRC-05 sink: one JSON record per (symbol, date) with the ordered headline list.
-    ``collect_list`` runs over one day of one symbol (bounded by the headline cap)."""
-    rec = (headlines.groupBy("symbol", "date")
+def write_headline_cache(headlines: DataFrame, path: str, fetched_at: str,
+                         cap: int = 20) -> None:
+    """SRC-05 sink: one JSON record per (symbol, date) with the ordered headline list of
+    that day's fetch (deduped, first ``cap`` by position), so ``collect_list`` holds at
+    most ``cap`` entries whatever the input volume."""
+    from ..operators.sets import cap_per_group, dedupe_first
+    uniq = dedupe_first(headlines.select("symbol", "date", "headline", "position"),
+                        ["symbol", "date", "headline"], "position")
+    capped = cap_per_group(uniq, ["symbol", "date"], "position", cap)
+    rec = (capped.groupBy("symbol", "date")
            .agg(F.array_sort(F.collect_list(F.struct("position", "headline"))).alias("_h"))
            .select("symbol", "date", F.col("_h.headline").alias("headlines"),
                    F.lit(fetched_at).alias("fetched_at")))
