@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, mixing, near_duplicates, packing, quality, sharding, suffix_dedup, toxicity
+from . import chat, hamming_search, html_extract, mixing, near_duplicates, packing, quality, sharding, suffix_dedup, toxicity
 from .common import text_or_empty
+from .oracles import ORACLES  # noqa: F401
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,6 +28,11 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return html_extract.extract(pages.select("page_id", "url", "html"), html_extract.fit(pages))
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_rules(table(spark, sf_dir, "documents")).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
@@ -48,6 +54,11 @@ def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.format_turns(chat.canonical_turns(rows.unionByName(extra))))
 
 
+def op7_hamming_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return hamming_search.search(vectors, vectors.where(F.col("vec_id") % 50 == 0))
+
+
 def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links", "group_id")
 
@@ -63,6 +74,5 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_best_fit_packing, op2_sharding, op4_quality_rules, op5_toxicity, op6_chat_format, op8_ngram_jaccard, op9_mixing, op10_suffix_dedup)}
-
-ORACLES: dict[str, str] = {}
+    op1_best_fit_packing, op2_sharding, op3_html_extraction, op4_quality_rules, op5_toxicity, op6_chat_format, op7_hamming_search,
+    op8_ngram_jaccard, op9_mixing, op10_suffix_dedup)}
