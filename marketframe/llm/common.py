@@ -71,5 +71,11 @@ def uniform(seed: int, *cols: Column) -> Column:
     return (F.conv(hexed, 16, 10).cast("long").cast("double") + 0.5) / F.lit(float(2**52))
 
 
+def apart(df: DataFrame, key: str) -> DataFrame:
+    """An aggregate that is to be joined on its own key, dealt out by another one. The join then has an
+    exchange of its own on both sides, so that adaptive execution can split a hot key on the other."""
+    return df.repartition(F.xxhash64(F.lit(1), key))
+
+
 def ceil_div(a: int, b: int) -> int:
     return -(-a // b)

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import WORD_GAP, ceil_div, cut, row_key, text_or_empty
+from .common import WORD_GAP, apart, ceil_div, cut, row_key, text_or_empty
 from .components import components
 
 SHINGLE, THRESHOLD, RECALL, ROWS = 5, 0.8, 0.99999, 4
@@ -212,13 +212,13 @@ def near_duplicates(docs: DataFrame, ident: str = "doc_id", text: str = "text",
                                                  F.min(F.struct("__mf_r1", "__mf_r2")).alias("r")))
     in_bands = classes.select("s1", F.explode("bands").alias("band"))
     hubs = in_bands.groupBy("band").agg(F.min("s1").alias("hub"), F.max("s1").alias("far")).where("hub <> far").drop("far")
-    stars = in_bands.join(hubs, "band").select(F.col("s1").alias("u"), F.col("hub").alias("v"))
+    stars = in_bands.join(apart(hubs, "band"), "band").select(F.col("s1").alias("u"), F.col("hub").alias("v"))
     found = components(stars)
     sizes = found.groupBy("root").count()
     n_members = found.count()
     blocks = F.ceil(F.col("count") / BLOCK).cast("int")
     needed = (classes.select("s1", "s2", F.col("r.__mf_r1"), F.col("r.__mf_r2"))
-              .join(found.join(sizes, "root").select(F.col("node").alias("s1"), F.col("root").alias("comp"), blocks.alias("nb")), "s1")
+              .join(found.join(apart(sizes, "root"), "root").select(F.col("node").alias("s1"), F.col("root").alias("comp"), blocks.alias("nb")), "s1")
               .withColumn("blk", F.pmod(F.xxhash64("s1", "s2"), "nb").cast("int")))
     texts = docs.select(*row_key(ident, text_or_empty(text)), text_or_empty(text).alias("text"))
     rows = texts.join(needed, ["__mf_r1", "__mf_r2"]).select("comp", "s1", "s2", "nb", "blk", "text")
@@ -250,7 +250,7 @@ def near_duplicates(docs: DataFrame, ident: str = "doc_id", text: str = "text",
         .withColumn("root", F.coalesce("root", "s1")).withColumn("n_links", F.coalesce("n_links", F.lit(0)))
     full = cut(full)
     groups = full.groupBy("root").agg(F.min("class_id").alias("group_id"))
-    return signed.drop("bands").join(full.join(groups, "root"), ["s1", "s2"]).select(
+    return signed.drop("bands").join(full.join(apart(groups, "root"), "root"), ["s1", "s2"]).select(
         F.col("id").alias(ident), "__mf_r1", "__mf_r2", "class_id", "n_links", "group_id", "root")
 
 
