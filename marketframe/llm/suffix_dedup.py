@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import cut, row_key, text_or_empty
+from .common import apart, cut, row_key, text_or_empty
 
 LENGTH, SEED, STEP = 200, 50, 25
 HOT, PART = 2000, 16
@@ -301,10 +301,10 @@ def remove_repeats(docs: DataFrame, ident: str = "doc_id", text: str = "text", w
     body = text_or_empty(text).cast("binary").alias("__mf_bytes")
     scanned = _scan(docs.select(*keys, body))
     twice = scanned.groupBy("fp").agg(F.count("*").alias("n")).where("n > 1").select("fp")
-    places = cut(scanned.join(twice, "fp"))
+    places = cut(scanned.join(apart(twice, "fp"), "fp"))
     distinct = places.groupBy("fp", "ph").agg(F.count("*").alias("weight"), F.min(F.struct("r1", "r2", "at")).alias("x"))
     hot = distinct.groupBy("fp").agg((F.count("*") > HOT).alias("hot"))
-    wanted = distinct.join(hot, "fp").groupBy(F.col("x.r1").alias("__mf_r1"), F.col("x.r2").alias("__mf_r2")).agg(
+    wanted = distinct.join(apart(hot, "fp"), "fp").groupBy(F.col("x.r1").alias("__mf_r1"), F.col("x.r2").alias("__mf_r2")).agg(
         F.collect_list(F.struct("fp", "ph", F.col("x.at").alias("at"), "weight", "hot")).alias("wanted"))
     # the same exchange of the texts serves the cutting of pieces and the removal
     texts = docs.select(*own, *keys, body)
