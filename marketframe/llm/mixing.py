@@ -26,6 +26,7 @@ from .common import cut, n_words, text_or_empty, uniform
 
 MAX_REPEAT = 3.0
 BUCKETS = 4096
+BROADCAST_SOURCES = 100_000
 SEED = 17
 
 
@@ -91,8 +92,14 @@ def mix(docs: DataFrame, ident: str = "doc_id", source: str = "source", text: st
         (F.col("target") - F.floor("__mf_rate") * F.col("source_size")).alias("__mf_rest"),
         F.when(has, (F.col("__mf_rate") - F.floor("__mf_rate")) * F.col("source_size") / F.col("__mf_tilted"))
         .otherwise(0.0).alias("__mf_per_tilt")))
+    n_sources = sums.count()
+
+    def small(df: DataFrame) -> DataFrame:
+        # a row per source: its number is checked before it is broadcast, beyond it the planner decides
+        return F.broadcast(df) if n_sources <= BROADCAST_SOURCES else df
+
     p = F.least(F.lit(1.0), F.col("__mf_per_tilt") * F.col("__mf_tilt"))
-    ranked = narrow.join(sums, narrow["source"].eqNullSafe(sums["__mf_source"])) \
+    ranked = narrow.join(small(sums), narrow["source"].eqNullSafe(sums["__mf_source"])) \
         .withColumn("__mf_q", _order(F.col("__mf_u"), p, F.col("size"))) \
         .withColumn("__mf_bucket", F.least(F.lit(BUCKETS - 1), F.floor(F.col("__mf_q") * BUCKETS)).cast("int"))
     upto = Window.partitionBy("__mf_source").orderBy("__mf_bucket").rowsBetween(Window.unboundedPreceding, -1)
@@ -102,7 +109,7 @@ def mix(docs: DataFrame, ident: str = "doc_id", source: str = "source", text: st
             .where((F.col("__mf_before") < rest) & (F.col("__mf_before") + F.col("__mf_words") >= rest))
             .select(F.col("__mf_source").alias("__mf_s"), F.col("__mf_bucket").alias("__mf_edge"), "__mf_before"))
     rank = F.struct(F.col("__mf_q").alias("q"), F.col("__mf_tie").alias("tie"), F.col("__mf_id").alias("id"))
-    inside = ranked.join(edge, ranked["__mf_source"].eqNullSafe(edge["__mf_s"]) & (F.col("__mf_bucket") == F.col("__mf_edge")))
+    inside = ranked.join(small(edge), ranked["__mf_source"].eqNullSafe(edge["__mf_s"]) & (F.col("__mf_bucket") == F.col("__mf_edge")))
     order = Window.partitionBy("__mf_s").orderBy("__mf_q", "__mf_tie", F.col("__mf_id").asc_nulls_first()) \
         .rowsBetween(Window.unboundedPreceding, -1)
     # nearest to the rest: a document counts while its middle lies below it
@@ -111,7 +118,7 @@ def mix(docs: DataFrame, ident: str = "doc_id", source: str = "source", text: st
                 F.max(F.when(F.col("__mf_seen") + F.col("size") / 2 <= rest, rank)).alias("__mf_last")))
     cuts = sums.join(last, sums["__mf_source"].eqNullSafe(last["__mf_s"]), "left").drop("__mf_s")
     full = _ranked(docs.select(*own), ident, text, seed)
-    full = full.withColumn("__mf_id", F.col(ident)).join(cuts, F.col(source).eqNullSafe(F.col("__mf_source"))) \
+    full = full.withColumn("__mf_id", F.col(ident)).join(small(cuts), F.col(source).eqNullSafe(F.col("__mf_source"))) \
         .withColumn("__mf_q", _order(F.col("__mf_u"), p, F.col("size"))) \
         .withColumn("__mf_bucket", F.least(F.lit(BUCKETS - 1), F.floor(F.col("__mf_q") * BUCKETS)).cast("int"))
     # a source with no edge takes none if its rest is nothing, else (by rounding) all
