@@ -31,7 +31,7 @@ DISTANCE_THRESHOLD = 0.1
 DATASET_SHARE = 0.5
 WASSERSTEIN_MIN_NORM = 0.001
 SMOOTHING = 0.0001
-KS_TERMS = 100
+KS_TERMS = 12
 
 
 def drift_columns(processed: DataFrame, n_first: int = 30, extra: tuple[str, ...] = ("label",)) -> list[str]:
@@ -105,11 +105,18 @@ def ks_and_wasserstein(counts: DataFrame, tot: DataFrame) -> DataFrame:
                     (F.col("w1") / norm).alias("wasserstein_norm"))
 
 
-def ks_p_value(lam: Column, terms: int = KS_TERMS) -> Column:
-    """Asymptotic Kolmogorov survival Q(lambda) = 2 sum (-1)^(j-1) exp(-2 j^2 lambda^2)."""
-    s = F.aggregate(F.sequence(F.lit(1), F.lit(terms)), F.lit(0.0),
-                    lambda acc, j: acc + F.pow(F.lit(-1.0), j - 1) * F.exp(-2.0 * j * j * lam * lam))
-    return F.when(lam < 1e-3, F.lit(1.0)).otherwise(F.least(F.greatest(2.0 * s, F.lit(0.0)), F.lit(1.0)))
+def ks_p_value(lam: Column) -> Column:
+    """Asymptotic Kolmogorov survival Q(lambda): 2 sum (-1)^(j-1) exp(-2 j^2 lambda^2) from lambda 1 on,
+    below it 1 - sqrt(2 pi) / lambda * sum exp(-(2j-1)^2 pi^2 / (8 lambda^2)). Either series has lost
+    all weight in double precision after KS_TERMS terms on its side."""
+    def series(term) -> Column:
+        return F.aggregate(F.sequence(F.lit(1), F.lit(KS_TERMS)), F.lit(0.0), lambda acc, j: acc + term(j))
+
+    large = 2.0 * series(lambda j: F.pow(F.lit(-1.0), j - 1) * F.exp(-2.0 * j * j * lam * lam))
+    small = 1.0 - F.try_divide(F.lit(math.sqrt(2 * math.pi)), lam) * series(
+        lambda j: F.exp(F.try_divide(-(2 * j - 1) * (2 * j - 1) * F.lit(math.pi**2), 8.0 * lam * lam)))
+    p = F.when(lam == 0, F.lit(1.0)).when(lam >= 1, large).otherwise(small)
+    return F.least(F.greatest(p, F.lit(0.0)), F.lit(1.0))
 
 
 def categorical_stats(counts: DataFrame, tot: DataFrame) -> DataFrame:

@@ -5,13 +5,14 @@ linear recurrence. A plain prefix sum of r^(-j) y_j overflows doubles within a
 few hundred rows, so the series is cut into blocks of B rows with r^B <= e^-40:
 
 * local(t)  = r^k * sum_{j in block, j<=t} y_j r^(-k_j)   (running sum per block)
-* carry(t)  = local at the last row of the previous block (what it omits, everything
-              older than one block, weighs r^B <= e^-40 relative: below double precision)
+* carry(t)  = N at the last row of the previous block
 * N(t)      = local(t) + r^(k+1) * carry(t)
 
-(A stretch of more than B unobserved rows would let the omitted part dominate; no
-input of the indicator set has one: prices and MACD have no interior nulls, DM and
-DX only at flat stretches.)
+The block ends are a short series themselves. Their weighted sum is blocked once more: S blocks
+form a super-block with r^(B S) <= e^-600, inside which a running sum of the scaled block ends gives
+the carry, and the last row of the previous super-block carries the rest. What is left out weighs
+less than e^-600 of what is kept, so long flat or unobserved stretches keep their ratios. Alphas whose
+single block decays that far need no super-block.
 
 Both steps are window expressions: one over ``(symbol, block)`` and one over the
 series window, so the kernel needs no join, no Python and no collect. The block
@@ -33,6 +34,7 @@ from .windows import IDX, SYMBOL, DATE
 # r^B must fall below e^-MIN_DECAY and r^-(B-1) must stay below e^MAX_GROWTH.
 MIN_DECAY = 40.0
 MAX_GROWTH = 650.0
+SUPER_DECAY = 640.0
 
 
 @dataclass(frozen=True)
@@ -88,19 +90,42 @@ def ewm_sums(df: DataFrame, sums: list[Sum], by: str = SYMBOL, order: str = DATE
             f"ORDER BY {k} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS _loc_{s.name}")
     df = df.selectExpr("*", *local)
 
-    helpers = {c for B in blocks for c in blocks[B]} | {f"_loc_{s.name}" for s in sums}
-    outs = []
-    for s in sums:
+    def step(s: Sum) -> tuple[int, str, str, str]:
         B = size_of[s.alpha]
-        _, k = blocks[B]
-        r = repr(1.0 - s.alpha)
-        # carry = N at the previous block's last row; block ends older than one block
-        # weigh r^B <= e^-40 relative and are below double precision, so the block's
-        # local sum at its last row is the carry
-        end = f"CASE WHEN {k} = {B - 1} THEN _loc_{s.name} END"
-        outs.append(
-            f"_loc_{s.name} + power({r}D, {k} + 1) * coalesce(last({end}, true) OVER ({w} "
-            f"ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0D) AS {s.name}")
+        return B, *blocks[B], repr(1.0 - s.alpha)
+
+    # block ends, scaled inside their super-block, and the super-block's number
+    wide: dict[str, int] = {}
+    ends = []
+    for s in sums:
+        B, b, k, r = step(s)
+        S = max(1, int(SUPER_DECAY / (B * _rate(s.alpha))))
+        if S > 1:
+            wide[s.name] = S
+            ends.append(f"CASE WHEN {k} = {B - 1} THEN _loc_{s.name} * power({r}D, -({b} % {S}) * {B}) END AS _end_{s.name}")
+            ends.append(f"floor({b} / {S}) AS _sup_{s.name}")
+    if wide:
+        df = df.selectExpr("*", *ends)
+        df = df.selectExpr("*", *[f"coalesce(sum(_end_{n}) OVER (PARTITION BY {by}, _sup_{n} ORDER BY {order} "
+                                  f"ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0D) AS _in_{n}" for n in wide])
+
+    helpers = {c for B in blocks for c in blocks[B]} | {f"_loc_{s.name}" for s in sums} \
+        | {f"_{p}_{n}" for n in wide for p in ("end", "sup", "in", "own")}
+    owns, outs = [], []
+    for s in sums:
+        B, b, k, r = step(s)
+        before = f"({w} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+        if s.name in wide:
+            S = wide[s.name]
+            # N without what lies before the super-block
+            owns.append(f"_loc_{s.name} + power({r}D, {k} + 1 + ({b} % {S} - 1) * {B}) * _in_{s.name} AS _own_{s.name}")
+            last = f"CASE WHEN {k} = {B - 1} AND {b} % {S} = {S - 1} THEN _own_{s.name} END"
+            outs.append(f"_own_{s.name} + power({r}D, {k} + 1 + ({b} % {S}) * {B}) * coalesce(last({last}, true) OVER {before}, 0D) AS {s.name}")
+        else:
+            last = f"CASE WHEN {k} = {B - 1} THEN _loc_{s.name} END"
+            outs.append(f"_loc_{s.name} + power({r}D, {k} + 1) * coalesce(last({last}, true) OVER {before}, 0D) AS {s.name}")
+    if owns:
+        df = df.selectExpr("*", *owns)
     return df.selectExpr(*_keep(df, helpers), *outs)
 
 
@@ -168,7 +193,7 @@ def ewm_columns(df: DataFrame, series: list[Ewm], by: str = SYMBOL, order: str =
         seen = seen_of[e.observed]
         if e.kind == "rma":
             den = den_of[(e.observed, e.alpha)]
-            outs.append(f"CASE WHEN {seen} >= {e.n} THEN _num_{e.name} / {den} END AS {e.name}")
+            outs.append(f"CASE WHEN {seen} >= {e.n} THEN try_divide(_num_{e.name}, {den}) END AS {e.name}")
         else:
             outs.append(f"CASE WHEN {seen} >= {e.n} THEN {e.alpha!r}D * _num_{e.name} END AS {e.name}")
     helpers = {s.name for s in sums} | set(seen_of.values()) | {f"_seed_{e.name}" for e in series}

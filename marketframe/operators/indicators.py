@@ -106,8 +106,8 @@ def base_columns(df: DataFrame, by: str = SYMBOL, order: str = DATE) -> DataFram
 def second_base(df: DataFrame, by: str = SYMBOL, order: str = DATE) -> DataFrame:
     """Helpers read inside window aggregates (which cannot nest a window function)."""
     W = _W(by, order)
-    df = df.selectExpr("*", f"close / lag(close, 1) {W.over()} - 1.0D AS _pct", "(high + low + close) / 3.0D AS _tp",
-                       f"sum(CAST(close AS DECIMAL(38, 18))) {W.running()} AS _csum")
+    df = df.selectExpr("*", f"try_divide(close, lag(close, 1) {W.over()}) - 1.0D AS _pct", "(high + low + close) / 3.0D AS _tp",
+                       f"sum(CAST(close AS DECIMAL(28, 12))) {W.running()} AS _csum")
     return df.selectExpr("*", f"lag(_tp, 1) {W.over()} AS _tp1")
 
 
@@ -139,16 +139,16 @@ def indicator_exprs(by: str = SYMBOL, order: str = DATE) -> dict[str, str]:
     lag_c = {n: f"lag(close, {n}) {W.over()}" for n in RETURN_LAGS}
     out: dict[str, str] = {}
     for n in RETURN_LAGS:
-        out[f"log_return_{n}d"] = f"ln(close / {lag_c[n]})"
-    out["overnight_gap"] = f"ln(open / {lag_c[1]})"
+        out[f"log_return_{n}d"] = f"ln(try_divide(close, {lag_c[n]}))"
+    out["overnight_gap"] = f"ln(try_divide(open, {lag_c[1]}))"
     for n in SMA_LENGTHS:
         if n >= EXACT_SUM_MIN:
             # long frames: difference of an exact decimal running sum, O(1) per row
             # instead of re-aggregating n rows (the mean is correctly rounded to double)
-            sma = (f"CASE WHEN {i} >= {n - 1} THEN CAST((_csum - coalesce(lag(_csum, {n}) {W.over()}, 0)) "
+            sma = (f"CASE WHEN count(close) {W.last(n)} = {n} THEN CAST((_csum - coalesce(lag(_csum, {n}) {W.over()}, 0)) "
                    f"/ {n} AS DOUBLE) END")
         else:
-            sma = f"CASE WHEN {i} >= {n - 1} THEN avg(close) {W.last(n)} END"
+            sma = _rolled("avg", "close", n, W)
         out[f"sma_{n}"] = sma
         out[f"price_sma{n}_ratio"] = f"try_divide(close, {sma})"
     for n in EMA_LENGTHS:
@@ -157,9 +157,9 @@ def indicator_exprs(by: str = SYMBOL, order: str = DATE) -> dict[str, str]:
     for n in (7, 14):
         out[f"rsi_{n}"] = f"try_divide(100D * _ag{n}, _ag{n} + abs(_al{n}))"
     ll14, hh14 = f"min(low) {W.last(14)}", f"max(high) {W.last(14)}"
-    out["_stoch_raw"] = (f"CASE WHEN {i} >= 13 THEN (CASE WHEN {hh14} = {ll14} THEN 0D "
+    out["_stoch_raw"] = (f"CASE WHEN count(low + high) {W.last(14)} = 14 THEN (CASE WHEN {hh14} = {ll14} THEN 0D "
                          f"ELSE 100D * (close - {ll14}) / ({hh14} - {ll14}) END) END")
-    out["willr_14"] = f"CASE WHEN {i} >= 13 THEN 100D * (try_divide(close - {ll14}, {hh14} - {ll14}) - 1D) END"
+    out["willr_14"] = f"CASE WHEN count(low + high) {W.last(14)} = 14 THEN 100D * (try_divide(close - {ll14}, {hh14} - {ll14}) - 1D) END"
     out["cci_20"] = "_cci_placeholder"
     out["roc_10"] = f"100D * try_divide(close - lag(close, 10) {W.over()}, lag(close, 10) {W.over()})"
     out["roc_20"] = f"100D * try_divide(close - {lag_c[20]}, {lag_c[20]})"
@@ -173,8 +173,8 @@ def indicator_exprs(by: str = SYMBOL, order: str = DATE) -> dict[str, str]:
     hi_at = f"max(named_struct('v', high, 'j', {i})) {wa}.j"
     out["aroon_down"] = f"CASE WHEN {i} >= {AROON_LENGTH} THEN 100D * (1D - ({i} + {lo_at}) / {AROON_LENGTH}D) END"
     out["aroon_up"] = f"CASE WHEN {i} >= {AROON_LENGTH} THEN 100D * (1D - ({i} - {hi_at}) / {AROON_LENGTH}D) END"
-    mid = f"CASE WHEN {i} >= {BB_LENGTH - 1} THEN avg(close) {W.last(BB_LENGTH)} END"
-    sd = f"CASE WHEN {i} >= {BB_LENGTH - 1} THEN stddev_pop(close) {W.last(BB_LENGTH)} END"
+    mid = _rolled("avg", "close", BB_LENGTH, W)
+    sd = _rolled("stddev_pop", "close", BB_LENGTH, W)
     out["bb_lower"] = f"{mid} - {BB_STD!r}D * {sd}"
     out["bb_mid"] = mid
     out["bb_upper"] = f"{mid} + {BB_STD!r}D * {sd}"
@@ -188,8 +188,8 @@ def indicator_exprs(by: str = SYMBOL, order: str = DATE) -> dict[str, str]:
     dtp = "(_tp - _tp1)"
     psum = f"sum(CASE WHEN {dtp} > 0 THEN _tp * volume ELSE 0D END) {W.last(14)}"
     nsum = f"sum(CASE WHEN {dtp} < 0 THEN _tp * volume ELSE 0D END) {W.last(14)}"
-    out["mfi_14"] = f"CASE WHEN {i} >= 13 THEN try_divide(100D * {psum}, {psum} + {nsum}) END"
-    out["volume_sma_ratio"] = f"try_divide(volume, CASE WHEN {i} >= 19 THEN avg(volume) {W.last(20)} END)"
+    out["mfi_14"] = f"CASE WHEN count(_tp * volume) {W.last(14)} = 14 THEN try_divide(100D * {psum}, {psum} + {nsum}) END"
+    out["volume_sma_ratio"] = f"try_divide(volume, {_rolled('avg', 'volume', 20, W)})"
     out["volume_roc"] = f"try_divide(volume, lag(volume, 5) {W.over()}) - 1D"
     rng = f"(high - low + {CANDLE_EPS!r}D)"
     out["body_size"] = f"abs(close - open) / {rng}"
@@ -225,7 +225,7 @@ def compute_indicators(bars: DataFrame, by: str = SYMBOL, order: str = DATE) ->
     staged = staged.selectExpr(
         "*",
         f"{stoch_k} AS stoch_k",
-        f"CASE WHEN {IDX} >= 19 THEN try_divide((high + low + close) / 3.0D - _tp_mean, {CCI_CONSTANT!r}D * "
+        f"CASE WHEN size(_tp_list) = 20 THEN try_divide((high + low + close) / 3.0D - _tp_mean, {CCI_CONSTANT!r}D * "
         f"(aggregate(_tp_list, 0D, (acc, x) -> acc + abs(x - _tp_mean)) / 20D)) END AS cci_20",
         "CAST(body_size < 0.1D AS INT) AS doji",
         "CAST(lower_shadow > 2D * body_size AND upper_shadow < 0.1D AS INT) AS hammer",

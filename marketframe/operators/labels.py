@@ -10,8 +10,8 @@ from .windows import SYMBOL, DATE, series
 
 
 def forward_return(close: str = "close", by: str = SYMBOL, order: str = DATE) -> Column:
-    """Next row's close over this close, minus one (null on the last row)."""
-    return F.lead(close, 1).over(series(by, order)) / F.col(close) - 1.0
+    """Next row's close over this close, minus one (null on the last row and after a zero close)."""
+    return F.try_divide(F.lead(close, 1).over(series(by, order)), F.col(close)) - 1.0
 
 
 def label_class(ret: Column, t: LabelThresholds = DEFAULT.labels) -> Column:

@@ -41,7 +41,7 @@ def forecast_distribution(bars: DataFrame, context: int = DEFAULT.forecast_conte
     returns ending at i; earlier rows get the uniform fallback. One bounded window."""
     w = Window.partitionBy(by).orderBy(order)
     frame = w.rowsBetween(-(context - 1), 0)
-    ret = F.col("close") / F.lag("close", 1).over(w) - 1.0
+    ret = F.try_divide(F.col("close"), F.lag("close", 1).over(w)) - 1.0
     x = bars.select("*", ret.alias("_ret"), (F.row_number().over(w) - 1).alias("_i"))
     x = x.withColumn("_cls", forecast_class(F.col("_ret")))
     probs = F.array(*[F.sum(F.when(F.col("_ret").isNotNull() & (F.col("_cls") == k), 1).otherwise(0)).over(frame)

@@ -44,16 +44,9 @@ def rolled(x: Column | str, n: int, agg=F.avg, by: str = SYMBOL, order: str = DA
 def by_series(df, by: str = SYMBOL):
     """Hash-partition by the series key: the one exchange every series window needs.
 
-    The count is the session's shuffle partition count, capped at two waves of the
-    cluster's cores. Stating it keeps adaptive execution from merging a
-    small-in-bytes but CPU-heavy window stage (dozens of window functions per row)
-    into one task. The cap keeps a default of 200 from scheduling hundreds of
-    near-empty window tasks on a small machine. On a cluster both numbers are
-    sized to the job."""
-    spark = df.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
-    cores = spark.sparkContext.defaultParallelism
-    return df.repartition(max(1, min(n, 2 * cores)), by)
+    The count is the session's ``spark.sql.shuffle.partitions``; adaptive execution merges or
+    keeps the partitions by their size."""
+    return df.repartition(by)
 
 
 def safe_corr(x: Column | str, y: Column | str) -> Column:

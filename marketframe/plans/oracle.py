@@ -45,7 +45,7 @@ headlines AS (
   SELECT (['AF','AO','NF','NO','RF','RO'])[CAST(doc_id % 6 AS INTEGER) + 1] AS symbol,
          CAST(DATE '2001-07-25' + CAST((doc_id // 6) % 103 AS INTEGER) AS DATE) AS date,
          doc_id AS position,
-         substr(trim(split_part(text, chr(10), 1)), 1, 200) AS headline
+         trim(text) AS headline
   FROM documents)"""
 
 SCORED = HEADLINES + """,

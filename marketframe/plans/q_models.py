@@ -301,8 +301,10 @@ def drf_02(spark, sf):
 
 @register("drf_03_ks", O.with_bars(O.BARS_FLAG, _DRIFT_SQL, body="""
 SELECT symbol, feature, round(ks_stat, 6) + 0.0 AS ks_stat,
-       round(CASE WHEN lam < 0.001 THEN 1.0 ELSE least(greatest(2.0 * list_sum(list_transform(range(1, 101),
-             lambda j: pow(-1.0, j - 1) * exp(-2.0 * j * j * lam * lam))), 0.0), 1.0) END, 6) + 0.0 AS ks_p_value
+       round(least(greatest(CASE WHEN lam = 0 THEN 1.0
+            WHEN lam >= 0.5 THEN 2.0 * list_sum(list_transform(range(1, 101), lambda j: pow(-1.0, j - 1) * exp(-2.0 * j * j * lam * lam)))
+            ELSE 1.0 - sqrt(2.0 * pi()) / lam * list_sum(list_transform(range(1, 101), lambda j: exp(-pow(2.0 * j - 1, 2) * pi() * pi() / (8.0 * lam * lam))))
+            END, 0.0), 1.0), 6) + 0.0 AS ks_p_value
 FROM num"""))
 def drf_03(spark, sf):
     _, _, counts, tot = _drift_parts(spark, sf)

@@ -137,9 +137,9 @@ def agg_02(spark, sf):
     return engineer_features(_flag(spark, sf)).groupBy("symbol", "label").agg(F.count("*").alias("n"))
 
 
-# Features of the correlation matrix.
-CORR_FEATURES = ["rsi_14", "macd", "atr_14", "bb_width", "mfi_14", "adx"]
-_PAIRS = [(a, b) for i, a in enumerate(CORR_FEATURES) for b in CORR_FEATURES[i + 1:]]
+# Columns of the correlation matrix.
+CORR_FEATURES = ["log_return_1d", "rsi_14", "macd", "bb_width", "atr_14", "obv", "sentiment_score", "volume_sma_ratio", "label"]
+_PAIRS = [(a, b) for a in CORR_FEATURES for b in CORR_FEATURES]
 
 
 @register("agg_03_correlation", O.with_bars(O.BARS_FLAG, O.PROCESSED, body="SELECT symbol, feature_a, feature_b, round(c, 6) + 0.0 AS corr FROM ("
@@ -189,7 +189,7 @@ def agg_06(spark, sf):
     from ..operators.labels import forecast_class
     from pyspark.sql import Window
     w = Window.partitionBy("symbol").orderBy("date")
-    r = fc.select("symbol", (F.col("close") / F.lag("close").over(w) - 1.0).alias("ret"))
+    r = fc.select("symbol", (F.try_divide(F.col("close"), F.lag("close").over(w)) - 1.0).alias("ret"))
     r = r.where(F.col("ret").isNotNull()).withColumn("cls", forecast_class(F.col("ret")))
     h = sv.histogram_probs(r, ["symbol"], "cls")
     return rounded(h.select("symbol", *[F.col("probs")[k].alias(f"p{k}") for k in range(5)]))

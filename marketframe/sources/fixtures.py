@@ -26,7 +26,6 @@ HEADLINE_SYMBOLS = ["AF", "AO", "NF", "NO", "RF", "RO"]
 HEADLINE_START = "2001-07-25"
 HEADLINE_DAYS = 103
 HEADLINE_AS_OF = "2001-11-04"
-HEADLINE_CHARS = 200
 
 
 def _lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -73,10 +72,9 @@ def headlines(spark: SparkSession, sf_dir: str) -> DataFrame:
                        (F.col("doc_id") % len(HEADLINE_SYMBOLS) + 1).cast("int"))
     day = F.date_add(F.to_date(F.lit(HEADLINE_START)),
                      (F.floor(F.col("doc_id") / len(HEADLINE_SYMBOLS)) % HEADLINE_DAYS).cast("int"))
-    first_line = F.substring_index(F.col("text"), "\n", 1)
     return docs.select(
         sym.alias("symbol"), day.alias("date"), F.col("doc_id").alias("position"),
-        F.substring(F.trim(first_line), 1, HEADLINE_CHARS).alias("headline"))
+        F.trim("text").alias("headline"))
 
 
 def scored_headlines(spark: SparkSession, sf_dir: str) -> DataFrame:
