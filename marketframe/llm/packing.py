@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ceil_div, n_words, text_or_empty
+from .common import ceil_div, cut, n_words, text_or_empty
 
 CAPACITY, PER_SOURCE, BLOCK_DOCS = 4096, 4, 4096
 SEED = 5
@@ -100,11 +100,14 @@ def pack(docs: DataFrame, ident: str = "doc_id", text: str = "text", source: str
     cluster = F.xxhash64(body) if cluster is None else cluster
     sized = docs.select(F.col(ident).alias(ident), F.col(source).alias("source"), n_words(body).alias("__mf_size"),
                         cluster.cast("string").alias("__mf_cluster"),
-                        F.xxhash64(F.col(ident), body).alias("__mf_hash"))
-    blocks = max(1, ceil_div(docs.count(), block_docs))
-    # documents of one id and text are dealt by a partition-wise number too, so no block gets all copies
+                        F.xxhash64(F.col(ident), body).alias("__mf_hash"),
+                        F.monotonically_increasing_id().alias("__mf_row"))
+    # the row numbers are written down, so that a recomputed task deals the same rows again
+    sized = cut(sized)
+    blocks = max(1, ceil_div(sized.count(), block_docs))
+    # documents of one id and text are dealt by their row number too, so no block gets all copies
     sized = sized.withColumn("__mf_block", F.pmod(F.xxhash64(
-        F.lit(seed), "__mf_hash", F.monotonically_increasing_id()), F.lit(blocks)).cast("int"))
+        F.lit(seed), "__mf_hash", "__mf_row"), F.lit(blocks)).cast("int"))
 
     def fill(table: pa.Table) -> pa.Table:
         ids, named = table.column(0), table.column(1)
@@ -130,6 +133,6 @@ def pack(docs: DataFrame, ident: str = "doc_id", text: str = "text", source: str
                         names=[ident, "source", "piece", "first_word", "n_words", "block", "bin", "bin_offset", "bin_words"])
 
     kinds = dict(sized.dtypes)
-    return sized.groupBy("__mf_block").applyInArrow(
+    return sized.drop("__mf_row").groupBy("__mf_block").applyInArrow(
         fill, f"`{ident}` {kinds[ident]}, source {kinds['source']}, piece int, first_word long, n_words long, block int, bin int, "
         "bin_offset int, bin_words int")
