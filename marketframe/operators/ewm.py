@@ -9,9 +9,9 @@ few hundred rows, so the series is cut into blocks of B rows with r^B <= e^-40:
 * N(t)      = local(t) + r^(k+1) * carry(t)
 
 The block ends are a short series themselves. Their weighted sum is blocked once more: S blocks
-form a super-block with r^(B S) <= e^-600, inside which a running sum of the scaled block ends gives
+form a super-block with r^(B S) <= e^-300, inside which a running sum of the scaled block ends gives
 the carry, and the last row of the previous super-block carries the rest. What is left out weighs
-less than e^-600 of what is kept, so long flat or unobserved stretches keep their ratios. Alphas whose
+less than e^-300 of what is kept, so long flat or unobserved stretches keep their ratios. Alphas whose
 single block decays that far need no super-block.
 
 Both steps are window expressions: one over ``(symbol, block)`` and one over the
@@ -96,21 +96,26 @@ def ewm_sums(df: DataFrame, sums: list[Sum], by: str = SYMBOL, order: str = DATE
 
     # block ends, scaled inside their super-block, and the super-block's number
     wide: dict[str, int] = {}
-    ends = []
+    ends, supers = [], {}
     for s in sums:
         B, b, k, r = step(s)
-        S = max(1, int(SUPER_DECAY / (B * _rate(s.alpha))))
+        # a power of two, so that alphas share super-blocks and their window
+        S = 1 << max(0, int(SUPER_DECAY / (B * _rate(s.alpha))).bit_length() - 1)
         if S > 1:
             wide[s.name] = S
+            supers[s.name] = f"_sup{B}_{S}"
             ends.append(f"CASE WHEN {k} = {B - 1} THEN _loc_{s.name} * power({r}D, -({b} % {S}) * {B}) END AS _end_{s.name}")
-            ends.append(f"floor({b} / {S}) AS _sup_{s.name}")
+    for column in sorted(set(supers.values())):
+        B, S = column.removeprefix("_sup").split("_")
+        ends.append(f"floor(_blk{B} / {S}) AS {column}")
     if wide:
         df = df.selectExpr("*", *ends)
-        df = df.selectExpr("*", *[f"coalesce(sum(_end_{n}) OVER (PARTITION BY {by}, _sup_{n} ORDER BY {order} "
+        df = df.selectExpr("*", *[f"coalesce(sum(_end_{n}) OVER (PARTITION BY {by}, {supers[n]} ORDER BY {order} "
                                   f"ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0D) AS _in_{n}" for n in wide])
 
     helpers = {c for B in blocks for c in blocks[B]} | {f"_loc_{s.name}" for s in sums} \
-        | {f"_{p}_{n}" for n in wide for p in ("end", "sup", "in", "own")}
+        | {f"_{p}_{n}" for n in wide for p in ("end", "in", "own")} \
+        | set(supers.values())
     owns, outs = [], []
     for s in sums:
         B, b, k, r = step(s)
