@@ -31,6 +31,29 @@ def bars_from_ticks(ticks: DataFrame, symbol: Column, ts: Column, price: Column,
                  volume.cast("double").alias("volume")))
 
 
+def bar_states(ticks: DataFrame, symbol: Column, ts: Column, price: Column, qty: Column | None,
+               tiebreak: list[Column], bucket: str = "day") -> DataFrame:
+    """Bars that can be merged later: next to OHLCV, the tie-break keys of the first and the last tick."""
+    key = F.struct(*tiebreak)
+    when = F.to_date(ts) if bucket == "day" else F.date_trunc(bucket, ts)
+    volume = F.sum(qty) if qty is not None else F.count(F.lit(1))
+    return (ticks.groupBy(symbol.alias(SYMBOL), when.alias(DATE))
+            .agg(F.min(key).alias("first_key"), F.max(key).alias("last_key"),
+                 F.min_by(price, key).alias("open"), F.max(price).alias("high"),
+                 F.min(price).alias("low"), F.max_by(price, key).alias("close"),
+                 volume.cast("double").alias("volume")))
+
+
+def merge_bar_states(states: DataFrame, by: str = SYMBOL, order: str = DATE) -> DataFrame:
+    """One state per (symbol, date) out of any number of partial ones, in any order. The result equals
+    the state of all their ticks together, as long as no tick is in two of them."""
+    return states.groupBy(by, order).agg(
+        F.min("first_key").alias("first_key"), F.max("last_key").alias("last_key"),
+        F.min_by("open", "first_key").alias("open"), F.max("high").alias("high"),
+        F.min("low").alias("low"), F.max_by("close", "last_key").alias("close"),
+        F.sum("volume").alias("volume"))
+
+
 # Period units in days (unknown unit -> five years).
 PERIOD_DAYS = {"y": 365, "m": 30, "d": 1}
 DEFAULT_PERIOD_DAYS = 365 * 5

@@ -247,26 +247,28 @@ def top_05(spark, sf):
 
 # ---- streaming (SET-01 inside foreachBatch) ----------------------------------------------------
 
+STREAM_FILE_ROWS = 10_000
+
+
 @register("set_01_stream_upsert", O.with_bars(O.BARS_FLAG, body=f"""
 SELECT symbol, date, {sql_round(['open', 'high', 'low', 'close', 'volume'])} FROM bars"""))
 def set_01_stream(spark, sf):
-    """The lineitem table read as a stream (available-now trigger); each micro-batch
-    is aggregated to bars and upserted. With a single source file the result equals
-    the batch bar table."""
+    """The lineitem table read as a stream (available-now trigger) of several files over at least four
+    triggers; the merged bars equal the bars of the whole table."""
     import os
+    from ..operators.bars import bar_states
     from ..streaming import run_bar_stream
     from .. sources.tables import table_path
-    li_path = table_path(sf, "lineitem")
-    schema = spark.read.parquet(li_path).schema
-    src = os.path.dirname(li_path)
     base = io.scratch_path(spark, "stream")
-
-    def to_bars(batch):
-        from ..operators.bars import bars_from_ticks
-        return bars_from_ticks(batch, F.concat("l_returnflag", "l_linestatus"), F.col("l_shipdate"),
-                               100.0 + F.col("l_extendedprice") / fx.PRICE_DIVISOR, F.col("l_quantity"),
-                               [F.col(c) for c in fx.TIEBREAK])
     staged = os.path.join(base, "source")
-    spark.read.parquet(li_path).write.parquet(staged)
-    out = run_bar_stream(spark, staged, schema, to_bars, os.path.join(base, "bars"), os.path.join(base, "ckpt"))
-    return rounded(out.select("symbol", "date", "open", "high", "low", "close", "volume"))
+    ticks = spark.read.parquet(table_path(sf, "lineitem"))
+    ticks.write.option("maxRecordsPerFile", STREAM_FILE_ROWS).parquet(staged)
+    n_files = len(spark.read.parquet(staged).inputFiles())
+
+    def to_states(batch):
+        return bar_states(batch, F.concat("l_returnflag", "l_linestatus"), F.col("l_shipdate"),
+                          100.0 + F.col("l_extendedprice") / fx.PRICE_DIVISOR, F.col("l_quantity"),
+                          [F.col(c) for c in fx.TIEBREAK])
+    out = run_bar_stream(spark, staged, ticks.schema, to_states, os.path.join(base, "bars"),
+                         os.path.join(base, "ckpt"), max_files_per_trigger=max(1, n_files // 4))
+    return rounded(out)
