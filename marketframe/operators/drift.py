@@ -1,11 +1,11 @@
 """Distribution drift between a reference split (first 80 %) and a current split
 (last 20 %) per (symbol, feature).
 
-Everything starts from one long table (symbol, feature, split, value) and one
-value-count table per (symbol, feature, value); KS, Wasserstein, chi-square,
-z-test and Jensen-Shannon are window/aggregate expressions over those counts.
-Only the p-values of chi-square and the z-test use a small vectorised pandas
-function (Spark has no gamma or erf), applied to one row per (symbol, feature).
+One explode and one count per (symbol, feature, value); the counts, not the rows, are dealt by
+(symbol, feature), so the features of a symbol are spread over tasks. Every statistic (totals, PSI, KS,
+Wasserstein, chi-square, z-test, Jensen-Shannon) comes from windows over the sorted values of one
+(symbol, feature) and one aggregation on the same key. Only the p-values of chi-square and the z-test use
+a small vectorised pandas function (Spark has no gamma or erf), on one row per (symbol, feature).
 """
 
 from __future__ import annotations
@@ -50,59 +50,91 @@ def drift_long(processed: DataFrame, cols: list[str], test_size: float = DEFAULT
 
 
 def value_counts(long: DataFrame) -> DataFrame:
-    """(symbol, feature, value, n_ref, n_cur): one grouped aggregation."""
-    return long.where(F.col("value").isNotNull() & ~F.isnan("value")).groupBy("symbol", "feature", "value").agg(
+    """(symbol, feature, value, n_ref, n_cur): one grouped aggregation, then dealt by (symbol, feature)."""
+    counts = long.where(F.col("value").isNotNull() & ~F.isnan("value")).groupBy("symbol", "feature", "value").agg(
         F.count(F.when(F.col("split") == "reference", 1)).alias("n_ref"),
         F.count(F.when(F.col("split") == "current", 1)).alias("n_cur"))
-
-
-def totals(long: DataFrame) -> DataFrame:
-    ok = F.col("value").isNotNull() & ~F.isnan("value")
-    ref = F.when(ok & (F.col("split") == "reference"), F.col("value"))
-    return long.groupBy("symbol", "feature").agg(
-        F.count(ref).alias("ref_total"),
-        F.count(F.when(ok & (F.col("split") == "current"), 1)).alias("cur_total"),
-        F.countDistinct(F.when(ok, F.col("value"))).alias("n_distinct"),
-        F.stddev_pop(ref).alias("ref_std"))
-
-
-def psi(long: DataFrame, bins: int = PSI_BINS) -> DataFrame:
-    """DRF-02: PSI over reference-quantile bins: bin(x) = number of the 9 inner
-    reference deciles strictly below x; proportions floored at 1e-4."""
-    qs = [k / bins for k in range(1, bins)]
-    ok = F.col("value").isNotNull() & ~F.isnan("value")
-    edges = (long.where(ok & (F.col("split") == "reference")).groupBy("symbol", "feature")
-             .agg(F.percentile("value", F.array(*[F.lit(q) for q in qs])).alias("edges")))
-    x = long.where(ok).join(edges, ["symbol", "feature"])
-    b = F.aggregate("edges", F.lit(0), lambda acc, e: acc + F.when(F.col("value") > e, 1).otherwise(0))
-    counts = x.groupBy("symbol", "feature", b.alias("bin")).agg(
-        F.count(F.when(F.col("split") == "reference", 1)).alias("r"),
-        F.count(F.when(F.col("split") == "current", 1)).alias("c"))
-    tot = counts.groupBy("symbol", "feature").agg(F.sum("r").alias("ref_sum"), F.sum("c").alias("cur_sum"))
-    spine = tot.select("symbol", "feature", "ref_sum", "cur_sum", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"))
-    j = spine.join(counts, ["symbol", "feature", "bin"], "left")
-    r = F.greatest(F.coalesce(F.col("r"), F.lit(0)) / F.col("ref_sum"), F.lit(PSI_FLOOR))
-    c = F.greatest(F.coalesce(F.col("c"), F.lit(0)) / F.col("cur_sum"), F.lit(PSI_FLOOR))
-    return j.groupBy("symbol", "feature").agg(F.sum((c - r) * F.log(c / r)).alias("psi"))
-
-
-def ks_and_wasserstein(counts: DataFrame, tot: DataFrame) -> DataFrame:
-    """DRF-03 statistic and DRF-05 (numeric): running CDFs over the sorted distinct
-    values of each (symbol, feature): D = max |F_ref - F_cur|, W1 = sum |F_ref -
-    F_cur| * gap to the next value, normed by max(reference std, 0.001)."""
-    w = Window.partitionBy("symbol", "feature").orderBy("value")
-    run = w.rowsBetween(Window.unboundedPreceding, 0)
-    x = counts.join(tot, ["symbol", "feature"])
-    x = x.select("*", (F.sum("n_ref").over(run) / F.col("ref_total")).alias("cdf_ref"),
-                 (F.sum("n_cur").over(run) / F.col("cur_total")).alias("cdf_cur"),
-                 (F.lead("value").over(w) - F.col("value")).alias("gap"))
-    g = x.groupBy("symbol", "feature", "ref_total", "cur_total", "ref_std").agg(
-        F.max(F.abs(F.col("cdf_ref") - F.col("cdf_cur"))).alias("ks_stat"),
-        F.sum(F.abs(F.col("cdf_ref") - F.col("cdf_cur")) * F.coalesce(F.col("gap"), F.lit(0.0))).alias("w1"))
-    norm = F.greatest(F.col("ref_std"), F.lit(WASSERSTEIN_MIN_NORM))
-    en = F.col("ref_total") * F.col("cur_total") / (F.col("ref_total") + F.col("cur_total"))
-    return g.select("symbol", "feature", "ks_stat", ks_p_value(F.sqrt(en) * F.col("ks_stat")).alias("ks_p_value"),
-                    (F.col("w1") / norm).alias("wasserstein_norm"))
+    return counts.repartition("symbol", "feature")
+
+
+def _ranked_value(rank: Column) -> Column:
+    """The reference value of 0-based ``rank``, out of the cumulative counts of one (symbol, feature)."""
+    return F.min(F.when(F.col("cum_ref") > rank, F.col("value"))).over(Window.partitionBy("symbol", "feature"))
+
+
+def _decile_edge(q: float) -> Column:
+    """Reference quantile with linear interpolation between the two ranks around (n - 1) * q."""
+    pos = (F.col("ref_total") - 1) * F.lit(q)
+    low, high = _ranked_value(F.floor(pos)), _ranked_value(F.ceil(pos))
+    return low + (high - low) * (pos - F.floor(pos))
+
+
+def drift_statistics(counts: DataFrame, bins: int = PSI_BINS) -> DataFrame:
+    """Every statistic of every (symbol, feature), out of ``value_counts``:
+
+    * totals: ref_total, cur_total, n_distinct;
+    * DRF-02 psi: bin(x) = number of the 9 inner reference deciles strictly below x, shares floored at 1e-4;
+    * DRF-03 ks_stat = max |F_ref - F_cur| and its p-value;
+    * DRF-05 wasserstein_norm = sum |F_ref - F_cur| * gap to the next value, over max(reference std, 0.001);
+    * DRF-04 chi2 of current counts against reference counts scaled to the current size, z of the share of
+      the least value where there are two;
+    * DRF-05 js_distance (natural log) of the shares, zero shares set to 1e-4 and renormalised.
+    """
+    group = Window.partitionBy("symbol", "feature")
+    run = group.orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
+    n_ref, n_cur = F.col("n_ref"), F.col("n_cur")
+    ref_total, cur_total = F.col("ref_total"), F.col("cur_total")
+    x = counts.select(
+        "*", F.sum("n_ref").over(run).alias("cum_ref"), F.sum("n_cur").over(run).alias("cum_cur"),
+        (F.lead("value").over(group.orderBy("value")) - F.col("value")).alias("gap"),
+        F.sum("n_ref").over(group).alias("ref_total"), F.sum("n_cur").over(group).alias("cur_total"),
+        F.sum(F.col("value") * n_ref).over(group).alias("ref_sum"))
+    x = x.select(
+        "*", F.array(*[_decile_edge(k / bins) for k in range(1, bins)]).alias("edges"),
+        F.try_divide(F.col("ref_sum"), ref_total).alias("ref_mean"),
+        F.when(n_ref == 0, SMOOTHING).otherwise(F.try_divide(n_ref, ref_total)).alias("p"),
+        F.when(n_cur == 0, SMOOTHING).otherwise(F.try_divide(n_cur, cur_total)).alias("q"),
+        F.abs(F.try_divide("cum_ref", "ref_total") - F.try_divide("cum_cur", "cur_total")).alias("cdf_gap"),
+        F.try_divide(n_ref * cur_total, ref_total).alias("expected"))
+    pn = F.try_divide(F.col("p"), F.sum("p").over(group))
+    qn = F.try_divide(F.col("q"), F.sum("q").over(group))
+    below = F.aggregate("edges", F.lit(0), lambda acc, e: acc + F.when(F.col("value") > e, 1).otherwise(0))
+    x = x.select("*", pn.alias("pn"), qn.alias("qn"), below.alias("bin"))
+    mid = (F.col("pn") + F.col("qn")) / 2.0
+
+    def binned(n: Column) -> Column:
+        return F.array(*[F.sum(F.when(F.col("bin") == b, n).otherwise(0)) for b in range(bins)])
+
+    g = x.groupBy("symbol", "feature").agg(
+        F.first("ref_total").alias("ref_total"), F.first("cur_total").alias("cur_total"),
+        F.count("*").alias("n_distinct"), binned(n_ref).alias("ref_bins"), binned(n_cur).alias("cur_bins"),
+        F.sqrt(F.try_divide(F.sum(n_ref * (F.col("value") - F.col("ref_mean")) ** 2),
+                            F.first("ref_total"))).alias("ref_std"),
+        F.max("cdf_gap").alias("ks_stat"),
+        F.sum(F.col("cdf_gap") * F.coalesce(F.col("gap"), F.lit(0.0))).alias("w1"),
+        F.sum(F.try_divide((n_cur - F.col("expected")) ** 2, F.col("expected"))).alias("chi2"),
+        F.min_by("n_ref", "value").alias("x1"), F.min_by("n_cur", "value").alias("x2"),
+        F.sum(0.5 * F.col("pn") * F.log(F.col("pn") / mid) + 0.5 * F.col("qn") * F.log(F.col("qn") / mid)).alias("jsd"))
+    both = F.try_divide(ref_total * cur_total, ref_total + cur_total)
+    pool = F.try_divide(F.col("x1") + F.col("x2"), ref_total + cur_total)
+    z = F.try_divide(F.try_divide("x1", "ref_total") - F.try_divide("x2", "cur_total"),
+                     F.sqrt(F.try_divide(pool * (1 - pool), both)))
+    return g.select(
+        "symbol", "feature", "ref_total", "cur_total", "n_distinct", _psi("ref_bins", "cur_bins").alias("psi"),
+        "ks_stat", ks_p_value(F.sqrt(both) * F.col("ks_stat")).alias("ks_p_value"),
+        (F.col("w1") / F.greatest(F.col("ref_std"), F.lit(WASSERSTEIN_MIN_NORM))).alias("wasserstein_norm"),
+        "chi2", F.when(F.col("n_distinct") == 2, z).alias("z"),
+        F.sqrt(F.greatest(F.col("jsd"), F.lit(0.0))).alias("js_distance"))
+
+
+def _psi(ref_bins: str, cur_bins: str) -> Column:
+    """Sum over bins of (c - r) * ln(c / r), shares floored at 1e-4."""
+    def shares(b: str) -> Column:
+        total = F.aggregate(b, F.lit(0).cast("long"), lambda acc, v: acc + v)
+        return F.transform(b, lambda v: F.greatest(F.try_divide(v, total), F.lit(PSI_FLOOR)))
+
+    terms = F.zip_with(shares(ref_bins), shares(cur_bins), lambda r, c: (c - r) * F.log(c / r))
+    return F.aggregate(terms, F.lit(0.0), lambda acc, t: acc + t)
 
 
 def ks_p_value(lam: Column) -> Column:
@@ -119,34 +151,6 @@ def ks_p_value(lam: Column) -> Column:
     return F.least(F.greatest(p, F.lit(0.0)), F.lit(1.0))
 
 
-def categorical_stats(counts: DataFrame, tot: DataFrame) -> DataFrame:
-    """DRF-04 statistics and DRF-05 (categorical) over the value-count table:
-    chi-square of current counts against reference counts scaled to the current
-    size; two-proportion z for two categories; Jensen-Shannon distance (natural log)
-    of the category shares with zero shares replaced by 1e-4 and renormalised."""
-    x = counts.join(tot, ["symbol", "feature"])
-    exp = F.col("n_ref") * F.col("cur_total") / F.col("ref_total")
-    p = F.when(F.col("n_ref") == 0, SMOOTHING).otherwise(F.col("n_ref") / F.col("ref_total"))
-    q = F.when(F.col("n_cur") == 0, SMOOTHING).otherwise(F.col("n_cur") / F.col("cur_total"))
-    x = x.select("*", exp.alias("exp"), p.alias("p"), q.alias("q"))
-    x = x.withColumns({"p_sum": F.sum("p").over(Window.partitionBy("symbol", "feature")),
-                       "q_sum": F.sum("q").over(Window.partitionBy("symbol", "feature")),
-                       "first_value": F.min("value").over(Window.partitionBy("symbol", "feature"))})
-    pn, qn = F.col("p") / F.col("p_sum"), F.col("q") / F.col("q_sum")
-    m = (pn + qn) / 2.0
-    g = x.groupBy("symbol", "feature", "ref_total", "cur_total").agg(
-        F.count("*").alias("k"),
-        F.sum(F.try_divide((F.col("n_cur") - F.col("exp")) ** 2, F.col("exp"))).alias("chi2"),
-        F.sum(F.when(F.col("value") == F.col("first_value"), F.col("n_ref")).otherwise(0)).alias("x1"),
-        F.sum(F.when(F.col("value") == F.col("first_value"), F.col("n_cur")).otherwise(0)).alias("x2"),
-        F.sum(0.5 * pn * F.log(pn / m) + 0.5 * qn * F.log(qn / m)).alias("jsd"))
-    p1, p2 = F.col("x1") / F.col("ref_total"), F.col("x2") / F.col("cur_total")
-    pool = (F.col("x1") + F.col("x2")) / (F.col("ref_total") + F.col("cur_total"))
-    z = F.try_divide(p1 - p2, F.sqrt(pool * (1 - pool) * (1.0 / F.col("ref_total") + 1.0 / F.col("cur_total"))))
-    return g.select("symbol", "feature", "k", "chi2", F.when(F.col("k") == 2, z).alias("z"),
-                    F.sqrt(F.greatest(F.col("jsd"), F.lit(0.0))).alias("js_distance"))
-
-
 def _gammaincc(a: float, x: float) -> float:
     """Regularised upper incomplete gamma Q(a, x) (series / continued fraction)."""
     if x <= 0:
@@ -193,14 +197,8 @@ def z_p_value(z: pd.Series) -> pd.Series:
 def drift_report(processed: DataFrame, cols: list[str] | None = None) -> DataFrame:
     """DRF-06: per (symbol, feature) the method chosen by reference size and distinct
     count, its score, and the drift flag with the method's own direction
-    (p-value tests drift when p < 0.05; distances when >= 0.1)."""
-    cols = cols or drift_columns(processed)
-    long = drift_long(processed, cols)
-    counts = value_counts(long)
-    tot = totals(long)
-    num = ks_and_wasserstein(counts, tot)
-    cat = categorical_stats(counts, tot)
-    j = tot.join(num, ["symbol", "feature"]).join(cat, ["symbol", "feature"])
+    (p-value tests drift when p < 0.05; distances when >= 0.1); PSI stands beside it."""
+    g = drift_statistics(value_counts(drift_long(processed, cols or drift_columns(processed))))
     small = F.col("ref_total") <= SMALL_REFERENCE
     categorical = F.col("n_distinct") <= CATEGORICAL_MAX_DISTINCT
     method = (F.when(small & categorical & (F.col("n_distinct") == 2), "z")
@@ -208,16 +206,20 @@ def drift_report(processed: DataFrame, cols: list[str] | None = None) -> DataFra
               .when(small, "ks")
               .when(categorical, "jensenshannon")
               .otherwise("wasserstein"))
-    j = j.withColumn("method", method)
-    score = (F.when(F.col("method") == "z", z_p_value(F.col("z")))
-             .when(F.col("method") == "chisquare", chi2_p_value(F.col("chi2"), (F.col("k") - 1).cast("double")))
+    g = g.withColumn("method", method)
+    # the p-value functions are handed a null where their method is not the chosen one
+    z = F.when(F.col("method") == "z", F.col("z"))
+    chi2 = F.when(F.col("method") == "chisquare", F.col("chi2"))
+    g = g.withColumns({"z_p": z_p_value(z), "chi2_p": chi2_p_value(chi2, (F.col("n_distinct") - 1).cast("double"))})
+    score = (F.when(F.col("method") == "z", F.col("z_p"))
+             .when(F.col("method") == "chisquare", F.col("chi2_p"))
              .when(F.col("method") == "ks", F.col("ks_p_value"))
              .when(F.col("method") == "jensenshannon", F.col("js_distance"))
              .otherwise(F.col("wasserstein_norm")))
     is_p = F.col("method").isin("z", "chisquare", "ks")
     drifted = F.when(is_p, F.col("score") < P_VALUE_THRESHOLD).otherwise(F.col("score") >= DISTANCE_THRESHOLD)
-    return j.withColumn("score", score).withColumn("drifted", F.coalesce(drifted, F.lit(False))) \
-        .select("symbol", "feature", "method", "score", "drifted", "ref_total", "cur_total", "n_distinct")
+    return g.withColumn("score", score).withColumn("drifted", F.coalesce(drifted, F.lit(False))) \
+        .select("symbol", "feature", "method", "score", "drifted", "ref_total", "cur_total", "n_distinct", "psi")
 
 
 def dataset_drift(report: DataFrame) -> DataFrame:
@@ -227,9 +229,11 @@ def dataset_drift(report: DataFrame) -> DataFrame:
         .withColumn("dataset_drift", F.col("share_drifted") >= DATASET_SHARE)
 
 
-def drift_alerts(report: DataFrame, psi_table: DataFrame, psi_threshold: float = DEFAULT.drift_threshold_psi) -> DataFrame:
-    """DRF-07: alert rows: drifted columns (per-method direction) and PSI above threshold."""
-    a = report.where("drifted").select("symbol", "feature", F.col("method").alias("metric"), F.col("score").alias("value"))
-    b = psi_table.where(F.col("psi") > psi_threshold).select("symbol", "feature", F.lit("psi").alias("metric"),
-                                                               F.col("psi").alias("value"))
-    return a.unionByName(b)
+def drift_alerts(report: DataFrame, psi_threshold: float = DEFAULT.drift_threshold_psi) -> DataFrame:
+    """DRF-07: alert rows: drifted columns (per-method direction) and PSI above threshold, both out of one
+    pass over the report."""
+    item = lambda metric, value: F.struct(metric.alias("metric"), value.alias("value"))
+    own = F.when(F.col("drifted"), item(F.col("method"), F.col("score")))
+    psi = F.when(F.col("psi") > psi_threshold, item(F.lit("psi"), F.col("psi")))
+    found = report.select("symbol", "feature", F.explode(F.array_compact(F.array(own, psi))).alias("_a"))
+    return found.select("symbol", "feature", "_a.metric", "_a.value")

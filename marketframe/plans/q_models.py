@@ -259,56 +259,95 @@ cat AS (
          sqrt(greatest(sum(0.5 * pn2 * ln(pn2 / ((pn2 + qn2) / 2)) + 0.5 * qn2 * ln(qn2 / ((pn2 + qn2) / 2))), 0.0)) AS js_distance
   FROM catn GROUP BY symbol, feature),
 rep AS (
-  SELECT t.symbol, t.feature, t.ref_total, t.cur_total, t.n_distinct, n.ks_stat, n.wasserstein_norm, c.js_distance, c.chi2, c.k,
+  SELECT t.symbol, t.feature, t.ref_total, t.cur_total, t.n_distinct, n.ks_stat, n.lam, n.wasserstein_norm, c.js_distance, c.chi2, c.k,
+         (c.x1 / c.ref_total - c.x2 / c.cur_total) / nullif(sqrt(((c.x1 + c.x2) / (c.ref_total + c.cur_total))
+           * (1 - (c.x1 + c.x2) / (c.ref_total + c.cur_total)) * (1.0 / c.ref_total + 1.0 / c.cur_total)), 0) AS z,
          CASE WHEN t.ref_total <= 1000 AND t.n_distinct <= 5 AND t.n_distinct = 2 THEN 'z'
               WHEN t.ref_total <= 1000 AND t.n_distinct <= 5 THEN 'chisquare' WHEN t.ref_total <= 1000 THEN 'ks'
               WHEN t.n_distinct <= 5 THEN 'jensenshannon' ELSE 'wasserstein' END AS method
   FROM tot t JOIN num n USING (symbol, feature) JOIN cat c USING (symbol, feature))"""
 
 
-def _drift_parts(spark, sf):
-    p = _processed(spark, sf)
-    long = dr.drift_long(p, DRIFT_COLS)
-    return p, long, dr.value_counts(long), dr.totals(long)
-
-
-@register("drf_01_drift_columns", O.with_bars(O.BARS_FLAG, _DRIFT_SQL, body="""
-SELECT symbol, feature, split, count(*) AS n, round(avg(value), 6) + 0.0 AS mean FROM dlong GROUP BY ALL"""))
-def drf_01(spark, sf):
-    _, long, _, _ = _drift_parts(spark, sf)
-    return rounded(long.groupBy("symbol", "feature", "split").agg(F.count("*").alias("n"), F.avg("value").alias("mean")))
-
-
-@register("drf_02_psi", O.with_bars(O.BARS_FLAG, _DRIFT_SQL, """
-edges AS (
-  SELECT symbol, feature, quantile_cont(value, [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]) AS e
+# quantiles spelt out: quantile_cont weighs both neighbours, so that between equal values its edge can
+# fall an ulp below them and count them as above it
+_PSI_SQL = """
+sorted AS (
+  SELECT symbol, feature, list(value ORDER BY value) AS v, count(*) - 1 AS top
   FROM dlong WHERE split = 'reference' AND value IS NOT NULL AND NOT isnan(value) GROUP BY ALL),
+edges AS (
+  SELECT symbol, feature, list_transform([0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]::DOUBLE[], lambda q:
+    v[floor(top * q)::INT + 1] + (v[ceil(top * q)::INT + 1] - v[floor(top * q)::INT + 1]) * (top * q - floor(top * q))) AS e
+  FROM sorted),
 binned AS (
   SELECT l.symbol, l.feature, l.split, CAST(list_sum(list_transform(e.e, lambda x: CASE WHEN l.value > x THEN 1 ELSE 0 END)) AS INTEGER) AS bin
   FROM dlong l JOIN edges e USING (symbol, feature) WHERE l.value IS NOT NULL AND NOT isnan(l.value)),
 bc AS (SELECT symbol, feature, bin, count(*) FILTER (WHERE split = 'reference') AS r, count(*) FILTER (WHERE split = 'current') AS c
        FROM binned GROUP BY ALL),
 bt AS (SELECT symbol, feature, sum(r) AS RR, sum(c) AS CC FROM bc GROUP BY ALL),
-sp AS (SELECT bt.*, b.range AS bin FROM bt CROSS JOIN range(10) b)""", body="""
-SELECT sp.symbol, sp.feature, round(sum((greatest(coalesce(bc.c, 0) / sp.CC, 0.0001) - greatest(coalesce(bc.r, 0) / sp.RR, 0.0001))
-       * ln(greatest(coalesce(bc.c, 0) / sp.CC, 0.0001) / greatest(coalesce(bc.r, 0) / sp.RR, 0.0001))), 6) + 0.0 AS psi
+sp AS (SELECT bt.*, b.range AS bin FROM bt CROSS JOIN range(10) b),
+psi AS (
+SELECT sp.symbol, sp.feature, sum((greatest(coalesce(bc.c, 0) / sp.CC, 0.0001) - greatest(coalesce(bc.r, 0) / sp.RR, 0.0001))
+       * ln(greatest(coalesce(bc.c, 0) / sp.CC, 0.0001) / greatest(coalesce(bc.r, 0) / sp.RR, 0.0001))) AS psi
 FROM sp LEFT JOIN bc ON bc.symbol = sp.symbol AND bc.feature = sp.feature AND bc.bin = sp.bin
-GROUP BY sp.symbol, sp.feature"""))
+GROUP BY sp.symbol, sp.feature)"""
+
+_KS_P = """least(greatest(CASE WHEN lam = 0 THEN 1.0
+            WHEN lam >= 0.5 THEN 2.0 * list_sum(list_transform(range(1, 101), lambda j: pow(-1.0, j - 1) * exp(-2.0 * j * j * lam * lam)))
+            ELSE 1.0 - sqrt(2.0 * pi()) / lam * list_sum(list_transform(range(1, 101), lambda j: exp(-pow(2.0 * j - 1, 2) * pi() * pi() / (8.0 * lam * lam))))
+            END, 0.0), 1.0)"""
+
+
+def _erfc(x: str) -> str:
+    """1 - erf by its series of positive terms, 2 / sqrt(pi) * exp(-x^2) * sum 2^n x^(2n+1) / (2n+1)!!;
+    beyond 6 it is below 1e-16."""
+    term = f"exp(n * ln(2.0) + (2 * n + 1) * ln(e) - (lgamma(2 * n + 2) - n * ln(2.0) - lgamma(n + 1)))"
+    return (f"(SELECT CASE WHEN e > 6 THEN 0.0 WHEN e = 0 THEN 1.0 ELSE 1.0 - 2.0 / sqrt(pi()) * exp(-e * e) "
+            f"* list_sum(list_transform(range(0, 201), lambda n: {term})) END FROM (SELECT CAST({x} AS DOUBLE) AS e))")
+
+
+# p-values in closed form (at most five categories: four degrees of freedom)
+_REPORT_SQL = f"""
+flagged AS (
+  SELECT *, CASE method WHEN 'jensenshannon' THEN js_distance WHEN 'wasserstein' THEN wasserstein_norm
+      WHEN 'ks' THEN {_KS_P}
+      WHEN 'z' THEN {_erfc("abs(z) / sqrt(2.0)")}
+      WHEN 'chisquare' THEN CASE k - 1
+        WHEN 1 THEN {_erfc("sqrt(chi2 / 2)")}
+        WHEN 2 THEN exp(-chi2 / 2)
+        WHEN 3 THEN {_erfc("sqrt(chi2 / 2)")} + sqrt(2 * chi2 / pi()) * exp(-chi2 / 2)
+        WHEN 4 THEN exp(-chi2 / 2) * (1 + chi2 / 2) END END AS score
+  FROM rep),
+report AS (
+  SELECT *, coalesce(CASE WHEN method IN ('z', 'chisquare', 'ks') THEN score < 0.05 ELSE score >= 0.1 END, false)
+         AS drifted FROM flagged)"""
+
+
+def _drift_long(spark, sf):
+    return dr.drift_long(_processed(spark, sf), DRIFT_COLS)
+
+
+def _drift_statistics(spark, sf):
+    return dr.drift_statistics(dr.value_counts(_drift_long(spark, sf)))
+
+
+@register("drf_01_drift_columns", O.with_bars(O.BARS_FLAG, _DRIFT_SQL, body="""
+SELECT symbol, feature, split, count(*) AS n, round(avg(value), 6) + 0.0 AS mean FROM dlong GROUP BY ALL"""))
+def drf_01(spark, sf):
+    return rounded(_drift_long(spark, sf).groupBy("symbol", "feature", "split").agg(F.count("*").alias("n"), F.avg("value").alias("mean")))
+
+
+@register("drf_02_psi", O.with_bars(O.BARS_FLAG, _DRIFT_SQL, _PSI_SQL, body="""
+SELECT symbol, feature, round(psi, 6) + 0.0 AS psi FROM psi"""))
 def drf_02(spark, sf):
-    _, long, _, _ = _drift_parts(spark, sf)
-    return rounded(dr.psi(long))
+    return rounded(_drift_statistics(spark, sf).select("symbol", "feature", "psi"))
 
 
-@register("drf_03_ks", O.with_bars(O.BARS_FLAG, _DRIFT_SQL, body="""
+@register("drf_03_ks", O.with_bars(O.BARS_FLAG, _DRIFT_SQL, body=f"""
 SELECT symbol, feature, round(ks_stat, 6) + 0.0 AS ks_stat,
-       round(least(greatest(CASE WHEN lam = 0 THEN 1.0
-            WHEN lam >= 0.5 THEN 2.0 * list_sum(list_transform(range(1, 101), lambda j: pow(-1.0, j - 1) * exp(-2.0 * j * j * lam * lam)))
-            ELSE 1.0 - sqrt(2.0 * pi()) / lam * list_sum(list_transform(range(1, 101), lambda j: exp(-pow(2.0 * j - 1, 2) * pi() * pi() / (8.0 * lam * lam))))
-            END, 0.0), 1.0), 6) + 0.0 AS ks_p_value
+       round({_KS_P}, 6) + 0.0 AS ks_p_value
 FROM num"""))
 def drf_03(spark, sf):
-    _, _, counts, tot = _drift_parts(spark, sf)
-    return rounded(dr.ks_and_wasserstein(counts, tot).select("symbol", "feature", "ks_stat", "ks_p_value"))
+    return rounded(_drift_statistics(spark, sf).select("symbol", "feature", "ks_stat", "ks_p_value"))
 
 
 @register("drf_04_chi2_z", O.with_bars(O.BARS_FLAG, _DRIFT_SQL, body="""
@@ -317,54 +356,55 @@ SELECT c.symbol, c.feature, c.k, round(c.chi2, 6) + 0.0 AS chi2,
              * (1 - (c.x1 + c.x2) / (c.ref_total + c.cur_total)) * (1.0 / c.ref_total + 1.0 / c.cur_total)), 0) END, 6) + 0.0 AS z
 FROM cat c JOIN tot t USING (symbol, feature) WHERE t.n_distinct <= 5"""))
 def drf_04(spark, sf):
-    _, _, counts, tot = _drift_parts(spark, sf)
-    c = dr.categorical_stats(counts, tot).join(tot.select("symbol", "feature", "n_distinct"), ["symbol", "feature"])
-    return rounded(c.where(F.col("n_distinct") <= 5).select("symbol", "feature", "k", "chi2", "z"))
+    c = _drift_statistics(spark, sf).where(F.col("n_distinct") <= 5)
+    return rounded(c.select("symbol", "feature", F.col("n_distinct").alias("k"), "chi2", "z"))
 
 
 @register("drf_05_wasserstein_js", O.with_bars(O.BARS_FLAG, _DRIFT_SQL, body="""
 SELECT n.symbol, n.feature, round(n.wasserstein_norm, 6) + 0.0 AS wasserstein_norm, round(c.js_distance, 6) + 0.0 AS js_distance
 FROM num n JOIN cat c USING (symbol, feature)"""))
 def drf_05(spark, sf):
-    _, _, counts, tot = _drift_parts(spark, sf)
-    n = dr.ks_and_wasserstein(counts, tot).select("symbol", "feature", "wasserstein_norm")
-    c = dr.categorical_stats(counts, tot).select("symbol", "feature", "js_distance")
-    return rounded(n.join(c, ["symbol", "feature"]))
+    return rounded(_drift_statistics(spark, sf).select("symbol", "feature", "wasserstein_norm", "js_distance"))
 
 
-@register("drf_06_method_and_flags", O.with_bars(O.BARS_FLAG, _DRIFT_SQL, body="""
-SELECT symbol, feature, method,
-       CASE WHEN method = 'jensenshannon' THEN js_distance >= 0.1 WHEN method = 'wasserstein' THEN wasserstein_norm >= 0.1
-            ELSE NULL END AS drifted
-FROM rep"""))
+@register("drf_06_method_and_flags", O.with_bars(O.BARS_FLAG, _DRIFT_SQL, _REPORT_SQL, body="""
+SELECT symbol, feature, method, round(score, 6) + 0.0 AS score, drifted FROM report"""))
 def drf_06(spark, sf):
-    p = _processed(spark, sf)
-    r = dr.drift_report(p, DRIFT_COLS)
-    return r.select("symbol", "feature", "method",
-                    F.when(F.col("method").isin("jensenshannon", "wasserstein"), F.col("drifted")).alias("drifted"))
+    r = dr.drift_report(_processed(spark, sf), DRIFT_COLS)
+    return rounded(r.select("symbol", "feature", "method", "score", "drifted"))
+
 
+_DATASET_SQL = """
+SELECT symbol, round(avg(CAST(drifted AS DOUBLE)), 6) + 0.0 AS share_drifted, count(*) AS n_columns,
+       avg(CAST(drifted AS DOUBLE)) >= 0.5 AS dataset_drift
+FROM report GROUP BY symbol"""
+_ALERT_SQL = """
+SELECT symbol, feature, method AS metric, round(score, 6) + 0.0 AS value FROM report WHERE drifted
+UNION ALL
+SELECT symbol, feature, 'psi', round(psi, 6) + 0.0 FROM psi WHERE psi > 0.2"""
 
-@register("drf_06_dataset_drift")
+
+@register("drf_06_dataset_drift", O.with_bars(O.BARS_FLAG, _DRIFT_SQL, _REPORT_SQL, body=_DATASET_SQL))
 def drf_06_dataset(spark, sf):
-    return dr.dataset_drift(dr.drift_report(_processed(spark, sf), DRIFT_COLS))
+    return rounded(dr.dataset_drift(dr.drift_report(_processed(spark, sf), DRIFT_COLS)))
 
 
-@register("drf_07_alerts", O.with_bars(O.BARS_FLAG, _DRIFT_SQL, body="""
-SELECT symbol, feature, method AS metric, round(CASE WHEN method = 'jensenshannon' THEN js_distance ELSE wasserstein_norm END, 6) + 0.0 AS value
-FROM rep WHERE method IN ('jensenshannon', 'wasserstein')
-  AND (CASE WHEN method = 'jensenshannon' THEN js_distance ELSE wasserstein_norm END) >= 0.1"""))
+@register("drf_07_alerts", O.with_bars(O.BARS_FLAG, _DRIFT_SQL, _REPORT_SQL, _PSI_SQL, body=_ALERT_SQL))
 def drf_07(spark, sf):
-    p = _processed(spark, sf)
-    r = dr.drift_report(p, DRIFT_COLS).where(F.col("method").isin("jensenshannon", "wasserstein"))
-    long = dr.drift_long(p, DRIFT_COLS)
-    alerts = dr.drift_alerts(r, dr.psi(long).where(F.lit(False)))
-    return rounded(alerts)
+    return rounded(dr.drift_alerts(dr.drift_report(_processed(spark, sf), DRIFT_COLS)))
+
+
+# The supplier bars, with references of about 400 rows, take the small-sample branch: p-value tests.
+
+def _supplier_report(spark, sf):
+    return dr.drift_report(engineer_features(fx.bars_supplier(spark, sf)), DRIFT_COLS)
+
+
+@register("drf_06_supplier_dataset_drift", O.with_bars(O.BARS_SUPPLIER, _DRIFT_SQL, _REPORT_SQL, body=_DATASET_SQL))
+def drf_06_supplier(spark, sf):
+    return rounded(dr.dataset_drift(_supplier_report(spark, sf)))
 
 
-@register("drf_07_all_alerts")
+@register("drf_07_all_alerts", O.with_bars(O.BARS_SUPPLIER, _DRIFT_SQL, _REPORT_SQL, _PSI_SQL, body=_ALERT_SQL))
 def drf_07_all(spark, sf):
-    """Alerts with every method (p-value tests included) and PSI, on the supplier
-    bars, whose ~400-row references take the small-sample branch."""
-    p = cut_lineage(engineer_features(fx.bars_supplier(spark, sf)))
-    long = dr.drift_long(p, DRIFT_COLS)
-    return dr.drift_alerts(dr.drift_report(p, DRIFT_COLS), dr.psi(long))
+    return rounded(dr.drift_alerts(_supplier_report(spark, sf)))
