@@ -19,6 +19,12 @@ COMPANY_NAMES = {
 QUERY_SUFFIX = " stock NSE news"
 # Scorer failure result.
 FAILED_SCORE = ("neutral", 0.0, 0.5)
+# Default word lists of the lexicon scorer; both are parameters.
+POSITIVE_WORDS = ["beat", "beats", "best", "climb", "gain", "gains", "good", "growth", "high", "jump", "outperform",
+                  "profit", "profits", "rally", "record", "rise", "rises", "soar", "strong", "surge", "upgrade", "win"]
+NEGATIVE_WORDS = ["bad", "clown", "cut", "decline", "default", "downgrade", "drop", "drops", "fall", "falls", "fraud",
+                  "idiot", "loss", "losses", "low", "miss", "misses", "plunge", "scum", "sink", "slump", "trash",
+                  "weak", "worst", "worthless"]
 
 
 def score_from_labels(headlines: DataFrame, scored: DataFrame, key: str = "position") -> DataFrame:
@@ -32,8 +38,26 @@ def score_from_labels(headlines: DataFrame, scored: DataFrame, key: str = "posit
                       F.coalesce("confidence", F.lit(FAILED_SCORE[2])).alias("confidence"))
 
 
+def score_with_lexicon(headlines: DataFrame, text: str = "headline", positive: list[str] | None = None,
+                       negative: list[str] | None = None) -> DataFrame:
+    """SEN-01 (b): score the whole text by two word lists (lower case, words parted by anything but a-z).
+
+    More positive than negative words: (positive, +1); fewer: (negative, -1); else (neutral, 0). The
+    confidence of the first two is the winner's share with one word added to either side; a neutral text,
+    also an empty or a null one, is the failure result."""
+    words = F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), "[^a-z]+")
+    hits = lambda listed: F.size(F.filter(words, lambda w: w.isin(listed)))
+    x = headlines.select("*", hits(positive or POSITIVE_WORDS).alias("_p"), hits(negative or NEGATIVE_WORDS).alias("_n"))
+    up, down = F.col("_p") > F.col("_n"), F.col("_p") < F.col("_n")
+    label = F.when(up, "positive").when(down, "negative").otherwise(FAILED_SCORE[0])
+    score = F.when(up, 1.0).when(down, -1.0).otherwise(FAILED_SCORE[1])
+    share = (F.greatest("_p", "_n") + 1) / (F.col("_p") + F.col("_n") + 2)
+    return x.select(*headlines.columns, label.alias("label"), score.alias("score"),
+                    F.when(up | down, share).otherwise(FAILED_SCORE[2]).alias("confidence"))
+
+
 def score_with_model(headlines: DataFrame, predict_udf, text: str = "headline") -> DataFrame:
-    """SEN-01 (b): plug-in model scorer. ``predict_udf`` is a vectorised (pandas /
+    """SEN-01 (c): plug-in model scorer. ``predict_udf`` is a vectorised (pandas /
     ``predict_batch_udf``) function returning struct<label, confidence>; scores map
     positive/neutral/negative to +1/0/-1. Errors inside the model are the caller's
     UDF's business; a null result becomes the failure result."""

@@ -50,6 +50,13 @@ def forecast_distribution(bars: DataFrame, context: int = DEFAULT.forecast_conte
         .drop("_i")
 
 
+def latest_forecast(bars: DataFrame, context: int = DEFAULT.forecast_context,
+                    by: str = SYMBOL, order: str = DATE) -> DataFrame:
+    """The forecast of each symbol's latest row. It needs only the last ``context`` + 1 bars, and these are
+    cut out (partly before the shuffle) before anything is scored."""
+    return latest_rows(forecast_distribution(last_n(bars, context + 1, by, order), context, by, order), by, order)
+
+
 def trailing_context(bars: DataFrame, context: int = DEFAULT.forecast_context,
                      by: str = SYMBOL, order: str = DATE) -> DataFrame:
     """WIN-02: the trailing ``context`` closes per row (bounded list), null before."""

@@ -13,8 +13,8 @@ from ..operators import serve as sv
 from ..operators.features import align_close, engineer_features
 from ..operators.indicators import FEATURE_COLUMNS
 from ..operators.metrics import comparison_table, confusion_matrix
-from ..operators.sentiment import (aggregate_scores, daily_sentiment, fetched_headlines, live_sentiment,
-                                   search_query)
+from ..operators.sentiment import (NEGATIVE_WORDS, POSITIVE_WORDS, aggregate_scores, daily_sentiment,
+                                   fetched_headlines, live_sentiment, score_with_lexicon, search_query)
 from ..sources import fixtures as fx
 from . import oracle as O
 from .catalog import register, rounded, sql_round
@@ -29,8 +29,7 @@ def _flag(spark, sf):
 
 def serving_predictions(spark, sf) -> DataFrame:
     """Latest row per symbol, scored by the forecast slot, keyed 'SYMBOL.NS'."""
-    fc = sv.forecast_distribution(_flag(spark, sf))
-    latest = sv.latest_rows(fc.select("symbol", "date", "probs"))
+    latest = sv.latest_forecast(_flag(spark, sf)).select("symbol", "date", "probs")
     return sv.signals(latest.withColumn("symbol", F.concat("symbol", F.lit(".NS"))))
 
 
@@ -55,6 +54,18 @@ def sen_01(spark, sf):
     return fx.scored_headlines(spark, sf).select("symbol", "date", "position", "label", "score", "confidence")
 
 
+@register("sen_01_lexicon", O.with_bars(O.BARS_FLAG, O.HEADLINES, body=f"""
+SELECT symbol, date, position, CASE WHEN p > n THEN 'positive' WHEN p < n THEN 'negative' ELSE 'neutral' END AS label,
+       CASE WHEN p > n THEN 1.0 WHEN p < n THEN -1.0 ELSE 0.0 END AS score,
+       round(CASE WHEN p = n THEN 0.5 ELSE (greatest(p, n) + 1.0) / (p + n + 2.0) END, 6) AS confidence
+FROM (SELECT symbol, date, position, len(list_filter(w, lambda x: x IN {tuple(POSITIVE_WORDS)})) AS p,
+             len(list_filter(w, lambda x: x IN {tuple(NEGATIVE_WORDS)})) AS n
+      FROM (SELECT *, string_split_regex(lower(coalesce(headline, '')), '[^a-z]+') AS w FROM headlines))"""))
+def sen_01_lexicon(spark, sf):
+    scored = score_with_lexicon(fx.headlines(spark, sf))
+    return rounded(scored.select("symbol", "date", "position", "label", "score", "confidence"))
+
+
 @register("agg_01_headline_batch", O.with_bars(O.BARS_FLAG, O.FETCHED, body=f"""
 SELECT symbol, date, {sql_round(['sentiment_score', 'sentiment_confidence', 'news_count_7d'])} FROM (
   SELECT symbol, date, avg(score) AS sentiment_score, avg(confidence) AS sentiment_confidence,
@@ -244,13 +255,14 @@ metrics AS (
 
 
 @register("top_01_comparison_order", O.with_bars(O.BARS_FLAG, _METRICS_SQL, body="""
-SELECT row_number() OVER (ORDER BY symbol, round(macro_f1, 4) DESC, model) AS rank, symbol, model,
+SELECT row_number() OVER (PARTITION BY symbol ORDER BY round(macro_f1, 4) DESC, model) AS rank, symbol, model,
        round(macro_f1, 4) + 0.0 AS macro_f1 FROM metrics"""))
 def top_01(spark, sf):
     t = comparison_table(fx.predictions_persistence(_flag(spark, sf)))
     from pyspark.sql import Window
-    w = Window.orderBy(F.col("symbol"), F.col("macro_f1").desc(), F.col("model"))
-    return rounded(t.select(F.row_number().over(w).alias("rank"), "symbol", "model", "macro_f1"))
+    w = Window.partitionBy("symbol").orderBy(F.col("macro_f1").desc(), F.col("model"))
+    ranked = t.select(F.row_number().over(w).alias("rank"), "symbol", "model", "macro_f1")
+    return rounded(ranked).orderBy("symbol", "rank")
 
 
 @register("top_02_last_candles", O.with_bars(O.BARS_FLAG, body=f"""

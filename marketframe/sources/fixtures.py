@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..operators.bars import bars_from_ticks
 from ..operators.labels import label_class
+from ..operators.sentiment import score_from_labels
 from ..operators.windows import series
 from .tables import read_table
 
@@ -81,13 +82,13 @@ def scored_headlines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Headlines scored by the label table (toxic -> negative, quality -> positive)."""
     hl = headlines(spark, sf_dir)
     lab = read_table(spark, sf_dir, "labels", ["doc_id", "quality", "toxic"])
-    j = hl.join(lab, hl.position == lab.doc_id, "left")
     label = (F.when(F.col("toxic") == 1, "negative").when(F.col("quality") == 1, "positive")
              .otherwise("neutral"))
     score = F.when(F.col("toxic") == 1, -1.0).when(F.col("quality") == 1, 1.0).otherwise(0.0)
     conf = F.when(F.col("toxic") == 1, 0.9).when(F.col("quality") == 1, 0.8).otherwise(0.5)
-    return j.select("symbol", "date", "position", "headline", label.alias("label"),
-                    score.alias("score"), conf.alias("confidence"))
+    scored = lab.select(F.col("doc_id").alias("position"), label.alias("label"), score.alias("score"),
+                        conf.alias("confidence"))
+    return score_from_labels(hl, scored)
 
 
 def predictions_persistence(bars: DataFrame) -> DataFrame:

@@ -38,8 +38,10 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 
 def write_bars(bars: DataFrame, path: str, fmt: str = "csv") -> None:
-    """SRC-02: one folder per symbol (the partition directory replaces the file name)."""
-    w = bars.write.mode("overwrite").partitionBy("symbol")
+    """SRC-02: one folder per symbol (the partition directory replaces the file name). Rows are clustered
+    by symbol first, so that a folder holds one file, not one per task; a symbol's bars are bounded by the
+    calendar."""
+    w = bars.repartition("symbol").write.mode("overwrite").partitionBy("symbol")
     (w.option("header", True).csv(path) if fmt == "csv" else w.parquet(path))
 
 
@@ -51,8 +53,8 @@ def read_bars(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_features(processed: DataFrame, path: str) -> None:
-    """SRC-03: processed features as Parquet partitioned by symbol."""
-    processed.write.mode("overwrite").partitionBy("symbol").parquet(path)
+    """SRC-03: processed features as Parquet partitioned by symbol (clustered as in ``write_bars``)."""
+    processed.repartition("symbol").write.mode("overwrite").partitionBy("symbol").parquet(path)
 
 
 def load_processed(spark: SparkSession, path: str, symbol: str) -> DataFrame:
@@ -67,7 +69,7 @@ def write_headline_cache(headlines: DataFrame, path: str, fetched_at: str,
                          cap: int = 20) -> None:
     """SRC-05 sink: one JSON record per (symbol, date) with the ordered headline list of
     that day's fetch (deduped, first ``cap`` by position), so ``collect_list`` holds at
-    most ``cap`` entries whatever the input volume."""
+    most ``cap`` entries whatever the input volume. One folder per symbol; the date is in the record."""
     from ..operators.sets import cap_per_group, dedupe_first
     uniq = dedupe_first(headlines.select("symbol", "date", "headline", "position"),
                         ["symbol", "date", "headline"], "position")
@@ -76,7 +78,7 @@ def write_headline_cache(headlines: DataFrame, path: str, fetched_at: str,
            .agg(F.array_sort(F.collect_list(F.struct("position", "headline"))).alias("_h"))
            .select("symbol", "date", F.col("_h.headline").alias("headlines"),
                    F.lit(fetched_at).alias("fetched_at")))
-    rec.write.mode("overwrite").partitionBy("symbol", "date").json(path)
+    rec.repartition("symbol").write.mode("overwrite").partitionBy("symbol").json(path)
 
 
 def read_headline_cache(spark: SparkSession, path: str) -> DataFrame:

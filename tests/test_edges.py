@@ -68,3 +68,23 @@ def test_headlines_keep_the_whole_text(spark, tmp_path):
 def test_ks_p_value(spark, lam, want):
     got = spark.range(1).select(ks_p_value(F.lit(lam)).alias("p")).first().p
     assert got == pytest.approx(want, abs=1e-9)
+
+
+def test_lexicon_scores(spark):
+    from marketframe.operators.sentiment import score_with_lexicon
+    texts = ["Strong GROWTH, weak sales", "Profit!gain", "x " * 5000 + "loss", "", None, "good/bad"]
+    df = spark.createDataFrame(list(enumerate(texts)), "position long, headline string")
+    got = {r.position: (r.label, r.score, round(r.confidence, 6)) for r in score_with_lexicon(df).collect()}
+    assert got == {0: ("positive", 1.0, 0.6), 1: ("positive", 1.0, 0.75), 2: ("negative", -1.0, round(2 / 3, 6)),
+                   3: ("neutral", 0.0, 0.5), 4: ("neutral", 0.0, 0.5), 5: ("neutral", 0.0, 0.5)}
+
+
+def test_latest_forecast_needs_only_the_last_bars(spark):
+    from marketframe.operators.serve import forecast_distribution, latest_forecast, latest_rows
+    import datetime as dt
+    day = dt.date(2024, 1, 1)
+    rows = [(s, day + dt.timedelta(days=i), 100.0 + (i * 7 % 13) * (1 + i % 3)) for s, n in (("A", 200), ("B", 65), ("C", 64))
+            for i in range(n)]
+    bars = spark.createDataFrame(rows, "symbol string, date date, close double")
+    get = lambda df: sorted((r.symbol, r.date, tuple(r.probs)) for r in df.collect())
+    assert get(latest_forecast(bars)) == get(latest_rows(forecast_distribution(bars)))
