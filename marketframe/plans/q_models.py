@@ -135,6 +135,7 @@ def ml_08(spark, sf):
 # ---- evaluation -------------------------------------------------------------------------
 
 _PRED_SQL = O.BARS_FLAG
+METRIC_COLS = ["accuracy", "macro_f1", "weighted_f1", "buy_f1", "sell_f1"]
 _PERSIST_SQL = """
 lab AS (
   SELECT symbol, date, CASE WHEN fwd > 0.02 THEN 4 WHEN fwd > 0.005 THEN 3 WHEN fwd < -0.02 THEN 0

@@ -14,6 +14,8 @@ from ..sources import fixtures as fx
 from ..sources import io
 from . import oracle as O
 from .catalog import register, rounded, sql_round
+from .q_features import FEATURES_SQL
+from .q_models import METRIC_COLS, _PERSIST_SQL
 
 _RAW = {**dq.RAW_RULES, **dq.OHLC_RULES}
 
@@ -110,25 +112,33 @@ def dq_09(spark, sf):
 
 # ---- sources and sinks ---------------------------------------------------------------
 
-@register("src_01_read_bars_csv")
+_OHLCV = ["open", "high", "low", "close", "volume"]
+_BARS_SQL = O.with_bars(O.BARS_FLAG, body=f"SELECT symbol, date, {sql_round(_OHLCV)} FROM bars")
+
+
+@register("src_01_read_bars_csv", _BARS_SQL)
 def src_01(spark, sf):
     path = io.scratch_path(spark, "bars-csv")
     io.write_bars(fx.bars_flag(spark, sf), path)
-    return io.read_bars(spark, path)
+    return rounded(io.read_bars(spark, path).select("symbol", "date", *_OHLCV))
 
 
-@register("src_02_write_bars_per_symbol")
+@register("src_02_write_bars_per_symbol", O.with_bars(O.BARS_SUPPLIER, body=f"""
+SELECT symbol, count(*) AS n_rows, {", ".join(f"round(sum({c}), 4) + 0.0 AS {c}" for c in _OHLCV)}
+FROM bars GROUP BY symbol"""))
 def src_02(spark, sf):
     path = io.scratch_path(spark, "bars-parquet")
     io.write_bars(fx.bars_supplier(spark, sf), path, fmt="parquet")
-    return spark.read.parquet(path).groupBy("symbol").agg(F.count("*").alias("n_rows"))
+    got = spark.read.parquet(path).groupBy("symbol").agg(
+        F.count("*").alias("n_rows"), *[F.sum(c).alias(c) for c in _OHLCV])
+    return rounded(got.withColumn("symbol", F.col("symbol").cast("string")), 4)
 
 
-@register("src_03_write_features")
+@register("src_03_write_features", FEATURES_SQL)
 def src_03(spark, sf):
     path = io.scratch_path(spark, "features")
     io.write_features(engineer_features(fx.bars_flag(spark, sf)), path)
-    return spark.read.parquet(path)
+    return rounded(spark.read.parquet(path))
 
 
 @register("src_04_load_processed", O.with_bars(O.BARS_FLAG, O.PROCESSED, body=f"""
@@ -141,30 +151,36 @@ def src_04(spark, sf):
     return rounded(got.select("symbol", "date", F.col("price_sma20_ratio").alias("close_ratio"), "label"))
 
 
-@register("src_05_headline_cache")
+@register("src_05_headline_cache", O.with_bars(O.BARS_FLAG, O.FETCHED, body="""
+SELECT symbol, date, '2001-11-04T00:00:00' AS fetched_at, headline,
+       CAST(row_number() OVER (PARTITION BY symbol, date ORDER BY position) - 1 AS INTEGER) AS pos FROM fetched"""))
 def src_05(spark, sf):
     path = io.scratch_path(spark, "news")
     io.write_headline_cache(fx.headlines(spark, sf), path, fetched_at="2001-11-04T00:00:00")
     return io.read_headline_cache(spark, path)
 
 
-@register("src_06_metrics_json")
+@register("src_06_metrics_json", O.with_bars(O.BARS_FLAG, _PERSIST_SQL, body=f"""
+SELECT '2001-11-04T00:00:00' AS trained_at, symbol, model, {sql_round(METRIC_COLS)} FROM metrics"""))
 def src_06(spark, sf):
     from ..operators.metrics import classification_metrics
     preds = fx.predictions_persistence(fx.bars_flag(spark, sf))
     path = io.scratch_path(spark, "metrics")
     io.write_metrics_json(classification_metrics(preds), path, trained_at="2001-11-04T00:00:00")
-    return io.read_metrics_json(spark, path)
+    records = io.read_metrics_json(spark, path).select("trained_at", "symbol", F.explode("metrics").alias("model", "m"))
+    return rounded(records.select("trained_at", "symbol", "model", *[F.col("m")[c].alias(c) for c in METRIC_COLS]))
 
 
-@register("src_07_comparison_csv")
+@register("src_07_comparison_csv", O.with_bars(O.BARS_FLAG, _PERSIST_SQL, body="""
+SELECT symbol, model, """ + ", ".join(f"round({c}, 4) + 0.0 AS {c}" for c in METRIC_COLS) + " FROM metrics"))
 def src_07(spark, sf):
     from ..operators.metrics import comparison_table
     preds = fx.predictions_persistence(fx.bars_flag(spark, sf))
     stamp = datetime(2001, 11, 4).strftime("%Y%m%d_%H%M%S")
     path = io.scratch_path(spark, f"model_comparison_{stamp}")
     io.write_comparison_csv(comparison_table(preds), path)
-    return spark.read.option("header", True).csv(path)
+    schema = ", ".join(["symbol string", "model string"] + [f"{c} double" for c in METRIC_COLS])
+    return rounded(spark.read.schema(schema).option("header", True).csv(path))
 
 
 @register("src_09_period_filter", O.with_bars(O.BARS_FLAG, body=f"""
@@ -173,13 +189,13 @@ def src_09(spark, sf):
     return rounded(filter_period(fx.bars_flag(spark, sf), "6m", "2001-11-04").select("symbol", "date", "close"))
 
 
-@register("src_10_standardise_columns")
+@register("src_10_standardise_columns", _BARS_SQL)
 def src_10(spark, sf):
     b = fx.bars_flag(spark, sf)
     provider = b.select("symbol", F.col("date").alias("Date"), F.col("open").alias("Open"),
                         F.col("high").alias("High"), F.col("low").alias("Low"),
                         F.col("close").alias("Adj Close"), F.col("volume").alias("Volume"))
-    return io.standardise_columns(provider)
+    return rounded(io.standardise_columns(provider))
 
 
 # ---- set operations ------------------------------------------------------------------

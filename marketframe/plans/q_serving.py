@@ -555,9 +555,25 @@ def join_06(spark, sf):
                     "data_as_of")
 
 
-@register("srv_01_prediction_records")
+@register("srv_01_prediction_records", O.with_bars(O.BARS_FLAG, O.PREDICTIONS, O.LIVE_SENTIMENT, body="""
+SELECT p.symbol, p.signal, p.signal_class, p.confidence + 0.0 AS confidence, 'forecast_distribution' AS model_used,
+       p.symbol AS sentiment_symbol, round(coalesce(l.sentiment_score, 0.0), 4) + 0.0 AS sentiment_score,
+       CASE WHEN coalesce(l.sentiment_score, 0.0) > 0.1 THEN 'positive' WHEN coalesce(l.sentiment_score, 0.0) < -0.1
+            THEN 'negative' ELSE 'neutral' END AS sentiment_label,
+       round(coalesce(l.sentiment_confidence, 0.5), 4) + 0.0 AS sentiment_confidence,
+       CAST(coalesce(l.news_count_7d, 0.0) AS INTEGER) AS news_count, CAST(p.date AS VARCHAR) AS data_as_of,
+       CAST(5 AS INTEGER) AS n_probabilities, CAST(5 AS INTEGER) AS n_top_features
+FROM pred p LEFT JOIN (SELECT symbol || '.NS' AS symbol, sentiment_score, sentiment_confidence, news_count_7d FROM live) l
+     ON l.symbol = p.symbol"""))
 def srv_01(spark, sf):
-    return _records(spark, sf)
+    """The records, flattened; fn_08 checks their explanation, which names probabilities and top features."""
+    r = _records(spark, sf)
+    return rounded(r.select(
+        "symbol", "signal", "signal_class", "confidence", "model_used",
+        F.col("sentiment.symbol").alias("sentiment_symbol"), F.col("sentiment.score").alias("sentiment_score"),
+        F.col("sentiment.label").alias("sentiment_label"), F.col("sentiment.confidence").alias("sentiment_confidence"),
+        F.col("sentiment.news_count").alias("news_count"), "data_as_of",
+        F.size("probabilities").alias("n_probabilities"), F.size("top_features").alias("n_top_features")))
 
 
 @register("srv_02_candles", O.with_bars(O.BARS_FLAG, body="""
