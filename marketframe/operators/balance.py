@@ -1,15 +1,10 @@
-"""SMOTE oversampling (BAL-01) as distributed joins, with exact nearest neighbours
-and no all-pairs join.
+"""SMOTE oversampling (BAL-01) as distributed joins, with exact nearest neighbours.
 
-Neighbours are found inside each (group, class) by a band join on a 1-D
-projection p = x . u (u a unit vector, so |p_x - p_y| <= ||x - y||):
-
-1. candidates: the k rows on either side of x in p-order (a bounded window) give
-   an upper bound r_x on the distance to x's k-th nearest neighbour;
-2. every true neighbour y then satisfies |p_x - p_y| <= r_x, so x probes the
-   p-buckets covering [p_x - r_x, p_x + r_x] and y sits in bucket floor(p_y / W):
-   an equi-join on (group, class, bucket) plus the band filter;
-3. exact distances on the band pairs, ranked, keep the k nearest.
+Neighbours are found inside each (group, class) in blocks: rows are dealt into blocks of about
+``BLOCK_ROWS``, every pair of blocks meets in one task, and a task returns only each row's nearest few, so
+pairs never become rows. Triangle bounds were tried and do not prune these tables: on the 64 scaled
+columns (sf0.01), the two leading principal components leave 60 % of the pairs of a class even when the
+true radius is known, and 16 of them leave 10 %.
 
 Synthetic rows: each minority class is raised to the majority count; sample s
 picks a base row, one of its k neighbours and u in [0, 1) from seeded hashes of
@@ -20,14 +15,15 @@ or when a class between 0 and the largest label has no row.
 
 from __future__ import annotations
 
-import math
-
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT
 
 MAX_K = 5
+BLOCK_ROWS, QUERY_ROWS = 512, 32
 HASH_RANGE = 2 ** 31
 
 
@@ -35,10 +31,6 @@ def _vec(cols: list[str]):
     return F.array(*[F.col(c).cast("double") for c in cols])
 
 
-def _dist(a, b):
-    return F.sqrt(F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, v: s + v))
-
-
 def class_plan(df: DataFrame, keys: list[str], label: str = "label") -> DataFrame:
     """Per (keys, class): n_c, n_max, k and how many rows to synthesise."""
     counts = df.groupBy(*keys, label).agg(F.count("*").alias("n_c"))
@@ -51,36 +43,65 @@ def class_plan(df: DataFrame, keys: list[str], label: str = "label") -> DataFram
                     F.when(ok, F.col("n_max") - F.col("n_c")).otherwise(0).alias("need"))
 
 
+def _block_neighbours(k_max: int):
+    """Task body for one pair of blocks: of every row, its ``k_max`` nearest rows in the pair's other block
+    (in its own where both are one), by (distance, id)."""
+    def nearest(frame: pd.DataFrame, rows: np.ndarray, others: np.ndarray, vecs: np.ndarray, same: bool):
+        ids = frame["_id"].to_numpy()
+        order = others[np.argsort(ids[others], kind="stable")]
+        for start in range(0, len(rows), QUERY_ROWS):
+            mine = rows[start:start + QUERY_ROWS]
+            d = np.sqrt(((vecs[mine][:, None, :] - vecs[order][None, :, :]) ** 2).sum(axis=2))
+            if same:
+                d[mine[:, None] == order[None, :]] = np.nan
+            best = np.argsort(d, axis=1, kind="stable")[:, :k_max]
+            found = np.take_along_axis(d, best, axis=1)
+            at, nth = np.nonzero(~np.isnan(found))
+            yield pd.DataFrame({"_id": ids[mine[at]], "nn_id": ids[order[best[at, nth]]], "d": found[at, nth]})
+
+    def run(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+        low, high = key[-2:]
+        vecs = np.array([np.asarray(v, dtype=float) for v in frame["v"]])
+        block = frame["block"].to_numpy()
+        one, two = np.flatnonzero(block == low), np.flatnonzero(block == high)
+        parts = list(nearest(frame, one, two, vecs, low == high)) if len(one) and len(two) else []
+        if low != high and parts:
+            parts += nearest(frame, two, one, vecs, False)
+        return pd.concat(parts) if parts else pd.DataFrame({"_id": [], "nn_id": [], "d": []})
+    return run
+
+
 def nearest_neighbours(df: DataFrame, keys: list[str], cols: list[str], k: DataFrame,
                        label: str = "label", id_col: str = "_id") -> DataFrame:
-    """Exact k nearest neighbours (Euclidean) of every row within (keys, class).
+    """Exact k nearest neighbours (Euclidean, ties by id) of every row within (keys, class).
 
-    ``k`` gives the per-(keys, class) neighbour count. Returns (id, nn_rank,
-    nn_id, nn_vec)."""
+    ``k`` gives the per-(keys, class) neighbour count, at most ``MAX_K``; ids tell the rows of one
+    (keys, class) apart. Rows with a null or NaN feature have no neighbours and are none. Returns
+    (keys, class, id, nn_rank, nn_id, nn_vec)."""
     g = keys + [label]
-    u = 1.0 / math.sqrt(len(cols))
-    x = df.select(*g, id_col, _vec(cols).alias("v"))
-    x = x.withColumn("p", F.aggregate("v", F.lit(0.0), lambda s, e: s + e * u)).join(k, g)
-    w = Window.partitionBy(*g).orderBy("p", id_col)
-    near = F.collect_list(F.struct(F.col(id_col).alias("i"), F.col("v").alias("v"))).over(
-        w.rowsBetween(-MAX_K, MAX_K))
-    x = x.withColumn("_near", near)
-    cand = F.filter("_near", lambda e: e["i"] != F.col(id_col))
-    dists = F.array_sort(F.transform(cand, lambda e: _dist(e["v"], F.col("v"))))
-    x = x.withColumn("r", F.element_at(dists, F.col("k").cast("int"))).drop("_near")
-    width = x.groupBy(*g).agg(F.greatest(F.avg("r"), F.lit(1e-12)).alias("W"))
-    x = x.join(width, g)
-    lo, hi = F.floor((F.col("p") - F.col("r")) / F.col("W")), F.floor((F.col("p") + F.col("r")) / F.col("W"))
-    probes = x.select(*g, F.col(id_col).alias("qid"), F.col("v").alias("qv"), F.col("p").alias("qp"),
-                      "r", "k", F.explode(F.sequence(lo, hi)).alias("bucket"))
-    points = x.select(*g, F.col(id_col).alias("nn_id"), F.col("v").alias("nn_vec"), F.col("p").alias("np"),
-                      F.floor(F.col("p") / F.col("W")).alias("bucket"))
-    pairs = probes.join(points, g + ["bucket"]).where(
-        (F.col("qid") != F.col("nn_id")) & (F.abs(F.col("qp") - F.col("np")) <= F.col("r")))
-    pairs = pairs.withColumn("d", _dist(F.col("qv"), F.col("nn_vec")))
-    wr = Window.partitionBy("qid").orderBy("d", "nn_id")
-    ranked = pairs.withColumn("nn_rank", F.row_number().over(wr)).where(F.col("nn_rank") <= F.col("k"))
-    return ranked.select(F.col("qid").alias(id_col), "nn_rank", "nn_id", "nn_vec")
+    points = df.select(*g, F.col(id_col).alias("_id"), _vec(cols).alias("v")).join(k.select(*g, "k"), g)
+    sizes = points.groupBy(*g).agg(F.ceil(F.count("*") / F.lit(BLOCK_ROWS)).alias("_blocks"))
+    x = points.join(sizes, g).withColumn("block", F.pmod(F.xxhash64("_id"), F.col("_blocks")))
+    # a row meets every block once: in the pair of its own block and that one
+    x = x.withColumn("_other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_blocks") - 1)))
+    x = x.select(*g, "_id", "v", "block", F.least("block", "_other").alias("_low"),
+                 F.greatest("block", "_other").alias("_high"))
+    types = {f.name: f.dataType.simpleString() for f in x.schema}
+    schema = ", ".join(f"`{c}` {types[c]}" for c in g) + f", _id {types['_id']}, nn_id {types['_id']}, d double"
+    body = _block_neighbours(MAX_K)
+
+    def pairs_of(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+        found = body(key, frame)
+        return found.assign(**dict(zip(g, key)))[[*g, "_id", "nn_id", "d"]]
+
+    # dealt by pair of blocks: the class alone would put all its pairs into one task
+    pair = [*g, "_low", "_high"]
+    near = x.repartition(*pair).groupBy(*pair).applyInPandas(pairs_of, schema)
+    w = Window.partitionBy(*g, "_id").orderBy("d", "nn_id")
+    near = near.withColumn("nn_rank", F.row_number().over(w)).where(F.col("nn_rank") <= MAX_K)
+    near = near.join(k.select(*g, "k"), g).where(F.col("nn_rank") <= F.col("k"))
+    vecs = points.select(*g, F.col("_id").alias("nn_id"), F.col("v").alias("nn_vec"))
+    return near.join(vecs, g + ["nn_id"]).select(*g, F.col("_id").alias(id_col), "nn_rank", "nn_id", "nn_vec")
 
 
 def smote(df: DataFrame, cols: list[str], keys: list[str], label: str = "label",
@@ -90,16 +111,15 @@ def smote(df: DataFrame, cols: list[str], keys: list[str], label: str = "label",
     g = keys + [label]
     w = Window.partitionBy(*g).orderBy(order)
     base = df.select(*g, order, *cols).withColumn("_idx", F.row_number().over(w) - 1)
-    base = base.withColumn("_id", F.xxhash64(*[F.col(c) for c in g], F.col("_idx")))
     plan = class_plan(base, keys, label)
     todo = plan.where(F.col("need") > 0)
-    nn = nearest_neighbours(base.join(todo.select(*g), g, "left_semi"), keys, cols, todo.select(*g, "k"), label)
+    nn = nearest_neighbours(base.join(todo.select(*g), g, "left_semi"), keys, cols, todo.select(*g, "k"), label, "_idx")
     s = todo.select(*g, "n_c", "k", F.explode(F.sequence(F.lit(0), F.col("need") - 1)).alias("_s"))
     h = lambda tag: F.pmod(F.xxhash64(*[F.col(c) for c in g], F.col("_s"), F.lit(seed), F.lit(tag)), F.lit(HASH_RANGE))
     s = s.select(*g, "_s", (h("base") % F.col("n_c")).alias("_idx"), (h("nn") % F.col("k") + 1).alias("nn_rank"),
                  (h("u") / float(HASH_RANGE)).alias("_u"))
-    s = s.join(base.select(*g, "_idx", "_id", _vec(cols).alias("v")), g + ["_idx"])
-    s = s.join(nn, ["_id", "nn_rank"])
+    s = s.join(base.select(*g, "_idx", _vec(cols).alias("v")), g + ["_idx"])
+    s = s.join(nn, [*g, "_idx", "nn_rank"])
     new = F.zip_with("v", "nn_vec", lambda a, b: a + F.col("_u") * (b - a))
     syn = s.select(*g, F.lit(None).cast(df.schema[order].dataType).alias(order), new.alias("_nv"))
     syn = syn.select(*g, order, *[F.col("_nv")[i].alias(c) for i, c in enumerate(cols)], F.lit(True).alias("synthetic"))

@@ -280,6 +280,21 @@ def test_knn_exact_against_brute_force(spark):
         assert got == [j for _, j in d]
 
 
+def test_knn_across_blocks_with_ties_and_missing_values(spark, monkeypatch):
+    monkeypatch.setattr(balance, "BLOCK_ROWS", 16)
+    rng = np.random.default_rng(5)
+    pts = rng.integers(0, 3, size=(150, 3)).astype(float)     # many equal points
+    pts[7, 1] = np.nan
+    rows = [("G", 0, i, *map(float, p)) for i, p in enumerate(pts)]
+    df = spark.createDataFrame(rows, "g string, label int, _id long, a double, b double, c double")
+    k = spark.createDataFrame([("G", 0, 5)], "g string, label int, k int")
+    nn = balance.nearest_neighbours(df, ["g"], ["a", "b", "c"], k).toPandas()
+    assert 7 not in set(nn._id) | set(nn.nn_id)
+    for i in set(range(150)) - {7}:
+        want = sorted((np.linalg.norm(pts[i] - pts[j]), j) for j in range(150) if j not in (i, 7))[:5]
+        assert nn[nn._id == i].sort_values("nn_rank").nn_id.tolist() == [j for _, j in want]
+
+
 def test_smote_balances_classes(spark):
     rng = np.random.default_rng(8)
     rows = []
