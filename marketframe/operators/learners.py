@@ -8,17 +8,18 @@ of folds / trials / learners, each of which is a distributed Spark fit.
 from __future__ import annotations
 
 import random
-from dataclasses import dataclass
+from multiprocessing.pool import ThreadPool
 
 from pyspark.ml.classification import (DecisionTreeClassifier, GBTClassifier, LogisticRegression,
                                        MultilayerPerceptronClassifier, NaiveBayes, OneVsRest,
                                        RandomForestClassifier)
 from pyspark.ml.feature import MinMaxScaler, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT
+from ..session import cut_lineage
 from .metrics import classification_metrics
 
 N_CLASSES = 5
@@ -40,14 +41,17 @@ def tree_learner(num_trees: int = 20, max_depth: int = 6, seed: int = DEFAULT.ra
                                   maxDepth=max_depth, seed=seed, **kw)
 
 
-def boosted_learner(max_iter: int = 20, max_depth: int = 6, step: float = 0.05, subsample: float = 0.8,
-                    seed: int = DEFAULT.random_state, validation_col: str | None = None):
-    """ML-02: one-vs-rest gradient-boosted trees (the binary GBT has no multiclass mode)."""
+def boosted_learner(max_iter: int = 1000, max_depth: int = 6, step: float = 0.05, subsample: float = 0.8,
+                    seed: int = DEFAULT.random_state, validation_col: str | None = None, tolerance: float = 0.001):
+    """ML-02: one-vs-rest gradient-boosted trees (the binary GBT has no multiclass mode).
+
+    With a validation column each class stops once a round improves its validation error by less than
+    ``tolerance`` of it. The five binary fits run side by side."""
     gbt = GBTClassifier(labelCol="label", featuresCol="features", maxIter=max_iter, maxDepth=max_depth,
-                        stepSize=step, subsamplingRate=subsample, seed=seed)
+                        stepSize=step, subsamplingRate=subsample, seed=seed, validationTol=tolerance)
     if validation_col:
         gbt = gbt.setValidationIndicatorCol(validation_col)
-    return OneVsRest(classifier=gbt, labelCol="label", featuresCol="features")
+    return OneVsRest(classifier=gbt, labelCol="label", featuresCol="features", parallelism=N_CLASSES)
 
 
 def ovr_probabilities(raw: Column) -> Column:
@@ -65,16 +69,10 @@ def sequence_learner(n_inputs: int, max_iter: int = 30, seed: int = DEFAULT.rand
                                           layers=[n_inputs, 128, 64, N_CLASSES], maxIter=max_iter, seed=seed)
 
 
-def flatten_sequences(df: DataFrame, seq_col: str = "sequence", out: str = "seq_features") -> DataFrame:
-    """SEQ-01 output (array of feature arrays) -> one dense vector per row."""
-    return df.withColumn(out, array_to_vector(F.flatten(seq_col)))
-
-
-@dataclass
-class Scored:
-    """A learner's output: (symbol, date, probs array<double>) for the scored rows."""
-    name: str
-    table: DataFrame
+def sequence_vector(df: DataFrame, n_cols: int, out: str = "seq_features") -> DataFrame:
+    """SEQ-01 output (array of feature arrays) -> one dense vector per row; zeros where there is no window."""
+    none = F.array_repeat(F.lit(0.0), n_cols * DEFAULT.sequence_length)
+    return df.withColumn(out, array_to_vector(F.coalesce(F.flatten("sequence"), none)))
 
 
 def fit_predict(learner: str, train: DataFrame, test: DataFrame, cols: list[str], **kw) -> DataFrame:
@@ -86,14 +84,11 @@ def fit_predict(learner: str, train: DataFrame, test: DataFrame, cols: list[str]
         m = boosted_learner(**kw).fit(assemble(train, cols))
         out = m.transform(assemble(test, cols)).select("symbol", "date", ovr_probabilities(F.col("rawPrediction")).alias("probs"))
     elif learner == "mlp":
-        tr = flatten_sequences(train.where(F.col("sequence").isNotNull()))
-        n_inputs = len(cols) * DEFAULT.sequence_length
-        m = sequence_learner(n_inputs, **kw).fit(tr)
-        te = test.where(F.col("sequence").isNotNull())
-        scored = m.transform(flatten_sequences(te)).select("symbol", "date", probs_array().alias("probs"))
+        seen = F.col("sequence").isNotNull()
+        m = sequence_learner(len(cols) * DEFAULT.sequence_length, **kw).fit(sequence_vector(train.where(seen), len(cols)))
         # rows without a full window fall back to uniform (ML-12)
-        out = test.select("symbol", "date").join(scored, ["symbol", "date"], "left") \
-            .select("symbol", "date", F.coalesce("probs", F.array(*[F.lit(0.2)] * N_CLASSES)).alias("probs"))
+        probs = F.when(seen, probs_array()).otherwise(F.array(*[F.lit(1.0 / N_CLASSES)] * N_CLASSES))
+        out = m.transform(sequence_vector(test, len(cols))).select("symbol", "date", probs.alias("probs"))
     else:
         raise ValueError(learner)
     return out
@@ -107,70 +102,94 @@ def with_prediction(scored: DataFrame, probs: str = "probs") -> DataFrame:
 
 # ---- ML-05 hyper-parameter search --------------------------------------------------------------
 
-# Search ranges of the tree learner.
-SEARCH_SPACE = {"num_trees": (10, 60), "max_depth": (3, 10), "min_instances": (1, 20),
-                "subset": ["auto", "sqrt", "log2", "onethird"]}
+# Ranges of depth, rows per leaf, feature fraction and row fraction of the tree search.
+SEARCH_SPACE = {"max_depth": (4, 12), "min_instances": (5, 50), "feature_fraction": (0.5, 1.0),
+                "row_fraction": (0.5, 1.0)}
+TREES = (10, 60)
+TRIALS_AT_ONCE = 4
 
 
-def random_search(fit: DataFrame, val: DataFrame, cols: list[str], trials: int = DEFAULT.search_trials,
-                  seed: int = DEFAULT.random_state) -> DataFrame:
-    """Seeded random draws from the search space, each fitted on the fit slice and
-    scored by macro F1 on the validation slice (SPL-02). Returns one row per trial."""
+def draw_params(trials: int, seed: int = DEFAULT.random_state, trees: tuple[int, int] = TREES) -> list[dict]:
+    """Seeded random draws from the search space."""
     rng = random.Random(seed)
-    rows = []
+    return [{"num_trees": rng.randint(*trees), "max_depth": rng.randint(*SEARCH_SPACE["max_depth"]),
+             "min_instances": rng.randint(*SEARCH_SPACE["min_instances"]),
+             "feature_fraction": round(rng.uniform(*SEARCH_SPACE["feature_fraction"]), 3),
+             "row_fraction": round(rng.uniform(*SEARCH_SPACE["row_fraction"]), 3)} for _ in range(trials)]
+
+
+def searched_learner(params: dict, seed: int = DEFAULT.random_state) -> RandomForestClassifier:
+    return tree_learner(params["num_trees"], params["max_depth"], seed, minInstancesPerNode=params["min_instances"],
+                        featureSubsetStrategy=str(params["feature_fraction"]), subsamplingRate=params["row_fraction"])
+
+
+def random_search(fit: DataFrame, val: DataFrame, cols: list[str], trials: int = DEFAULT.search_trials,
+                  seed: int = DEFAULT.random_state, trees: tuple[int, int] = TREES) -> DataFrame:
+    """Every draw is fitted on the fit slice and scored by macro F1 on the validation slice (SPL-02), a few
+    at a time. Returns one row per trial; ``is_best`` marks the highest score (ties: the first)."""
     spark = fit.sparkSession
-    fa, va = assemble(fit, cols).cache(), assemble(val, cols).cache()
-    for t in range(trials):
-        params = {"num_trees": rng.randint(*SEARCH_SPACE["num_trees"]),
-                  "max_depth": rng.randint(*SEARCH_SPACE["max_depth"]),
-                  "min_instances": rng.randint(*SEARCH_SPACE["min_instances"]),
-                  "subset": rng.choice(SEARCH_SPACE["subset"])}
-        m = RandomForestClassifier(labelCol="label", numTrees=params["num_trees"], maxDepth=params["max_depth"],
-                                   minInstancesPerNode=params["min_instances"],
-                                   featureSubsetStrategy=params["subset"], seed=seed).fit(fa)
-        pred = m.transform(va).select(F.lit("all").alias("symbol"), F.lit("rf").alias("model"),
-                                      F.col("label").alias("y_true"), F.col("prediction").cast("int").alias("y_pred"))
-        f1 = classification_metrics(pred).first()["macro_f1"]
-        rows.append((t, params["num_trees"], params["max_depth"], params["min_instances"], params["subset"], float(f1)))
-    fa.unpersist()
-    va.unpersist()
+    fa, va = assemble(fit, cols).select("label", "features").cache(), assemble(val, cols).select("label", "features").cache()
+
+    def score(params: dict) -> float:
+        pred = searched_learner(params, seed).fit(fa).transform(va).select(
+            F.lit("all").alias("symbol"), F.lit("rf").alias("model"), F.col("label").alias("y_true"),
+            F.col("prediction").cast("int").alias("y_pred"))
+        row = classification_metrics(pred).first()
+        return float(row["macro_f1"]) if row else 0.0
+
+    draws = draw_params(trials, seed, trees)
+    try:
+        with ThreadPool(TRIALS_AT_ONCE) as pool:
+            scores = pool.map(score, draws, chunksize=1)
+    finally:
+        fa.unpersist()
+        va.unpersist()
+    best = scores.index(max(scores)) if scores else None
+    rows = [(t, *p.values(), f1, t == best) for t, (p, f1) in enumerate(zip(draws, scores))]
     return spark.createDataFrame(rows, "trial int, num_trees int, max_depth int, min_instances int, "
-                                       "subset string, macro_f1 double")
+                                       "feature_fraction double, row_fraction double, macro_f1 double, is_best boolean")
+
+
+def refit_best(trials: DataFrame, train: DataFrame, cols: list[str], seed: int = DEFAULT.random_state):
+    """The forest of the best trial, fitted on all training rows (one row of the trial table is read)."""
+    return searched_learner(trials.where("is_best").first().asDict(), seed).fit(assemble(train, cols))
 
 
 # ---- ML-06 leaderboard ----------------------------------------------------------------------------
 
-def leaderboard(train: DataFrame, test: DataFrame, cols: list[str], seed: int = DEFAULT.random_state) -> DataFrame:
+UNTRAINED_CLASS = 2
+
+
+def leaderboard(train: DataFrame, test: DataFrame, cols: list[str], seed: int = DEFAULT.random_state,
+                boosting_rounds: int = 100, mlp_iterations: int = 100) -> DataFrame:
     """Fit a panel of pyspark.ml classifiers and rank them by macro F1 (per symbol and
-    pooled); naive Bayes gets min-max scaled (non-negative) inputs."""
-    tr, te = assemble(train, cols).cache(), assemble(test, cols).cache()
-    panel = {
-        "logistic_regression": LogisticRegression(labelCol="label", maxIter=50, regParam=0.01),
-        "decision_tree": DecisionTreeClassifier(labelCol="label", maxDepth=6, seed=seed),
-        "random_forest": tree_learner(num_trees=20, max_depth=6, seed=seed),
-        "ovr_gbt": boosted_learner(max_iter=10, seed=seed),
-    }
-    # naive Bayes needs non-negative inputs: min-max scale on train, clip test to [0, 1]
+    pooled); naive Bayes and the perceptron get min-max scaled inputs (test clipped to [0, 1]).
+    ``untrained`` is the answer without a fit: class 2, hold, for every row."""
+    tr, te = assemble(train, cols), assemble(test, cols)
     scaler = MinMaxScaler(inputCol="features", outputCol="_mm").fit(tr)
 
     def clipped(df: DataFrame) -> DataFrame:
         arr = F.transform(vector_to_array(F.col("_mm")), lambda x: F.greatest(F.least(x, F.lit(1.0)), F.lit(0.0)))
-        return scaler.transform(df).withColumn("nb_features", array_to_vector(arr)).drop("_mm")
+        return scaler.transform(df).select("symbol", "label", "features", array_to_vector(arr).alias("unit_features"))
 
-    tr, te = clipped(tr), clipped(te)
-    panel["naive_bayes"] = NaiveBayes(labelCol="label", featuresCol="nb_features")
-    preds = None
+    tr, te = cut_lineage(clipped(tr)), cut_lineage(clipped(te))
+    panel = {
+        "logistic_regression": LogisticRegression(labelCol="label", maxIter=50, regParam=0.01),
+        "decision_tree": DecisionTreeClassifier(labelCol="label", maxDepth=6, seed=seed),
+        "random_forest": tree_learner(num_trees=100, max_depth=6, seed=seed),
+        "ovr_gbt": boosted_learner(max_iter=boosting_rounds, seed=seed),
+        "mlp": MultilayerPerceptronClassifier(labelCol="label", featuresCol="unit_features", seed=seed,
+                                              layers=[len(cols), 64, 32, N_CLASSES], maxIter=mlp_iterations),
+        "naive_bayes": NaiveBayes(labelCol="label", featuresCol="unit_features"),
+    }
+    answer = lambda df, name, y: df.select("symbol", F.lit(name).alias("model"), F.col("label").alias("y_true"),
+                                           y.cast("int").alias("y_pred"))
+    preds = answer(te, "untrained", F.lit(UNTRAINED_CLASS))
     for name, est in panel.items():
-        m = est.fit(tr)
-        p = m.transform(te).select("symbol", F.lit(name).alias("model"), F.col("label").alias("y_true"),
-                                   F.col("prediction").cast("int").alias("y_pred"))
-        preds = p if preds is None else preds.unionByName(p)
-    metrics = classification_metrics(preds)
-    tr.unpersist()
-    te.unpersist()
-    return metrics.select("symbol", "model", "accuracy", "macro_f1").withColumn(
-        "rank", F.row_number().over(__import__("pyspark.sql", fromlist=["Window"]).Window
-                                    .partitionBy("symbol").orderBy(F.col("macro_f1").desc(), F.col("model"))))
+        preds = preds.unionByName(answer(est.fit(tr).transform(te), name, F.col("prediction")))
+    metrics = classification_metrics(preds).select("symbol", "model", "accuracy", "macro_f1")
+    ranked = Window.partitionBy("symbol").orderBy(F.col("macro_f1").desc(), F.col("model"))
+    return metrics.withColumn("rank", F.row_number().over(ranked))
 
 
 # ---- ML-09 importances ----------------------------------------------------------------------------
@@ -181,7 +200,6 @@ def model_importances(train: DataFrame, cols: list[str], n: int = 5, seed: int =
     imp = m.featureImportances.toArray().tolist()
     spark = train.sparkSession
     t = spark.createDataFrame(list(zip(cols, [float(v) for v in imp])), "feature string, importance double")
-    from pyspark.sql import Window
     return t.withColumn("rank", F.row_number().over(Window.orderBy(F.col("importance").desc(), F.col("feature")))) \
         .where(F.col("rank") <= n)
 

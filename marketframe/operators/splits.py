@@ -58,29 +58,35 @@ def fold_training_rows(folded: DataFrame, k: int = DEFAULT.cv_folds) -> DataFram
     return folded.where(F.col("fold") < k - 1).select("*", j.alias("train_fold"))
 
 
+def zscore_stats(train: DataFrame, cols: list[str], by: list[str]) -> DataFrame:
+    """Mean and population std per group of the training rows; a std of zero becomes 1."""
+    std = lambda c: F.stddev_pop(c)
+    return train.groupBy(*by).agg(*[x for c in cols for x in (
+        F.avg(c).alias(f"{c}__mean"), F.when(std(c) == 0, 1.0).otherwise(std(c)).alias(f"{c}__std"))])
+
+
+def zscore(df: DataFrame, stats: DataFrame, cols: list[str], by: list[str]) -> DataFrame:
+    """Every row z-scored with its group's statistics; rows of groups without training rows go."""
+    return df.join(stats, by).select(
+        *[c for c in df.columns if c not in cols],
+        *[((F.col(c) - F.col(f"{c}__mean")) / F.col(f"{c}__std")).alias(c) for c in cols])
+
+
 def fold_scaler(folded: DataFrame, cols: list[str], k: int = DEFAULT.cv_folds, by: str = SYMBOL) -> DataFrame:
     """SCL-01 fit: per (symbol, fold) mean and population std over that fold's
     training rows; a zero std becomes 1."""
     tr = fold_training_rows(folded, k)
-    aggs = []
-    for c in cols:
-        aggs += [F.avg(c).alias(f"{c}__mean"), F.stddev_pop(c).alias(f"{c}__std")]
-    stats = tr.groupBy(by, "train_fold").agg(*aggs)
-    return stats.select(by, F.col("train_fold").alias("fold"), *[
-        x for c in cols for x in (F.col(f"{c}__mean"),
-                                  F.when(F.col(f"{c}__std") == 0, 1.0).otherwise(F.col(f"{c}__std")).alias(f"{c}__std"))])
+    return zscore_stats(tr, cols, [by, "train_fold"]).withColumnRenamed("train_fold", "fold")
 
 
 def apply_fold_scaler(folded: DataFrame, stats: DataFrame, cols: list[str], by: str = SYMBOL) -> DataFrame:
     """SCL-01 transform: z-score each fold's test rows with that fold's train statistics.
     The stats table has one row per (symbol, fold), joined on both keys."""
-    j = folded.where(F.col("fold") >= 0).join(stats, [by, "fold"])
-    return j.select(*[c for c in folded.columns if c not in cols],
-                    *[((F.col(c) - F.col(f"{c}__mean")) / F.col(f"{c}__std")).alias(c) for c in cols])
+    return zscore(folded.where(F.col("fold") >= 0), stats, cols, [by, "fold"])
 
 
 def sequences(df: DataFrame, cols: list[str], length: int = DEFAULT.sequence_length,
-              by: str = SYMBOL, order: str = DATE) -> DataFrame:
+              by: str | list[str] = SYMBOL, order: str = DATE) -> DataFrame:
     """SEQ-01: row t gets the feature rows t-length .. t-1 (t itself excluded) as a
     bounded list of arrays; the first ``length`` rows get null (uniform fallback)."""
     w = Window.partitionBy(by).orderBy(order)
@@ -89,3 +95,9 @@ def sequences(df: DataFrame, cols: list[str], length: int = DEFAULT.sequence_len
     lst = F.collect_list("_vec").over(w.rowsBetween(-length, -1))
     i = F.row_number().over(w) - 1
     return x.withColumn("sequence", F.when(i >= length, lst)).drop("_vec")
+
+
+def spread(df: DataFrame, by: str = SYMBOL, order: str = DATE) -> DataFrame:
+    """Deals rows with sequences evenly: they are ``length`` times as wide as the rows they were built from
+    and lie by symbol, which a fit need not keep."""
+    return df.repartition(by, order)

@@ -1,20 +1,22 @@
 """Queries: learners (ML-01..03, 05..07, 09..11) and balancing (BAL-01).
-Rows-only checks: model outputs have no SQL oracle. Model sizes are kept small
-(few trees / iterations) because the checks run on one machine."""
+Rows-only checks: model outputs have no SQL oracle. Boosting rounds and depth are set below the
+operators' defaults (``ROUNDS``), as each round of each class is a chain of Spark jobs."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..config import DEFAULT
 from ..operators import serve as sv
 from ..operators.features import engineer_features
 from ..operators.indicators import FEATURE_COLUMNS
 from ..operators.learners import (assemble, boosted_learner, experiment_log, fit_predict, leaderboard,
-                                  model_importances, probs_array, random_search, tree_learner, with_prediction)
+                                  model_importances, ovr_probabilities, probs_array, random_search, refit_best,
+                                  tree_learner, with_prediction)
 from ..operators.metrics import classification_metrics
-from ..operators.splits import chrono_split, inner_split, sequences, time_series_folds
-from ..operators.stack import stack_fit_predict
+from ..operators.splits import chrono_split, inner_split, sequences, spread, time_series_folds, zscore, zscore_stats
+from ..operators.stack import balanced_runs, oof_f1, stack_fit_predict, stack_runs
 from ..session import cut_lineage, shared_table
 from ..sources import fixtures as fx
 from ..sources import io
@@ -23,16 +25,12 @@ from .catalog import register
 
 SENT = ["sentiment_score", "sentiment_confidence", "news_count_7d", "sentiment_trend_3d"]
 MODEL_COLS = FEATURE_COLUMNS + SENT
-# Per-step inputs of the sequence learner.
-SEQ_COLS = ["log_return_1d", "log_return_5d", "price_sma20_ratio", "price_ema10_ratio", "rsi_14",
-            "macd_hist", "bb_pct_b", "atr_14", "volume_sma_ratio", "stoch_k"]
-SMALL = {"rf": {"num_trees": 10, "max_depth": 5}, "gbt": {"max_iter": 5, "max_depth": 3},
-         "mlp": {"max_iter": 15}}
+ROUNDS = {"max_iter": 20, "max_depth": 4}
+PARAMS = {"rf": {"num_trees": 100, "max_depth": 6}, "gbt": ROUNDS, "mlp": {"max_iter": 30}}
 
 
 def training_table(spark, sf) -> DataFrame:
-    """Processed features + forecast-slot probabilities + sequence windows + split,
-    checkpointed once per application (it feeds several fits and queries)."""
+    """Processed features + forecast-slot probabilities + split, checkpointed once per application (it feeds several fits and queries)."""
     return shared_table(spark, f"training_flag:{sf}", lambda: _training_table(spark, sf))
 
 
@@ -41,9 +39,7 @@ def _training_table(spark, sf) -> DataFrame:
     bars = fx.bars_flag(spark, sf)
     p = _processed(spark, sf)
     fc = sv.forecast_distribution(bars).select("symbol", "date", F.col("probs").alias("forecast_probs"))
-    x = p.join(fc, ["symbol", "date"])
-    x = sequences(x, SEQ_COLS)
-    return chrono_split(x).drop("_i")
+    return chrono_split(p.join(fc, ["symbol", "date"])).drop("_i")
 
 
 def _split(spark, sf):
@@ -59,7 +55,7 @@ def _metrics_of(scored: DataFrame, test: DataFrame, model: str) -> DataFrame:
 @register("ml_01_tree_learner")
 def ml_01(spark, sf):
     train, test = _split(spark, sf)
-    return _metrics_of(fit_predict("rf", train, test, MODEL_COLS, **SMALL["rf"]), test, "random_forest")
+    return _metrics_of(fit_predict("rf", train, test, MODEL_COLS, **PARAMS["rf"]), test, "random_forest")
 
 
 @register("ml_02_boosted_learner")
@@ -68,40 +64,70 @@ def ml_02(spark, sf):
     x = inner_split(t.drop("split"))
     train = x.where(F.col("split") == "train").withColumn("is_val", F.col("inner") == "val")
     test = x.where(F.col("split") == "test")
-    m = boosted_learner(validation_col="is_val", **SMALL["gbt"]).fit(assemble(train, MODEL_COLS))
-    from ..operators.learners import ovr_probabilities
+    m = boosted_learner(validation_col="is_val", **ROUNDS).fit(assemble(train, MODEL_COLS))
     scored = m.transform(assemble(test, MODEL_COLS)).select("symbol", "date", ovr_probabilities(F.col("rawPrediction")).alias("probs"))
     return _metrics_of(scored, test, "ovr_gbt")
 
 
 @register("ml_03_sequence_learner")
 def ml_03(spark, sf):
-    train, test = _split(spark, sf)
-    return _metrics_of(fit_predict("mlp", train, test, SEQ_COLS, **SMALL["mlp"]), test, "sequence_mlp")
+    t = training_table(spark, sf)
+    stats = zscore_stats(t.where(F.col("split") == "train"), MODEL_COLS, ["symbol"])
+    x = cut_lineage(spread(sequences(zscore(t, stats, MODEL_COLS, ["symbol"]), MODEL_COLS)))
+    train, test = x.where(F.col("split") == "train"), x.where(F.col("split") == "test")
+    return _metrics_of(fit_predict("mlp", train, test, MODEL_COLS, **PARAMS["mlp"]), test, "sequence_mlp")
+
+
+def _trials(spark, sf) -> DataFrame:
+    def build():
+        x = inner_split(training_table(spark, sf).drop("split")).where(F.col("split") == "train")
+        return random_search(x.where(F.col("inner") == "fit"), x.where(F.col("inner") == "val"), MODEL_COLS)
+    return shared_table(spark, f"trials_flag:{sf}", build)
 
 
 @register("ml_05_random_search")
 def ml_05(spark, sf):
-    t = training_table(spark, sf)
-    x = inner_split(t.drop("split")).where(F.col("split") == "train")
-    return random_search(x.where(F.col("inner") == "fit"), x.where(F.col("inner") == "val"), MODEL_COLS, trials=3)
+    return _trials(spark, sf)
+
+
+@register("ml_05_refit_best")
+def ml_05_refit(spark, sf):
+    train, test = _split(spark, sf)
+    scored = refit_best(_trials(spark, sf), train, MODEL_COLS).transform(assemble(test, MODEL_COLS))
+    return _metrics_of(scored.select("symbol", "date", probs_array().alias("probs")), test, "searched_forest")
 
 
 @register("ml_06_leaderboard")
 def ml_06(spark, sf):
     train, test = _split(spark, sf)
-    return leaderboard(train, test, MODEL_COLS)
+    return leaderboard(train, test, MODEL_COLS, boosting_rounds=ROUNDS["max_iter"])
+
+
+_STACKS: dict[tuple[str, str], object] = {}
+
+
+def _stack(spark, sf):
+    """One stack per application: its scores and its out-of-fold pool serve two queries."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _STACKS:
+        train, test = _split(spark, sf)
+        _STACKS[key] = stack_fit_predict(cut_lineage(time_series_folds(train)), test, MODEL_COLS, params=PARAMS)
+    return _STACKS[key]
 
 
 @register("ml_07_stacking")
 def ml_07(spark, sf):
-    train, test = _split(spark, sf)
-    folded = cut_lineage(time_series_folds(train))
-    scored = stack_fit_predict(folded, test, MODEL_COLS, small=SMALL, meta_trees=20, seq_cols=SEQ_COLS)
-    j = with_prediction(scored).join(test.select("symbol", "date", F.col("label").alias("y_true")), ["symbol", "date"])
+    test = _split(spark, sf)[1]
+    j = with_prediction(_stack(spark, sf).scored) \
+        .join(test.select("symbol", "date", F.col("label").alias("y_true")), ["symbol", "date"])
     return classification_metrics(j)
 
 
+@register("ml_07_fold_f1")
+def ml_07_fold_f1(spark, sf):
+    return oof_f1(_stack(spark, sf).oof)
+
+
 @register("ml_09_importances")
 def ml_09(spark, sf):
     train, _ = _split(spark, sf)
@@ -111,7 +137,7 @@ def ml_09(spark, sf):
 @register("ml_10_batch_scoring")
 def ml_10(spark, sf):
     train, test = _split(spark, sf)
-    m = tree_learner(**SMALL["rf"]).fit(assemble(train, MODEL_COLS))
+    m = tree_learner(**PARAMS["rf"]).fit(assemble(train, MODEL_COLS))
     latest = sv.latest_rows(test.select("symbol", "date", *MODEL_COLS))
     scored = m.transform(assemble(latest, MODEL_COLS)).select("symbol", "date", probs_array().alias("probs"))
     return sv.signals(scored).select("symbol", "date", "signal_class", "signal", "confidence", "probabilities")
@@ -120,8 +146,8 @@ def ml_10(spark, sf):
 @register("ml_11_experiment_log")
 def ml_11(spark, sf):
     train, test = _split(spark, sf)
-    metrics = _metrics_of(fit_predict("rf", train, test, MODEL_COLS, **SMALL["rf"]), test, "random_forest")
-    log = experiment_log("run-0001", metrics, {"num_trees": 10, "max_depth": 5, "test_size": 0.2})
+    metrics = _metrics_of(fit_predict("rf", train, test, MODEL_COLS, **PARAMS["rf"]), test, "random_forest")
+    log = experiment_log("run-0001", metrics, {**PARAMS["rf"], "test_size": DEFAULT.test_size})
     path = io.scratch_path(spark, "experiments")
     log.write.mode("append").parquet(path)
     return spark.read.parquet(path)
@@ -132,12 +158,8 @@ def ml_11(spark, sf):
 def _scaled_train(spark, sf) -> DataFrame:
     """Train-split rows z-scored with per-symbol train statistics (population std, 0 -> 1)."""
     train, _ = _split(spark, sf)
-    stats = train.groupBy("symbol").agg(*[x for c in MODEL_COLS for x in (
-        F.avg(c).alias(f"{c}__m"), F.stddev_pop(c).alias(f"{c}__s"))])
-    j = train.select("symbol", "date", "label", *MODEL_COLS).join(stats, "symbol")
-    return j.select("symbol", "date", "label", *[
-        ((F.col(c) - F.col(f"{c}__m")) / F.when(F.col(f"{c}__s") == 0, 1.0).otherwise(F.col(f"{c}__s"))).alias(c)
-        for c in MODEL_COLS])
+    train = train.select("symbol", "date", "label", *MODEL_COLS)
+    return zscore(train, zscore_stats(train, MODEL_COLS, ["symbol"]), MODEL_COLS, ["symbol"])
 
 
 @register("bal_01_smote_class_counts", O.with_bars(O.BARS_FLAG, O.PROCESSED, """
@@ -162,3 +184,32 @@ def bal_01_rows(spark, sf):
     from ..operators.balance import smote
     out = smote(_scaled_train(spark, sf), MODEL_COLS, ["symbol"])
     return out.where("synthetic").select("symbol", "label", *MODEL_COLS[:5])
+
+
+_RUN_COUNTS = ", ".join(f"({j})" for j in range(1, 6))
+
+
+@register("ml_07_run_class_counts", O.with_bars(O.BARS_FLAG, O.PROCESSED, f"""
+pos AS (
+  SELECT symbol, date, label, row_number() OVER (PARTITION BY symbol ORDER BY date) - 1 AS pi,
+         count(*) OVER (PARTITION BY symbol) AS pn FROM processed),
+trn AS (
+  SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY date) - 1 AS ti,
+         count(*) OVER (PARTITION BY symbol) AS tn FROM pos WHERE pi < floor(pn * CAST(0.8 AS DOUBLE))),
+fld AS (
+  SELECT *, CASE WHEN ti < tn - 5 * (tn // 6) THEN -1 ELSE (ti - (tn - 5 * (tn // 6))) // (tn // 6) END AS fold FROM trn),
+counts AS (
+  SELECT symbol, run, label, count(*) AS n_c FROM fld, (VALUES {_RUN_COUNTS}) AS r(run) WHERE fold < run GROUP BY ALL),
+plan AS (
+  SELECT *, max(n_c) OVER (PARTITION BY symbol, run) AS n_max, min(n_c) OVER (PARTITION BY symbol, run) AS n_min,
+         max(label) OVER (PARTITION BY symbol, run) AS max_label, count(*) OVER (PARTITION BY symbol, run) AS n_classes
+  FROM counts)""", body="""
+SELECT symbol, run, label, n_c AS n_real,
+       CASE WHEN least(5, n_min - 1) >= 1 AND n_classes = max_label + 1 THEN n_max - n_c ELSE 0 END AS n_synthetic
+FROM plan"""))
+def ml_07_run_counts(spark, sf):
+    """What every run of the stack learns from: real and synthetic rows per class."""
+    train, test = _split(spark, sf)
+    rows = balanced_runs(stack_runs(time_series_folds(train), test, MODEL_COLS), MODEL_COLS)
+    made = F.when(F.col("synthetic"), 1).otherwise(0)
+    return rows.groupBy("symbol", "run", "label").agg(F.sum(1 - made).alias("n_real"), F.sum(made).alias("n_synthetic"))
