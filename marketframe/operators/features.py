@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..config import DEFAULT, NEUTRAL_SENTIMENT, SENTIMENT_FEATURES, Config
 from .indicators import FEATURE_COLUMNS, INT_FEATURES, compute_indicators
 from .labels import with_labels
+from .quality import keep_valid
 from .windows import IDX, SYMBOL, DATE, running, series
 
 # Rows are kept only once these warm-up indicators are all present.
@@ -82,6 +83,11 @@ def engineer_features(bars: DataFrame, sentiment: DataFrame | None = None,
     return df.select(*cols)
 
 
+def gated_features(bars: DataFrame, sentiment: DataFrame | None = None, cfg: Config = DEFAULT) -> DataFrame:
+    """The processed table of the symbols that pass every raw rule (DQ-08); the others are left out."""
+    return engineer_features(keep_valid(bars, cfg.min_raw_rows), sentiment, cfg)
+
+
 def align_close(processed: DataFrame, raw: DataFrame, by: str = SYMBOL, order: str = DATE) -> DataFrame:
     """JOIN-02: raw close re-aligned to the processed dates, then forward-filled."""
     closes = raw.select(by, order, F.col("close").alias("raw_close"))

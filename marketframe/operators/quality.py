@@ -118,11 +118,13 @@ def keep_valid(bars: DataFrame, min_rows: int = DEFAULT.min_raw_rows, by: str =
     return bars.join(passing_symbols(bars, min_rows, by), by, "left_semi")
 
 
-def coerce(df: DataFrame, types: dict[str, str]) -> tuple[DataFrame, DataFrame]:
-    """DQ-09: try_cast columns to declared types; returns (coerced frame, one-row
-    report of how many values became null by the cast)."""
-    out = df.withColumns({c: F.expr(f"try_cast(`{c}` AS {t})") for c, t in types.items()})
-    report = df.withColumns({f"_new_{c}": F.expr(f"try_cast(`{c}` AS {t})") for c, t in types.items()}).agg(
-        *[F.sum(F.when(F.col(c).isNotNull() & F.col(f"_new_{c}").isNull(), 1).otherwise(0)).cast("long")
-          .alias(f"{c}_newly_null") for c in types])
-    return out, report
+def coerce(df: DataFrame, types: dict[str, str]) -> DataFrame:
+    """DQ-09: try_cast columns to declared types; what cannot be cast becomes null."""
+    return df.withColumns({c: F.expr(f"try_cast(`{c}` AS {t})") for c, t in types.items()})
+
+
+def coercion_report(df: DataFrame, types: dict[str, str], by: list[str] | None = None) -> DataFrame:
+    """DQ-09: per group, the rows and how many values of each column ``coerce`` turns into null."""
+    both = coerce(df.withColumns({f"_old_{c}": F.col(c) for c in types}), types)
+    return both.groupBy(*(by or [])).agg(F.count("*").alias("n_rows"), *[
+        F.count(F.when(F.col(f"_old_{c}").isNotNull() & F.col(c).isNull(), 1)).alias(f"{c}_newly_null") for c in types])

@@ -19,15 +19,6 @@ def uniform_probs() -> Column:
     return F.array(*[F.lit(p) for p in UNIFORM])
 
 
-def with_fallback(p: Column) -> Column:
-    return F.coalesce(p, uniform_probs())
-
-
-def class_probabilities(cls: Column, weight_col: Column | None = None) -> list[Column]:
-    """AGG-06 building block: per-class indicator columns for k in 0..4."""
-    return [F.when(cls == k, 1).otherwise(0) for k in range(5)]
-
-
 def histogram_probs(df: DataFrame, keys: list[str], cls: str) -> DataFrame:
     """AGG-06: class histogram with all 5 bins divided by the total."""
     counts = [F.sum(F.when(F.col(cls) == k, 1).otherwise(0)) for k in range(5)]

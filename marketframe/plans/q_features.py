@@ -6,7 +6,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators.features import (CORE_COLUMNS, PROCESSED_COLUMNS, candle_rows, clean_fill,
-                                  drop_last_row, drop_warmup, engineer_features, feature_columns)
+                                  drop_last_row, drop_warmup, engineer_features, feature_columns,
+                                  gated_features)
 from ..operators.indicators import FEATURE_COLUMNS, INT_FEATURES, compute_indicators
 from ..operators.labels import forecast_class, forward_return, label_class, with_labels
 from ..sources import fixtures as fx
@@ -118,8 +119,25 @@ def features_full(spark, sf):
     return rounded(engineer_features(fx.bars_flag(spark, sf)))
 
 
+# the gate's rules in words of SQL: rows enough, no price or volume missing or out of range, high on top
+_GATE = """
+WHERE symbol IN (
+  SELECT symbol FROM all_bars GROUP BY symbol
+  HAVING count(*) >= 200 AND count(*) = count(open) AND count(*) = count(high) AND count(*) = count(low)
+    AND count(*) = count(close) AND count(*) = count(volume) AND min(open) > 0 AND min(high) > 0 AND min(low) > 0
+    AND min(close) > 0 AND min(volume) >= 0 AND bool_and(high >= low AND high >= open AND high >= close))"""
+
+
+@register("features_gated", O.with_bars(
+    O.BARS_EVENT_HOUR.replace("bars AS (", "all_bars AS (", 1), f"bars AS (SELECT * FROM all_bars {_GATE})", O.PROCESSED,
+    body=f"""
+SELECT symbol, date, {sql_round(_PROC_DBL)}, {", ".join(_PROC_INT)} FROM processed"""))
+def features_gated(spark, sf):
+    return rounded(gated_features(fx.bars_event_hour(spark, sf)))
+
+
 @register("prj_01_feature_columns", O.with_bars(O.BARS_FLAG, O.PROCESSED, body="""
-SELECT symbol, count(*) AS n_rows, CAST(""" + str(len(PROCESSED_COLUMNS) - 1) + """ AS BIGINT) AS n_features
+SELECT symbol, count(*) AS n_rows, CAST(64 AS BIGINT) AS n_features
 FROM processed GROUP BY symbol"""))
 def prj_01(spark, sf):
     feat = engineer_features(fx.bars_flag(spark, sf))

@@ -17,7 +17,13 @@ from .catalog import register, rounded, sql_round
 from .q_features import FEATURES_SQL
 from .q_models import METRIC_COLS, _PERSIST_SQL
 
-_RAW = {**dq.RAW_RULES, **dq.OHLC_RULES}
+# the raw rules once more, written for the oracle alone
+_SQL_PRICES = {
+    "open_not_null": "open IS NULL", "high_not_null": "high IS NULL", "low_not_null": "low IS NULL",
+    "close_not_null": "close IS NULL", "volume_not_null": "volume IS NULL",
+    "open_gt_0": "NOT open > 0", "high_gt_0": "NOT high > 0", "low_gt_0": "NOT low > 0",
+    "close_gt_0": "NOT close > 0", "volume_ge_0": "NOT volume >= 0"}
+_SQL_OHLC = {"high_ge_low": "NOT high >= low", "high_ge_open": "NOT high >= open", "high_ge_close": "NOT high >= close"}
 
 
 def _rules_sql(rules: dict[str, str]) -> str:
@@ -25,7 +31,7 @@ def _rules_sql(rules: dict[str, str]) -> str:
 
 
 @register("dq_01_raw_range_rules", O.with_bars(O.BARS_EVENT_HOUR, body=f"""
-SELECT symbol, count(*) AS n_rows, {_rules_sql(dq.RAW_RULES)} FROM bars GROUP BY symbol"""))
+SELECT symbol, count(*) AS n_rows, {_rules_sql(_SQL_PRICES)} FROM bars GROUP BY symbol"""))
 def dq_01(spark, sf):
     t = dq.raw_rule_table(fx.bars_event_hour(spark, sf))
     return t.select("symbol", "n_rows", *dq.RAW_RULES)
@@ -55,12 +61,13 @@ def dq_04(spark, sf):
 
 
 @register("dq_05_ohlc_rules", O.with_bars(O.BARS_FLAG, body=f"""
-SELECT symbol, {_rules_sql(dq.OHLC_RULES)} FROM bars GROUP BY symbol"""))
+SELECT symbol, {_rules_sql(_SQL_OHLC)} FROM bars GROUP BY symbol"""))
 def dq_05(spark, sf):
     return dq.raw_rule_table(fx.bars_flag(spark, sf)).select("symbol", *dq.OHLC_RULES)
 
 
-_GROUPS_SQL = ", ".join(f"('{g}')" for g in dq.REQUIRED_FEATURE_GROUPS)
+_GROUPS_SQL = ", ".join(f"('{g}')" for g in (
+    "returns", "moving_avg", "momentum", "volatility", "volume", "sentiment", "label"))
 
 
 @register("dq_06_feature_groups", O.with_bars(O.BARS_FLAG, body=f"""
@@ -85,7 +92,7 @@ def dq_07(spark, sf):
 @register("dq_08_keep_valid", O.with_bars(O.BARS_EVENT_HOUR, body=f"""
 SELECT symbol, count(*) AS n_rows FROM bars WHERE symbol IN (
   SELECT symbol FROM bars GROUP BY symbol
-  HAVING count(*) >= 200 AND {" AND ".join(f"sum(CASE WHEN {c} THEN 1 ELSE 0 END) = 0" for c in _RAW.values())})
+  HAVING count(*) >= 200 AND {" AND ".join(f"sum(CASE WHEN {c} THEN 1 ELSE 0 END) = 0" for c in (_SQL_PRICES | _SQL_OHLC).values())})
 GROUP BY symbol"""))
 def dq_08(spark, sf):
     return dq.keep_valid(fx.bars_event_hour(spark, sf)).groupBy("symbol").agg(F.count("*").alias("n_rows"))
@@ -101,13 +108,7 @@ def dq_09(spark, sf):
     ev = fx.read_table(spark, sf, "events", ["event_type", "value", "props", "user_id"])
     raw = ev.select("event_type", F.col("value").cast("string").alias("value"), "props",
                     F.col("user_id").cast("string").alias("user_id"))
-    casts = {"value": "DOUBLE", "props": "DOUBLE", "user_id": "BIGINT"}
-    flagged = raw.select("event_type", *[
-        (F.col(c).isNotNull() & F.expr(f"try_cast({c} AS {t})").isNull()).cast("int").alias(f"{c}_newly_null")
-        for c, t in casts.items()])
-    return flagged.groupBy("event_type").agg(
-        F.count("*").alias("n_rows"),
-        *[F.sum(f"{c}_newly_null").cast("long").alias(f"{c}_newly_null") for c in casts])
+    return dq.coercion_report(raw, {"value": "DOUBLE", "props": "DOUBLE", "user_id": "BIGINT"}, ["event_type"])
 
 
 # ---- sources and sinks ---------------------------------------------------------------

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from marketframe.operators import balance, drift, ewm, features, indicators, labels, metrics, quality
-from marketframe.operators import serve, sets, splits
+from marketframe.operators import serve, sets, splits, stack
 from marketframe.operators.bars import period_days, upsert_bars
 
 D0 = dt.date(2020, 1, 1)
@@ -307,3 +307,37 @@ def test_smote_balances_classes(spark):
     assert counts == {0: 30, 1: 30, 2: 30}
     syn = out.where("synthetic").toPandas()
     assert len(syn) == 22 + 15 and syn[["a", "b", "c"]].notna().all().all()
+
+
+def test_stack_learns_from_training_rows_only(spark):
+    rng = np.random.default_rng(9)
+    rows = [(s, D0 + dt.timedelta(days=i), int(rng.integers(0, 3)), [0.2] * 5, *map(float, rng.normal(i, 1.0, 2)))
+            for s in ("A", "B") for i in range(72)]
+    df = spark.createDataFrame(rows, "symbol string, date date, label int, forecast_probs array<double>, a double, b double")
+    t = splits.chrono_split(df).drop("_i")
+    folded = splits.time_series_folds(t.where("split = 'train'"))
+    runs = stack.stack_runs(folded, t.where("split = 'test'"), ["a", "b"])
+    assert runs.groupBy("symbol", "date", "run").count().where("count > 1").isEmpty()
+    # statistics come from training rows: those, and only those, are centred
+    train = runs.where("fold < run").groupBy("symbol", "run").agg(F.avg("a").alias("m"), F.stddev_pop("a").alias("s"))
+    assert all(abs(r.m) < 1e-9 and abs(r.s - 1) < 1e-9 for r in train.collect())
+    assert all(r.m > 1 for r in runs.where("fold = run").groupBy("symbol", "run").agg(F.avg("a").alias("m")).collect())
+    balanced = stack.balanced_runs(runs, ["a", "b"])
+    # synthetic rows carry no date, so that none can be a scored row
+    assert balanced.where("synthetic AND date IS NOT NULL").isEmpty()
+    real = balanced.where("NOT synthetic").join(runs.where("fold = run"), ["symbol", "run", "date"], "left_semi")
+    assert real.isEmpty()
+    sizes = balanced.groupBy("symbol", "run", "label").count().groupBy("symbol", "run").agg(F.countDistinct("count").alias("n"))
+    assert all(r.n == 1 for r in sizes.collect())
+
+
+def test_coercion_report_counts_new_nulls(spark):
+    df = spark.createDataFrame([("a", "1.5"), ("a", "x"), ("a", None)], "k string, v string")
+    r = quality.coercion_report(df, {"v": "DOUBLE"}, ["k"]).first()
+    assert (r.n_rows, r.v_newly_null) == (3, 1)
+
+
+def test_feature_groups_name_a_missing_group(spark):
+    df = spark.createDataFrame([("a", 1.0, 1)], "symbol string, rsi_14 double, label int")
+    found = {r.feature_group: r.present for r in quality.feature_groups_present(df).collect()}
+    assert found["momentum"] and found["label"] and not found["volume"] and not found["returns"]
