@@ -119,6 +119,8 @@ def features_full(spark, sf):
     return rounded(engineer_features(fx.bars_flag(spark, sf)))
 
 
+# event values have two decimals, so that means of them end in a 5 at the seventh: moved off the ties of rounding
+_OFF_TIES = 3e-8
 # the gate's rules in words of SQL: rows enough, no price or volume missing or out of range, high on top
 _GATE = """
 WHERE symbol IN (
@@ -131,9 +133,11 @@ WHERE symbol IN (
 @register("features_gated", O.with_bars(
     O.BARS_EVENT_HOUR.replace("bars AS (", "all_bars AS (", 1), f"bars AS (SELECT * FROM all_bars {_GATE})", O.PROCESSED,
     body=f"""
-SELECT symbol, date, {sql_round(_PROC_DBL)}, {", ".join(_PROC_INT)} FROM processed"""))
+SELECT symbol, date, {", ".join(f"round({c} + {_OFF_TIES}, 6) + 0.0 AS {c}" for c in _PROC_DBL)}, {", ".join(_PROC_INT)}
+FROM processed"""))
 def features_gated(spark, sf):
-    return rounded(gated_features(fx.bars_event_hour(spark, sf)))
+    x = gated_features(fx.bars_event_hour(spark, sf))
+    return rounded(x.withColumns({c: F.col(c) + _OFF_TIES for c in _PROC_DBL}))
 
 
 @register("prj_01_feature_columns", O.with_bars(O.BARS_FLAG, O.PROCESSED, body="""
