@@ -17,9 +17,11 @@ What is asked of each byte offset p is whether the LENGTH bytes from p on start
    are repeated intervals.
 3. The repeated windows go back to all places of their piece, and each document's spans are united.
 
-An anchor with more than HOT distinct pieces is split: its windows are grouped by their place in
-steps of PART bytes and by the bytes that all windows of such a step share, which keeps equal windows
-together.
+An anchor with more than HOT distinct pieces meets in no task: its windows are cut into parts by their
+place in steps of PART bytes. Equal windows share the part's core, the bytes that all windows of such a
+step hold, so parts whose core is met once are dropped. Parts that are met again as a whole are repeated;
+the windows of the others are counted one by one, by hash. Counts are added up before they move, so no
+group of pieces grows with the table.
 
 Defined results: null text is empty; texts under LENGTH bytes have no spans; rows that repeat in id
 and text are repeats of each other; an empty table gives an empty result; extra columns pass through.
@@ -214,7 +216,33 @@ def runs(hit: np.ndarray) -> list[int]:
 
 
 def _pieces(joined: DataFrame) -> DataFrame:
-    """Cuts the wanted pieces out of their text: (g, fp, ph, from, weight, piece)."""
+    """Cuts the wanted pieces out of their text: (fp, ph, weight, piece)."""
+
+    def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for x in batches:
+            out: list[tuple] = []
+            body, wanted = (x.column(x.schema.get_field_index(c)) for c in ("__mf_bytes", "wanted"))
+            for d in range(len(x)):
+                text = body[d].as_buffer().to_pybytes()
+                for w in wanted[d].as_py():
+                    place, more = w["at"] >> 17, w["at"] & 511
+                    out.append((w["fp"], w["ph"], w["weight"], text[place:place + more + LENGTH]))
+                if len(out) > 20_000:
+                    yield batch(out)
+                    out = []
+            yield batch(out)
+
+    def batch(out: list[tuple]) -> pa.RecordBatch:
+        cols = list(zip(*out)) if out else [[]] * 4
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names=["fp", "ph", "weight", "piece"])
+
+    return joined.mapInArrow(slices, "fp long, ph long, weight long, piece binary")
+
+
+def _parts(joined: DataFrame) -> DataFrame:
+    """Cuts the wanted pieces of hot anchors into parts of PART windows: (g, fp, ph, from, weight, part);
+    g is the hash of the anchor, the place and the core of the part."""
 
     def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
@@ -226,9 +254,6 @@ def _pieces(joined: DataFrame) -> DataFrame:
                 text = body[d].as_buffer().to_pybytes()
                 for w in wanted[d].as_py():
                     place, more, fp = w["at"] >> 17, w["at"] & 511, w["fp"]
-                    if not w["hot"]:
-                        out.append((fp, fp, w["ph"], 0, w["weight"], text[place:place + more + LENGTH]))
-                        continue
                     # the windows of a part share the bytes from the last one's start to the first one's end
                     anchor = place + (w["at"] >> 9 & 255)
                     near, far = anchor - place - more, anchor - place
@@ -245,50 +270,75 @@ def _pieces(joined: DataFrame) -> DataFrame:
     def batch(out: list[tuple]) -> pa.RecordBatch:
         cols = list(zip(*out)) if out else [[]] * 6
         kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary())
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names=["g", "fp", "ph", "from", "weight", "piece"])
-
-    return joined.mapInArrow(slices, "g long, fp long, ph long, `from` int, weight long, piece binary")
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names=["g", "fp", "ph", "from", "weight", "part"])
+
+    return joined.mapInArrow(slices, "g long, fp long, ph long, `from` int, weight long, part binary")
+
+
+def _counted(parts: DataFrame) -> DataFrame:
+    """(fp, ph, runs) of the pieces of hot anchors, as ``_merge``. A repeated row brings its parts twice,
+    but its pieces weigh 2 already."""
+    # dealt by the whole key: the counts and the joins read one exchange
+    names = lambda x: (F.xxhash64(F.lit(1), x), F.xxhash64(F.lit(2), x))
+    p1, p2 = names("part")
+    parts = parts.select("*", p1.alias("p1"), p2.alias("p2")).repartition("fp", "ph", "from")
+    shared = parts.groupBy(F.col("g").alias("core")).agg(F.sum("weight").alias("n")).where("n > 1").select("core")
+    equal = parts.groupBy(F.col("p1").alias("e1"), F.col("p2").alias("e2")).agg(F.sum("weight").alias("n")).where("n > 1").select("e1", "e2")
+    again = parts.join(apart(shared, "core"), F.col("g") == F.col("core")) \
+        .join(apart(equal, "e1"), (F.col("p1") == F.col("e1")) & (F.col("p2") == F.col("e2")), "left") \
+        .select("fp", "ph", "from", "weight", "part", F.col("e1").isNotNull().alias("whole")).repartition("fp", "ph", "from")
+    w1, w2 = names(F.substring("part", F.col("i") + 1, F.lit(LENGTH)))
+    windows = again.select("*", F.explode(F.sequence(F.lit(0), F.octet_length("part") - LENGTH)).alias("i")).select(
+        "fp", "ph", "weight", "whole", (F.col("from") + F.col("i")).alias("place"), w1.alias("w1"), w2.alias("w2"))
+    twice = windows.groupBy(F.col("w1").alias("t1"), F.col("w2").alias("t2")).agg(F.sum("weight").alias("n")).where("n > 1").select("t1", "t2")
+    # a part that is met again as a whole needs no look at its windows
+    hits = windows.where(~F.col("whole")).join(apart(twice, "t1"), (F.col("w1") == F.col("t1")) & (F.col("w2") == F.col("t2")))
+    one = hits.select("fp", "ph", F.array("place", F.col("place") + 1).alias("run"))
+    all_of_it = again.where("whole").select("fp", "ph", F.array("from", F.col("from") + F.octet_length("part") - LENGTH + 1).alias("run"))
+    # at most LENGTH - SEED + 1 runs a piece
+    return one.unionByName(all_of_it).groupBy("fp", "ph").agg(F.flatten(F.collect_set("run")).alias("runs"))
 
 
 def _merge(pieces: DataFrame) -> DataFrame:
-    """(fp, ph, runs): the runs of repeated windows of every piece that has one. Groups stream through
-    in order of g; whole groups are merged together, about BATCH bytes at a time."""
+    """(fp, ph, runs): the runs of repeated windows of every piece that has one. The pieces of an anchor
+    (HOT at most) stream through in order of fp; whole anchors are merged together, about BATCH bytes at
+    a time."""
 
     def solve(group: list, batch: dict) -> pa.RecordBatch:
         texts = list(batch)
         hits = repeated_windows([t for _, t in texts], np.array([batch[t][0] for t in texts], float),
                                 np.array([len(t) - LENGTH + 1 for _, t in texts], np.int64))
         found = [runs(h) for h in hits]
-        rows = [(fp, ph, [at + r for r in found[batch[key][1]]]) for fp, ph, at, key in group if found[batch[key][1]]]
+        rows = [(fp, ph, found[batch[key][1]]) for fp, ph, key in group if found[batch[key][1]]]
         cols = list(zip(*rows)) if rows else [[]] * 3
         return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.list_(pa.int32()))],
                                           names=["fp", "ph", "runs"])
 
     def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group: list[tuple] = []  # (fp, ph, from, key) of every piece
-        batch: dict[tuple, list] = {}  # key: weight, number; equal pieces of a group are one
+        group: list[tuple] = []  # (fp, ph, key) of every piece
+        batch: dict[tuple, list] = {}  # key: weight, number; equal pieces of an anchor are one
         size, last, seen = 0, None, set()
         for x in batches:
-            for g, fp, ph, at, weight, piece in zip(*[c.to_pylist() for c in x.columns]):
-                if g != last:
+            for fp, ph, weight, piece in zip(*[c.to_pylist() for c in x.columns]):
+                if fp != last:
                     if size >= BATCH:
                         yield solve(group, batch)
                         group, batch, size = [], {}, 0
-                    last, seen = g, set()
-                if (ph, at) in seen:  # a repeated row brings its pieces twice
+                    last, seen = fp, set()
+                if ph in seen:  # a repeated row brings its pieces twice
                     continue
-                seen.add((ph, at))
-                key = (g, piece)
+                seen.add(ph)
+                key = (fp, piece)
                 if key in batch:
                     batch[key][0] += weight
                 else:
                     batch[key] = [weight, len(batch)]
                     size += len(piece)
-                group.append((fp, ph, at, key))
+                group.append((fp, ph, key))
         if group:
             yield solve(group, batch)
 
-    return pieces.repartition("g").sortWithinPartitions("g").mapInArrow(stream, "fp long, ph long, runs array<int>")
+    return pieces.repartition("fp").sortWithinPartitions("fp").mapInArrow(stream, "fp long, ph long, runs array<int>")
 
 
 def remove_repeats(docs: DataFrame, ident: str = "doc_id", text: str = "text", whole_characters: bool = False) -> DataFrame:
@@ -308,7 +358,9 @@ def remove_repeats(docs: DataFrame, ident: str = "doc_id", text: str = "text", w
         F.collect_list(F.struct("fp", "ph", F.col("x.at").alias("at"), "weight", "hot")).alias("wanted"))
     # the same exchange of the texts serves the cutting of pieces and the removal
     texts = docs.select(*own, *keys, body)
-    found = _merge(_pieces(texts.join(wanted, ["__mf_r1", "__mf_r2"])))
+    hot_or_not = lambda hot: wanted.withColumn("wanted", F.filter("wanted", lambda w: w.hot == F.lit(hot))).where(F.size("wanted") > 0)
+    found = _merge(_pieces(texts.join(hot_or_not(False), ["__mf_r1", "__mf_r2"]))).unionByName(
+        _counted(_parts(texts.join(hot_or_not(True), ["__mf_r1", "__mf_r2"]))))
     # rows equal in id and text bring equal places: the set holds each once
     spans = places.join(found, ["fp", "ph"]).groupBy(F.col("r1").alias("__mf_r1"), F.col("r2").alias("__mf_r2")).agg(
         F.collect_set(F.struct(F.shiftright("at", 17).alias("place"), "runs")).alias("spans"))

@@ -282,6 +282,21 @@ def test_suffix_dedup(spark, monkeypatch, hot):
     assert Counter((None if pd.isna(i) else int(i), bytes(k)) for i, k in zip(got.doc_id, got.kept)) == want
 
 
+def test_suffix_dedup_bounds_what_meets(spark, monkeypatch):
+    """One passage in many surroundings: no key of the merge brings more than HOT pieces together."""
+    seen, merge = [], suffix_dedup._merge
+    monkeypatch.setattr(suffix_dedup, "HOT", 8)
+    monkeypatch.setattr(suffix_dedup, "_merge", lambda pieces: (seen.append(pieces), merge(pieces))[1])
+    rng = random.Random(5)
+    passage = "".join(rng.choices("abcde ", k=260))
+    around = lambda: "".join(rng.choices("uvwxyz ", k=250))
+    texts = [around() + passage + around() for _ in range(60)]
+    got = suffix_dedup.remove_repeats(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).toPandas().set_index("doc_id")
+    assert [bytes(got.kept[i]) for i in range(60)] == brute_force_spans([t.encode() for t in texts])
+    key = seen[0].columns[0]
+    assert (seen[0].groupBy(key).count().agg(F.max("count")).first()[0] or 0) <= 8
+
+
 def test_suffix_dedup_edges(edge):
     got = suffix_dedup.remove_repeats(edge, whole_characters=True).toPandas()
     assert len(got) == 9 and (got.n_bytes == got.n_removed + got.kept.map(len)).all()
