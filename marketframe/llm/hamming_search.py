@@ -97,8 +97,9 @@ def search(vectors: DataFrame, queries: DataFrame, ident: str = "vec_id", vector
     n_query = max(1, ceil_div(asked.count(), QUERY_BLOCK))
     index = entries.withColumn("i", F.pmod(F.xxhash64("code"), F.lit(n_index)).cast("int"))
     asked = asked.withColumn("q", F.pmod(F.xxhash64("id"), F.lit(n_query)).cast("int"))
-    # a block of queries travels to every block of the index
+    # every block of queries meets every block of the index, each pair in a group of its own
     asked = asked.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(n_index - 1))))
+    index = index.withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(n_query - 1))))
 
     def answer(key, index_rows: pa.Table, query_rows: pa.Table) -> pa.Table:
         out: list[tuple[int, int, int]] = []
@@ -123,7 +124,7 @@ def search(vectors: DataFrame, queries: DataFrame, ident: str = "vec_id", vector
         cols = list(zip(*out)) if out else [[]] * 3
         return pa.table([pa.array(c, pa.int64()) for c in cols], names=["query_id", "id", "distance"])
 
-    found = index.groupBy("i").cogroup(asked.groupBy("i")).applyInArrow(answer, "query_id long, id long, distance long")
+    found = index.groupBy("i", "q").cogroup(asked.groupBy("i", "q")).applyInArrow(answer, "query_id long, id long, distance long")
     best = Window.partitionBy("query_id").orderBy("distance", "id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k) \
         .select("query_id", "rank", "id", "distance")

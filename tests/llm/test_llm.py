@@ -5,6 +5,7 @@ import json
 import random
 import re
 import sys
+import uuid
 from collections import Counter
 from pathlib import Path
 
@@ -210,6 +211,30 @@ def test_hamming_search(spark):
     assert hamming_search.search(table.limit(0), table.limit(0)).count() == 0
 
 
+def test_hamming_search_in_blocks(spark, monkeypatch, tmp_path):
+    """A task holds about one block of queries, however many there are."""
+    folder = str(tmp_path)
+
+    class Logged(hamming_search.MultiIndex):
+        def __init__(self, codes):
+            super().__init__(codes)
+            self.log = f"{folder}/{uuid.uuid4()}"
+
+        def search(self, query, enough):
+            with open(self.log, "a") as f:
+                f.write("x")
+            return super().search(query, enough)
+
+    rng = np.random.default_rng(6)
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rng.normal(size=(300, 64)))], "vec_id long, embedding array<double>")
+    want = hamming_search.search(table, table, k=3).orderBy("query_id", "rank").collect()
+    monkeypatch.setattr(hamming_search, "QUERY_BLOCK", 20)
+    monkeypatch.setattr(hamming_search, "INDEX_BLOCK", 100)
+    monkeypatch.setattr(hamming_search, "MultiIndex", Logged)
+    assert hamming_search.search(table, table, k=3).orderBy("query_id", "rank").collect() == want
+    assert max(p.stat().st_size for p in tmp_path.iterdir()) <= 60
+
+
 def test_near_duplicates(spark, edge):
     got = near_duplicates.near_duplicates(edge).toPandas()
     assert len(got) == 9 and got[got.doc_id.isin([1, 2])].class_id.tolist() == [1, 1, 1]
