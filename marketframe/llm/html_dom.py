@@ -5,12 +5,15 @@ from __future__ import annotations
 import re
 from html import unescape
 
-# The elements that HTML lays out as blocks, and those whose content is no text.
+# The elements that HTML lays out as blocks, and those whose content is no text: raw text, which
+# ends at its end tag alone, and elements whose text is not shown.
 BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form "
     "h1 h2 h3 h4 h5 h6 header hr html label legend li main menu nav ol option p pre section select summary table tbody td tfoot th thead "
     "tr ul button".split())
-SILENT = frozenset("script style noscript template svg math iframe object textarea title head canvas audio video map".split())
+RAW = frozenset("script style textarea title iframe".split())
+SILENT = frozenset("noscript template svg object canvas audio video map".split())
+CLOSED, UNCLOSED = -2, -3  # on the stack, in place of a node: an element of SILENT with or without an end tag
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: An opening tag closes the open elements that it names, up to the nearest of the others.
 CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "option": ({"option"}, {"select"}),
@@ -30,15 +33,29 @@ class Node:
         self.text, self.links = "", 0
 
 
+def ended(html: str, tag: str) -> set[int]:
+    """Where the opening tags of an element end that have an end tag: each end tag is that of the last one open."""
+    found, opened = set(), []
+    for m in re.finditer(rf"<(/?){re.escape(tag)}(?=[\s/>])((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", html, re.I):
+        if not m[1]:
+            if not m[2].endswith("/"):
+                opened.append(m.end())
+        elif opened:
+            found.add(opened.pop())
+    return found
+
+
 def parse(html: str) -> list[Node]:
-    """Nodes in page order; node 0 is the root. Unclosed, crossed and truncated markup is accepted."""
+    """Nodes in page order; node 0 is the root. Unclosed, crossed and truncated markup is accepted. An
+    element of SILENT without an end tag hides the text up to the next block."""
     nodes = [Node("#root", "", -1, 0, None)]
-    open_tags: list[tuple[str, int]] = []  # (tag, node, or -1 for an inline element)
+    open_tags: list[tuple[str, int]] = []  # (tag, node, or -1 for an inline element, CLOSED, UNCLOSED)
     run: list[str] = []
-    state = [0, 0, 0]  # current block, open links, link characters of the run
+    state = [0, 0, 0, 0, 0]  # current block, open links, link characters of the run, open CLOSED and UNCLOSED
+    ends: dict[str, set[int]] = {}
 
     def text(raw: str) -> None:
-        if raw:
+        if raw and not state[3] and not state[4]:
             if "&" in raw:
                 raw = unescape(raw)
             run.append(raw)
@@ -63,6 +80,8 @@ def parse(html: str) -> list[Node]:
             if number >= 0:
                 end_run()
                 state[0] = nodes[number].parent
+            elif number < -1:
+                state[3 if number == CLOSED else 4] -= 1
             elif tag == "a":
                 state[1] = max(0, state[1] - 1)
 
@@ -89,15 +108,37 @@ def parse(html: str) -> list[Node]:
                     break
                 if open_tags[k][0] in ("table", "td", "th", "body") and tag not in BLOCK:
                     break
+                if open_tags[k][1] == CLOSED and open_tags[k][0] in ("noscript", "template", "object"):
+                    break  # no end tag inside reaches out of these
             else:
                 if tag == "p":
                     end_run()
             continue
-        if tag in SILENT:
-            if tag != "head" and not m[4].endswith("/"):
+        if tag == "head":
+            continue
+        if tag in RAW:
+            if not m[4].endswith("/"):
                 end = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(html, at)
-                at = end.end() if end else n
+                at = end.end() if end else at if state[3] or state[4] else n
+            continue
+        if tag in SILENT:
+            if not m[4].endswith("/"):
+                if tag not in ends:
+                    ends[tag] = ended(html, tag)
+                kind = CLOSED if at in ends[tag] else UNCLOSED
+                open_tags.append((tag, kind))
+                state[3 if kind == CLOSED else 4] += 1
+            continue
+        if state[3]:
+            if tag not in VOID and not m[4].endswith("/"):
+                open_tags.append((tag, -1))
+                state[1] += tag == "a"
             continue
+        if state[4]:
+            if tag in BLOCK:
+                close(next(k for k, (_, number) in enumerate(open_tags) if number == UNCLOSED))
+            elif tag == "br":
+                continue
         if tag == "br":
             run.append(" ")
         if tag == "hr":

@@ -134,6 +134,19 @@ def test_html_reader():
         parse(odd)
 
 
+@pytest.mark.parametrize("page", [
+    "<video src=x>no player<p>one</p><p>two</p>", "<div><object data=x>none</div><p>one<p>two", "<map name=m><area><p>one<p>two",
+    "<svg><path d=x><text>no</text><article><p>one<p>two</article>", "<svg><title>no<p>one<p>two", "<noscript><p>one<p>two",
+    "<video>no<p>one</p><video>no</video><p>two", "<div><video>no</div><p>one</p></video><p>two", "<canvas><audio>no<div>one</div>two",
+    "<object><p>no</p></div><object>no</object></object><p>one<p>two", "<noscript><div>no</p></noscript><p>one<svg><g/><text>no</svg><p>two"])
+def test_html_reader_silent_elements(page):
+    assert [n.text for n in parse(page) if n.tag == "#text"] == ["one", "two"]
+
+
+def test_html_reader_math_and_raw_text():
+    assert [n.text for n in parse("<p>so <math><mi>x</mi> = 1</math> holds<script>no") if n.tag == "#text"] == ["so x = 1 holds"]
+
+
 def test_html_edges(spark):
     pages = spark.createDataFrame([(1, "u", None, "x"), (None, None, "", "y"), (2, "u", "<article><p>one</article>", "z"), (2, "u", "<article><p>one</article>", "z")],
                                   "page_id long, url string, html string, text string")
