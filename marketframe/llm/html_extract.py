@@ -21,6 +21,7 @@ from __future__ import annotations
 import html as html_lib
 import random
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -100,9 +101,9 @@ def features(nodes: list[Node]) -> np.ndarray:
             r[2] = chars[own[j - 1]] if j else 0
             r[3] = chars[own[j + 1]] if j + 1 < len(own) else 0
         if len(own) > 1:
-            tags = [nodes[c].tag for c in own]
-            for c, t in zip(own, tags):
-                rest[c][4] = tags.count(t) if len(tags) < 200 else len(tags)
+            tags = Counter(nodes[c].tag for c in own)
+            for c in own:
+                rest[c][4] = tags[nodes[c].tag]
     c, p = np.array(chars, np.float64), np.array([max(x.parent, 0) for x in nodes])
     total, w = max(1.0, c[0]), np.maximum(1, words)
     start, safe = np.array(starts), np.maximum(1.0, c)

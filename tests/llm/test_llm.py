@@ -147,6 +147,13 @@ def test_html_reader_math_and_raw_text():
     assert [n.text for n in parse("<p>so <math><mi>x</mi> = 1</math> holds<script>no") if n.tag == "#text"] == ["so x = 1 holds"]
 
 
+@pytest.mark.parametrize("n", [10, 300])
+def test_html_equal_siblings(n):
+    nodes = parse("<div>" + "<p>x</p>" * n + "<h2>y</h2></div>")
+    equal = html_extract.features(nodes)[:, 2 * html_extract.N_TAGS + 2 * html_extract.N_KINDS + 4]
+    assert [e for x, e in zip(nodes, equal) if x.tag in ("p", "h2")] == [n] * n + [1]
+
+
 def test_html_edges(spark):
     pages = spark.createDataFrame([(1, "u", None, "x"), (None, None, "", "y"), (2, "u", "<article><p>one</article>", "z"), (2, "u", "<article><p>one</article>", "z")],
                                   "page_id long, url string, html string, text string")
