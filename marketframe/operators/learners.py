@@ -105,7 +105,7 @@ def with_prediction(scored: DataFrame, probs: str = "probs") -> DataFrame:
 # Ranges of depth, rows per leaf, feature fraction and row fraction of the tree search.
 SEARCH_SPACE = {"max_depth": (4, 12), "min_instances": (5, 50), "feature_fraction": (0.5, 1.0),
                 "row_fraction": (0.5, 1.0)}
-TREES = (10, 60)
+TREES = (200, 1000)
 TRIALS_AT_ONCE = 8
 SEARCH_ROWS = 2000        # a trial learns from at most so many labelled rows
 

@@ -341,3 +341,14 @@ def test_feature_groups_name_a_missing_group(spark):
     df = spark.createDataFrame([("a", 1.0, 1)], "symbol string, rsi_14 double, label int")
     found = {r.feature_group: r.present for r in quality.feature_groups_present(df).collect()}
     assert found["momentum"] and found["label"] and not found["volume"] and not found["returns"]
+
+
+def test_registered_learners_have_full_size(spark):
+    """No cut in rounds, depth, trees or iterations against the reference's sizes."""
+    from marketframe.operators import learners
+    from marketframe.plans import q_learn
+
+    gbt = learners.boosted_learner(**q_learn.PARAMS["gbt"]).getClassifier()
+    assert (gbt.getMaxIter(), gbt.getMaxDepth()) == (1000, 6)
+    assert {200 <= d["num_trees"] <= 1000 for d in learners.draw_params(50)} == {True}
+    assert learners.sequence_learner(20, **q_learn.SEQUENCE).getMaxIter() == 50
