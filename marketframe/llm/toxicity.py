@@ -9,7 +9,8 @@ so length does not dilute a score. The machine scores
 
 over the present terms: the second part learns pairs, such as an insult together with the mention of
 a group, that additive weights miss. It is trained by AdaGrad on at most ``MAX_SAMPLE`` labelled rows
-(a bounded sample by hash of the id; the bound is the parameter ``max_sample``). Scoring reads every
+(a bounded sample of the documents with a label, by hash of id and text; rows equal in both are one; the
+bound is the parameter ``max_sample``). Scoring reads every
 whole text in one pass without a shuffle.
 
 Defined results: a null or empty text has no term and scores the bias; ids that repeat in the labels
@@ -127,18 +128,22 @@ def fit(docs: DataFrame, labels: DataFrame, ident: str = "doc_id", text: str = "
         max_sample: int = MAX_SAMPLE) -> Machine:
     """Fits on at most ``max_sample`` labelled documents. Only hashed buckets of the sample, its
     MAX_TERMS best buckets and the rows restricted to these reach the driver."""
-    pick = (labels.where(F.col(label).isNotNull() & F.col(ident).isNotNull()).groupBy(F.col(ident).alias("__mf_id"))
-            .agg(F.max(F.col(label).cast("int")).alias("__mf_y"))
-            .orderBy(F.xxhash64(F.lit(SEED), "__mf_id"), "__mf_id").limit(max_sample))
-    # at most max_sample ids: a bounded broadcast, the texts stay where they are
-    sample = docs.select(F.col(ident).alias("__mf_id"), text_or_empty(text).alias("__mf_text")).join(F.broadcast(pick), "__mf_id")
+    known = (labels.where(F.col(label).isNotNull() & F.col(ident).isNotNull()).groupBy(F.col(ident).alias("__mf_id"))
+             .agg(F.max(F.col(label).cast("int")).alias("__mf_y")))
+    texts = docs.select(F.col(ident).alias("__mf_id"), text_or_empty(text).alias("__mf_text")).withColumn("__mf_h", F.xxhash64("__mf_text"))
+    # labelled rows without their texts, one per id and text: the bound counts rows that are there
+    pick = cut(texts.select("__mf_id", "__mf_h").distinct().join(known, "__mf_id")
+               .orderBy(F.xxhash64(F.lit(SEED), "__mf_id", "__mf_h"), "__mf_id", "__mf_h").limit(max_sample))
+    # at most max_sample rows: a bounded broadcast, the texts stay where they are
+    sample = texts.join(F.broadcast(pick), ["__mf_id", "__mf_h"])
 
     def hashed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         terms = Buckets()
         for x in batches:
-            yield pd.DataFrame({"y": x["__mf_y"], "b": [terms.of(t) for t in x["__mf_text"]]})
+            yield pd.DataFrame({"id": x["__mf_id"], "h": x["__mf_h"], "y": x["__mf_y"], "b": [terms.of(t) for t in x["__mf_text"]]})
 
-    rows = cut(sample.mapInPandas(hashed, "y int, b array<int>"))
+    kind = pick.schema["__mf_id"].dataType.simpleString()
+    rows = cut(sample.mapInPandas(hashed, f"id {kind}, h long, y int, b array<int>").dropDuplicates(["id", "h"]))
     sums = {r[0]: r[1] for r in rows.groupBy("y").count().collect()}
     neg, pos = sums.get(0, 0), sum(v for k, v in sums.items() if k != 0)
     if not neg or not pos:
@@ -153,7 +158,7 @@ def fit(docs: DataFrame, labels: DataFrame, ident: str = "doc_id", text: str = "
             .where(F.col("chi2") >= MIN_CHI2).orderBy(F.desc("chi2"), "b").limit(MAX_TERMS).collect())
     wanted = {r["b"]: i for i, r in enumerate(best)}
     kept = F.array_intersect("b", F.array(*[F.lit(b) for b in sorted(wanted)])) if wanted else F.array().cast("array<int>")
-    got = rows.select("y", kept.alias("b")).collect()
+    got = rows.orderBy("id", "h").select("y", kept.alias("b")).collect()
     bias, w, v = train([[wanted[b] for b in r["b"]] for r in got], np.array([float(r["y"] != 0) for r in got]), len(wanted))
     return Machine(bias, w, v, wanted)
 

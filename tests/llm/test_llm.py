@@ -174,6 +174,18 @@ def test_toxicity(spark, edge):
     assert len(scored) == 9 and scored.score.between(0, 1).all()
 
 
+def test_toxicity_sample_counts_labelled_rows(spark, monkeypatch):
+    """Labels of unknown ids take no places of the sample, and copies of a row are one."""
+    seen, train = [], toxicity.train
+    monkeypatch.setattr(toxicity, "train", lambda rows, labels, n: (seen.append(len(rows)), train(rows, labels, n))[1])
+    texts = [(i, f"you awful word{i}" if i % 2 else f"some nice word{i}") for i in range(40)]
+    docs = spark.createDataFrame(texts + [texts[3]] * 500 + [texts[4]] * 500, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(4000)], "doc_id long, toxic int")
+    toxicity.fit(docs, labels, max_sample=30)
+    toxicity.fit(docs, labels, max_sample=1000)
+    assert seen == [30, 40]
+
+
 def test_machine_learns_pairs():
     rng, rows, y = random.Random(2), [], []
     for _ in range(3000):  # label is the exclusive or of two terms: no additive weights can tell
