@@ -11,9 +11,9 @@ the texts hold. The loss mask covers the texts of assistant turns.
 
 Defined results: null texts and roles count as empty; rows of a conversation are ordered by turn (null
 first), then role, then text; repeated rows are repeated turns; a null conv_id is a conversation; an
-unknown layout raises ValueError for a table and yields no turn (layout null) for a JSON record; extra
-columns and fields that no mapping names make another fingerprint in JSON, and are ignored in tables
-whose named columns are present. An empty table gives an empty result.
+unknown layout raises ValueError for a table and yields no turn (layout null) for a JSON record; columns
+and fields that no mapping names are ignored where the named ones are present; a record whose list of
+turns is empty or null has the turns of its other fields, which may be none. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -89,11 +89,15 @@ def known_layouts(mappings: list[Mapping] = MAPPINGS) -> dict[str, Mapping]:
             for extra in itertools.combinations(m.optional, k)}
 
 
+def named_paths(mappings: list[Mapping] = MAPPINGS) -> set[str]:
+    return {p for m in mappings for p in (*m.paths, *m.optional)}
+
+
 def canonical_turns(table: DataFrame, mappings: list[Mapping] = MAPPINGS) -> DataFrame:
     """Rows (conv_id, turn, role, text) of a table whose schema has a known layout."""
     have = schema_paths(table.schema)
     layouts = known_layouts(mappings)
-    named = {p for m in mappings for p in (*m.paths, *m.optional)}
+    named = named_paths(mappings)
     found = layouts.get(fingerprint(have)) or layouts.get(fingerprint([p for p in have if p in named]))
     if found is None:
         raise ValueError(f"no mapping has the field paths {sorted(have)}")
@@ -116,9 +120,14 @@ def canonical_turns(table: DataFrame, mappings: list[Mapping] = MAPPINGS) -> Dat
         .select("conv_id", F.col("turn").cast("long").alias("turn"), "x.role", "x.text")
 
 
-def record_turns(record, layouts: dict[str, Mapping]) -> tuple[str | None, list[tuple[str, str]]]:
+def record_turns(record, layouts: dict[str, Mapping], named: set[str]) -> tuple[str | None, list[tuple[str, str]]]:
     """Layout name and turns of one parsed JSON record (null and no turns when unknown)."""
-    found = layouts.get(fingerprint(value_paths(record)))
+    have = value_paths(record)
+    found = layouts.get(fingerprint(have))
+    if found is None:
+        # an empty or null list of turns stands for the paths that its turns would have
+        bare = [m for m in layouts.values() if m.turns and isinstance(record, dict) and m.turns in record and not record[m.turns]]
+        found = layouts.get(fingerprint({p for p in have if p in named} | {p for m in bare for p in m.paths}))
     if found is None or found.name == "rows":
         return None, []
     turns = []
@@ -134,14 +143,14 @@ def record_turns(record, layouts: dict[str, Mapping]) -> tuple[str | None, list[
 def canonical_from_json(table: DataFrame, ident: str, column: str, mappings: list[Mapping] = MAPPINGS) -> DataFrame:
     """Rows (conv_id, layout, turn, role, text) of JSON records in mixed layouts; a record of no known
     layout (or not JSON) is one row with null layout, turn, role and text."""
-    layouts = known_layouts(mappings)
+    layouts, named = known_layouts(mappings), named_paths(mappings)
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for x in batches:
             out = []
             for key, raw in zip(x["conv_id"], x["raw"]):
                 try:
-                    layout, turns = record_turns(json.loads(raw), layouts)
+                    layout, turns = record_turns(json.loads(raw), layouts, named)
                 except (TypeError, ValueError, KeyError, AttributeError):
                     layout, turns = None, []
                 out += [(key, layout, i, r, t) for i, (r, t) in enumerate(turns)] if layout else [(key, None, None, None, None)]

@@ -228,6 +228,15 @@ def test_chat_layouts(spark):
         chat.canonical_turns(spark.range(1))
 
 
+def test_chat_records_with_more_fields(spark):
+    records = [{"id": 7, "messages": [{"role": "user", "content": "q", "weight": 1}, {"role": "assistant", "content": "a"}]},
+               {"source": "s", "prompt": "q", "completion": "a"}, {"system": "s", "conversations": [], "id": 1}, {"messages": []}, {"messages": "x"}]
+    table = spark.createDataFrame([(i, json.dumps(r)) for i, r in enumerate(records)], "id long, raw string")
+    got = [(r.conv_id, r.layout, r.role, r.text) for r in chat.canonical_from_json(table, "id", "raw").orderBy("conv_id", "turn").collect()]
+    assert got == [(0, "messages", "user", "q"), (0, "messages", "assistant", "a"), (1, "prompt", "user", "q"), (1, "prompt", "assistant", "a"),
+                   (2, "share", "system", "s"), (4, None, None, None)]
+
+
 def test_hamming_search(spark):
     rng = np.random.default_rng(5)
     x = rng.normal(size=(400, 70)).round(2)
