@@ -163,15 +163,26 @@ def drift_status(symbols: DataFrame, reports: DataFrame) -> DataFrame:
                     "latest_report", "report_date")
 
 
-def digest(records: DataFrame) -> DataFrame:
+def digest(records: DataFrame, requests: DataFrame | None = None) -> DataFrame:
     """AGG-08 / SRV-03: newline-joined 'SYMBOL: Signal (conf=NN%)' lines in symbol order.
-    One row for the whole table, so it is meant for the latest-row table (one row
-    per configured symbol), never for history."""
+
+    ``requests`` (batch, symbol) names the symbols of each request: one row (batch, summary) per batch,
+    so a row holds only the symbols that one request asks for. Without it all records are one request:
+    meant for the latest-row table of the configured symbols, never for history."""
     line = F.concat(F.col("symbol"), F.lit(": "), F.col("signal"), F.lit(" (conf="),
                     fn.percent0(F.col("confidence")), F.lit(")"))
-    g = records.agg(F.array_sort(F.collect_list(F.struct(F.col("symbol"), line.alias("l")))).alias("_a"))
-    return g.select(F.coalesce(F.array_join(F.col("_a.l"), "\n"), F.lit("No predictions available."))
-                    .alias("summary"))
+    if requests is None:
+        g = records.agg(F.array_sort(F.collect_list(F.struct(F.col("symbol"), line.alias("l")))).alias("_a"))
+    else:
+        own = records.select("symbol", line.alias("_l"))
+        told = F.when(F.col("_l").isNotNull(), F.struct(F.col("symbol"), F.col("_l").alias("l")))
+        g = requests.select("batch", "symbol").distinct().join(own, "symbol", "left").groupBy("batch") \
+            .agg(F.array_sort(F.collect_list(told)).alias("_a"))
+    none = F.lit("No predictions available.")
+    lines = F.array_join(F.col("_a.l"), "\n")
+    if requests is None:
+        return g.select(F.coalesce(lines, none).alias("summary"))
+    return g.select("batch", F.when(F.size("_a") > 0, lines).otherwise(none).alias("summary"))
 
 
 def projection_cone(preds: DataFrame, horizon: str = "month", probs: str = "probs") -> DataFrame:

@@ -352,3 +352,12 @@ def test_registered_learners_have_full_size(spark):
     assert (gbt.getMaxIter(), gbt.getMaxDepth()) == (1000, 6)
     assert {200 <= d["num_trees"] <= 1000 for d in learners.draw_params(50)} == {True}
     assert learners.sequence_learner(20, **q_learn.SEQUENCE).getMaxIter() == 50
+
+
+def test_digest_per_request(spark):
+    from marketframe.operators import serve
+
+    records = spark.createDataFrame([("B", "Buy", 0.5), ("A", "Hold", 0.25), ("C", "Sell", 0.75)], "symbol string, signal string, confidence double")
+    requests = spark.createDataFrame([(1, "B"), (1, "A"), (1, "B"), (2, "C"), (2, "Z"), (3, "Z")], "batch long, symbol string")
+    got = {r.batch: r.summary for r in serve.digest(records, requests).collect()}
+    assert got == {1: "A: Hold (conf=25%)\nB: Buy (conf=50%)", 2: "C: Sell (conf=75%)", 3: "No predictions available."}
