@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import mixing, near_duplicates, quality
+from . import decontamination, mixing, near_duplicates, periodic_runs, quality
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 _STOP = "[" + ", ".join(f"'{w}'" for w in sorted(set(sum(quality.STOP_WORDS.values(), [])))) + "]"
@@ -93,4 +93,46 @@ SELECT doc_id, size, source_size, round(target, 4) AS target,
     (CASE WHEN size = 0 THEN 0 ELSE whole + CASE WHEN seen + size / 2.0 <= rest THEN 1 ELSE 0 END END * size)::BIGINT AS taken FROM o
 """
 
-ORACLES = {"op4_quality_rules": OP4, "op6_chat_format": OP6, "op7_hamming_search": OP7, "op8_ngram_jaccard": OP8, "op9_mixing": OP9}
+# crc32 of the decimal doc_id, bit by bit
+_CRC = """xor(list_reduce(list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT), lambda acc, b:
+    list_reduce(range(8), lambda y, j: CASE WHEN y % 2 = 1 THEN xor(y // 2, 3988292384) ELSE y // 2 END, xor(acc, b)), 4294967295::BIGINT), 4294967295::BIGINT)"""
+
+OP11 = rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS} AS w0, {_CRC} AS h FROM documents),
+e AS (SELECT *, len(w0)::BIGINT AS n, h // 10 AS g FROM d),
+f AS (SELECT *, CASE WHEN h % 10 = 0 AND n > 0 THEN g % n END AS a FROM e),
+p AS (SELECT *, 1 + (n - a) // (3 + g % 8) AS p FROM f),
+t AS (SELECT r, unnest(CASE WHEN a IS NULL THEN w0 ELSE list_transform(range(0, n), lambda i: w0[1 + CASE WHEN i < a THEN i ELSE a + (i - a) % p END]) END) AS word,
+    unnest(range(0, n)) AS i FROM p),
+same AS (SELECT x.r, x.i, y.i - x.i AS q FROM t x JOIN t y ON x.r = y.r AND x.word = y.word AND y.i > x.i),
+isles AS (SELECT r, q, i, i - row_number() OVER (PARTITION BY r, q ORDER BY i) AS isle FROM same),
+stretch AS (SELECT r, q, min(i) AS s, count(*) + q AS len FROM isles GROUP BY r, q, isle HAVING count(*) + q >= greatest({periodic_runs.SHORTEST}, 2 * q)),
+runs AS (SELECT r, s, len, min(q) AS q FROM stretch GROUP BY r, s, len),
+dropped AS (SELECT DISTINCT r, unnest(range(s + q, s + len)) AS i FROM runs),
+kept AS (SELECT r, string_agg(word, ' ' ORDER BY i) AS body FROM t ANTI JOIN dropped USING (r, i) GROUP BY r),
+sums AS (SELECT r, count(*) AS n_runs, string_agg(s || ',' || len || ',' || q || chr(10), '' ORDER BY s, q) AS lines FROM runs GROUP BY r),
+top AS (SELECT * FROM runs QUALIFY row_number() OVER (PARTITION BY r ORDER BY len DESC, s, q) = 1)
+SELECT doc_id, n AS n_words, coalesce(n_runs, 0)::BIGINT AS n_runs, s::BIGINT AS start, len::BIGINT AS length, q::BIGINT AS period,
+    (1000 * len // q)::BIGINT AS exponent_milli, sha256(coalesce(lines, '')) AS runs_sha256, sha256(coalesce(body, '')) AS collapsed_sha256
+FROM p LEFT JOIN sums USING (r) LEFT JOIN top USING (r) LEFT JOIN kept USING (r)
+"""
+
+_TOKENS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+OP13 = f"""
+WITH b AS (SELECT coalesce(item_id::VARCHAR, '') AS item, {_TOKENS} AS ws FROM benchmark),
+pat AS (SELECT DISTINCT item, least(len(ws), {decontamination.WINDOW}) AS k, array_to_string(ws[i:i + least(len(ws), {decontamination.WINDOW}) - 1], ' ') AS body
+    FROM (SELECT item, ws, unnest(range(1, 2 + greatest(0, len(ws) - {decontamination.WINDOW}))) AS i FROM b WHERE len(ws) > 0)),
+d AS (SELECT row_number() OVER () AS r, doc_id, {_TOKENS} AS ws FROM documents),
+win AS (SELECT r, k, i, array_to_string(ws[i:i + k - 1], ' ') AS body
+    FROM (SELECT r, ws, k, unnest(range(1, 2 + len(ws) - k)) AS i FROM d JOIN (SELECT DISTINCT k FROM pat) ON len(ws) >= k)),
+occ AS (SELECT DISTINCT win.r, win.i, win.k, pat.item FROM win JOIN pat USING (k, body)),
+hit AS (SELECT r, count(*) AS n_hit FROM (SELECT DISTINCT r, unnest(range(i, i + k)) AS i FROM occ) GROUP BY r),
+its AS (SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS names FROM (SELECT DISTINCT r, item FROM occ) GROUP BY r)
+SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+    sha256(coalesce(names, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
+FROM d LEFT JOIN hit USING (r) LEFT JOIN its USING (r)
+"""
+
+ORACLES = {"op4_quality_rules": OP4, "op6_chat_format": OP6, "op7_hamming_search": OP7, "op8_ngram_jaccard": OP8, "op9_mixing": OP9,
+           "op11_periodic_runs": OP11, "op13_decontamination": OP13}

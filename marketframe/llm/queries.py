@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, hamming_search, html_extract, mixing, near_duplicates, packing, quality, sharding, suffix_dedup, toxicity
-from .common import text_or_empty
+from . import (chat, decontamination, hamming_search, html_extract, mixing, near_duplicates, packing, periodic_runs, quality, sharding, suffix_dedup,
+               toxicity)
+from .common import text_or_empty, words
 from .oracles import ORACLES  # noqa: F401
 
 
@@ -73,6 +74,42 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def with_repeats(docs: DataFrame) -> DataFrame:
+    """(doc_id, text): where crc32(doc_id) is divisible by 10, the text's words repeat from word a on with period p."""
+    code = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    split = words(text_or_empty())
+    n, g = F.size("__mf_w").cast("long"), F.floor(F.col("__mf_h") / 10)
+    a = g % n
+    p = 1 + F.floor((n - a) / (3 + g % 8))
+    place = F.transform(F.sequence(F.lit(0).cast("long"), n - 1), lambda i: F.when(i < a, i).otherwise(a + (i - a) % p))
+    repeated = F.array_join(F.transform(place, lambda i: F.get("__mf_w", i.cast("int"))), " ")
+    chosen = docs.select("doc_id", "text", code.alias("__mf_h")) \
+        .withColumn("__mf_w", F.when(F.col("__mf_h") % 10 == 0, split))
+    return chosen.select("doc_id", F.when(F.size("__mf_w") > 0, repeated).otherwise(F.col("text")).alias("text"))
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs.find_runs(with_repeats(table(spark, sf_dir, "documents")))
+    line = F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"]))
+    # the greatest length; of equal ones the smallest start, then period
+    longest = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("s"), (-r["period"]).alias("p"))))
+    return found.withColumn("__mf_top", longest).select(
+        "doc_id", "n_words", F.size("runs").cast("long").alias("n_runs"), (-F.col("__mf_top.s")).alias("start"),
+        F.col("__mf_top.length").alias("length"), (-F.col("__mf_top.p")).alias("period"),
+        F.floor(1000 * F.col("__mf_top.length") / -F.col("__mf_top.p")).cast("long").alias("exponent_milli"),
+        F.sha2(F.array_join(F.transform(line, lambda x: F.concat(x, F.lit("\n"))), "").cast("binary"), 256).alias("runs_sha256"),
+        F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"))
+
+
+def op13_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = decontamination.find_leaks(docs, table(spark, sf_dir, "benchmark"))
+    n_hit = F.aggregate("hits", F.lit(0).cast("long"), lambda total, h: total + h["end"] - h["start"])
+    return found.select(
+        "doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_best_fit_packing, op2_sharding, op3_html_extraction, op4_quality_rules, op5_toxicity, op6_chat_format, op7_hamming_search,
-    op8_ngram_jaccard, op9_mixing, op10_suffix_dedup)}
+    op8_ngram_jaccard, op9_mixing, op10_suffix_dedup, op11_periodic_runs, op13_decontamination)}
