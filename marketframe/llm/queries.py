@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import (chat, decontamination, hamming_search, html_extract, mixing, near_duplicates, packing, periodic_runs, quality, sharding, suffix_dedup,
-               toxicity)
+               token_alignment, toxicity)
 from .common import text_or_empty, words
 from .oracles import ORACLES  # noqa: F401
 
@@ -101,6 +101,10 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"))
 
 
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_alignment.link_statistics(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op13_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = decontamination.find_leaks(docs, table(spark, sf_dir, "benchmark"))
@@ -112,4 +116,5 @@ def op13_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     op1_best_fit_packing, op2_sharding, op3_html_extraction, op4_quality_rules, op5_toxicity, op6_chat_format, op7_hamming_search,
-    op8_ngram_jaccard, op9_mixing, op10_suffix_dedup, op11_periodic_runs, op13_decontamination)}
+    op8_ngram_jaccard, op9_mixing, op10_suffix_dedup, op11_periodic_runs, op12_token_alignment,
+    op13_decontamination)}
