@@ -8,9 +8,12 @@ only counts and links to the least partner leave a task, so a large group of nea
 rows for all its pairs.
 
 Steps: one scan makes signatures; band values are joined to the least class of their bucket (a star,
-not all pairs); the stars' connected components bound where partners can be; components are cut into
-blocks of ``BLOCK`` classes, and every pair of blocks is compared in one task by sparse products over
-shingles that occur twice.
+not all pairs); the stars' connected components bound where partners can be. Each component has a hub (its
+least class), and the full set of every other class is written as its difference from the hub's: two sorted
+lists, which for near copies are a few numbers in place of the set. Exact shared counts follow from the
+differences alone. Components are cut into blocks by bytes and classes (``BLOCK_BYTES``, ``BLOCK``), and every
+pair of blocks is compared in one task, in tiles; a near-copy group of some thousand documents is one block, so
+that what is shuffled grows with the sets, each moved once, and not with the square of a group.
 
 Defined results: null and empty texts are one class without links; repeated rows are one class; null
 ids are counted like others (class_id and group_id are the least id that is not null, else null); an
@@ -25,7 +28,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -33,7 +36,8 @@ from .common import WORD_GAP, apart, ceil_div, cut, row_key, text_or_empty
 from .components import components
 
 SHINGLE, THRESHOLD, RECALL, ROWS = 5, 0.8, 0.99999, 4
-BLOCK, TASK_CLASSES, CHUNK_WORDS, COLUMNS, CACHE_WORDS = 512, 2000, 200_000, 8192, 400_000
+CHUNK_WORDS, CACHE_WORDS, HUB_CLASSES = 100_000, 50_000, 512
+BLOCK, BLOCK_BYTES, TILE, COLUMNS, PAIRS = 4096, 6_000_000, 1024, 1024, 1_000_000
 _GAPS = str.maketrans({c: " " for c in WORD_GAP})
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -138,27 +142,73 @@ def signatures(docs: DataFrame, ident: str, text: str, bands: int) -> DataFrame:
     return rows.mapInArrow(sign, schema)
 
 
-def linked(sets: list[np.ndarray], left: int, threshold: float) -> np.ndarray:
-    """Boolean matrix: sets[:left] against sets[left:] (all against all when left is 0), true where the
-    Jaccard similarity reaches the threshold. Shared shingles are counted by products over runs of
-    COLUMNS shingles that occur in two sets or more."""
-    sizes = np.array([len(s) for s in sets], np.int64)
-    flat, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
-    _, code, seen = np.unique(flat, return_inverse=True, return_counts=True)
-    keep = seen[code] > 1
-    names, code = np.unique(code[keep], return_inverse=True)
-    owner = owner[keep]
-    order = np.argsort(code, kind="stable")
-    code, owner = code[order], owner[order]
-    rows, cols = (slice(0, left), slice(left, None)) if left else (slice(None), slice(None))
-    shared = np.zeros((len(range(len(sets))[rows]), len(range(len(sets))[cols])), np.float64)
-    for at in range(0, len(names), COLUMNS):
-        a, b = np.searchsorted(code, [at, at + COLUMNS])
-        x = np.zeros((len(sets), min(COLUMNS, len(names) - at)), np.float32)
-        x[owner[a:b], code[a:b] - at] = 1
-        shared += x[rows] @ x[cols].T
-    union = sizes[rows][:, None] + sizes[cols][None, :] - shared
-    return (shared >= threshold * union - 1e-9) & (union > 0)
+def shared_counts(flat: np.ndarray, owner: np.ndarray, left: int, right: int) -> np.ndarray:
+    """Matrix (left, right): how many values members x < left and left + y have in common. ``flat`` holds the
+    members' distinct values end to end, ``owner`` the member of each. Values that many members hold are counted
+    by dense products over runs of COLUMNS values, the others by their pairs, in runs of PAIRS."""
+    shared = np.zeros((left, right), np.float32)
+    order = np.argsort(flat, kind="stable")
+    flat, owner = flat[order], owner[order]
+    first = np.flatnonzero(np.r_[True, flat[1:] != flat[:-1]]) if len(flat) else np.zeros(0, np.int64)
+    code = np.repeat(np.arange(len(first)), np.diff(np.r_[first, len(flat)]))
+    on_left = owner < left
+    n_left, n_right = (np.bincount(code[m], minlength=len(first)) for m in (on_left, ~on_left))
+    both = (n_left > 0) & (n_right > 0)
+    dense = both & (n_left * n_right > 0.02 * left * right)
+    names = np.cumsum(dense) - 1
+    keep = dense[code]
+    number, member = names[code[keep]], owner[keep]
+    for at in range(0, int(dense.sum()), COLUMNS):
+        a, b = np.searchsorted(number, [at, at + COLUMNS])
+        x = np.zeros((left + right, min(COLUMNS, int(dense.sum()) - at)), np.float32)
+        x[member[a:b], number[a:b] - at] = 1
+        shared += x[:left] @ x[left:].T
+    # the members on the right of each value lie end to end, and each member on the left meets them
+    rare = (both & ~dense)[code]
+    rows, row_code, cols = owner[rare & on_left], code[rare & on_left], owner[rare & ~on_left] - left
+    count = np.where(both & ~dense, n_right, 0)
+    begin, reach = (np.cumsum(count) - count)[row_code], np.cumsum(count[row_code])
+    at = 0
+    while at < len(rows):
+        stop = max(at + 1, int(np.searchsorted(reach, (reach[at - 1] if at else 0) + PAIRS, side="right")))
+        own = count[row_code[at:stop]]
+        place = np.repeat(begin[at:stop] - (np.cumsum(own) - own), own) + np.arange(int(own.sum()))
+        np.add.at(shared.reshape(-1), np.repeat(rows[at:stop], own) * right + cols[place], np.float32(1))
+        at = stop
+    return shared
+
+
+class Members:
+    """Classes of one component, by their differences from its hub: ``listed``, places in the hub's set, are those
+    that the class lacks, or those that it has (``has``); ``extra`` are its shingles that the hub lacks."""
+
+    def __init__(self, hub_size: int, sizes: np.ndarray, has: np.ndarray, listed: list[np.ndarray], extra: list[np.ndarray]):
+        self.hub_size, self.sizes, self.has, self.listed, self.extra = hub_size, sizes, has, listed, extra
+
+    def linked(self, x: np.ndarray, y: np.ndarray, threshold: float) -> np.ndarray:
+        """Boolean matrix: true where members x and y reach the threshold."""
+        if min(self.sizes[x].max(), self.sizes[y].max()) < threshold * max(self.sizes[x].min(), self.sizes[y].min()) - 1e-9:
+            return np.zeros((len(x), len(y)), bool)
+
+        def counts(lists: list[np.ndarray]) -> np.ndarray:
+            own = [lists[k] for k in (*x, *y)]
+            return shared_counts(np.concatenate(own), np.repeat(np.arange(len(own)), [len(v) for v in own]), len(x), len(y))
+
+        n = np.array([len(v) for v in self.listed], np.float64)
+        common, has_x, has_y = counts(self.listed).astype(np.float64), self.has[x][:, None], self.has[y][None, :]
+        n_x, n_y = n[x][:, None], n[y][None, :]
+        # places of the hub that both have, by what their lists say
+        in_hub = np.where(has_x & has_y, common, np.where(has_x, n_x - common, np.where(has_y, n_y - common, self.hub_size - n_x - n_y + common)))
+        shared = in_hub + counts(self.extra)
+        union = self.sizes[x][:, None] + self.sizes[y][None, :] - shared
+        return (shared >= threshold * union - 1e-9) & (union > 0)
+
+
+def differences(hub: np.ndarray, own: np.ndarray) -> tuple[bool, np.ndarray, np.ndarray]:
+    """(has, listed, extra) of a sorted set against the hub's."""
+    inside = np.isin(hub, own, assume_unique=True)
+    has = bool(2 * int(inside.sum()) < len(hub))
+    return has, np.flatnonzero(inside if has else ~inside).astype(np.uint32), own[~np.isin(own, hub, assume_unique=True)]
 
 
 def local_roots(names: np.ndarray, pairs: np.ndarray) -> np.ndarray:
@@ -172,30 +222,64 @@ def local_roots(names: np.ndarray, pairs: np.ndarray) -> np.ndarray:
             return root
 
 
+_DIFFERENCE = "comp long, s1 long, s2 long, size int, hub int, has boolean, listed binary, extra binary"
+
+
+def _differences(sets: DataFrame) -> DataFrame:
+    """Every class against its component's hub; sets: comp, s1, s2, members (of the component), items."""
+    parts = F.ceil(F.col("members") / HUB_CLASSES).cast("int")
+    # a large component's classes are dealt to several copies of the hub
+    hubs = sets.where("s1 = comp").groupBy("comp").agg(F.min_by("items", "s2").alias("hub"), F.first(parts).alias("parts"))
+    hubs = hubs.select("comp", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "hub")
+    rows = sets.withColumn("part", F.pmod(F.xxhash64("s1", "s2"), parts).cast("int")).join(hubs, ["comp", "part"]) \
+        .select("comp", "s1", "s2", "hub", "items")
+
+    def against(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for x in batches:
+            for at in range(0, x.num_rows, HUB_CLASSES):
+                part, out = x.slice(at, HUB_CLASSES), []
+                for hub, own in zip(part.column(3), part.column(4)):
+                    hub, own = (np.frombuffer(v.as_buffer(), np.uint64) for v in (hub, own))
+                    has, listed, extra = differences(hub, own)
+                    out.append((len(own), len(hub), has, listed.tobytes(), extra.tobytes()))
+                columns = [pa.array(c, t) for c, t in zip(zip(*out), (pa.int32(), pa.int32(), pa.bool_(), pa.binary(), pa.binary()))]
+                yield pa.RecordBatch.from_arrays([*part.columns[:3], *columns], names=["comp", "s1", "s2", "size", "hub", "has", "listed", "extra"])
+
+    return rows.mapInArrow(against, _DIFFERENCE)
+
+
 def _verify(members: DataFrame, threshold: float) -> DataFrame:
-    """(s1, s2, links, root, several) per class and task; members: g, i, j, comp, s1, s2, blk, items."""
+    """(s1, s2, links, root, several) per class and task; members: g, i, j, blk and the columns of _differences."""
 
     def compare(table: pa.Table) -> pa.Table:
         i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
-        comp, s1, s2, blk = (table.column(c).to_numpy() for c in ("comp", "s1", "s2", "blk"))
-        items, out = table.column("items"), []
-        order = np.lexsort((s2, s1, blk, comp))
-        first = np.ones(len(order), bool)  # repeated rows bring a class twice
-        first[1:] = (s1[order][1:] != s1[order][:-1]) | (s2[order][1:] != s2[order][:-1])
-        order = order[first]
+        comp, s1, s2, blk, size, hub = (table.column(c).to_numpy() for c in ("comp", "s1", "s2", "blk", "size", "hub"))
+        has, listed, extra = np.array(table.column("has").to_pylist(), bool), table.column("listed"), table.column("extra")
+        order, out = np.lexsort((size, blk, comp)), []
         for own in np.split(order, np.flatnonzero(np.diff(comp[order])) + 1):
-            sets = [np.frombuffer(items[int(k)].as_py(), np.uint64) for k in own]
             left = int((blk[own] == i).sum()) if j > i >= 0 else 0
             if len(own) < 2 or j > i >= 0 and left in (0, len(own)):
                 continue
-            hit = linked(sets, left, threshold)
+            lists = [[np.frombuffer(c[int(k)].as_buffer(), t) for k in own] for c, t in ((listed, np.uint32), (extra, np.uint64))]
+            members, links, root = Members(int(hub[own[0]]), size[own], has[own], *lists), np.zeros(len(own), np.int64), s1[own].copy()
+            tiles = [np.arange(a, min(a + TILE, len(own))) for a in range(0, len(own), TILE)]
             if left:
-                links, pairs = np.r_[hit.sum(axis=1), hit.sum(axis=0)], np.argwhere(hit) + [0, left]
-            else:
-                np.fill_diagonal(hit, False)
-                links, pairs = hit.sum(axis=1), np.argwhere(np.triu(hit))
-            roots = local_roots(s1[own].copy(), pairs) if len(pairs) else s1[own]
-            out.append((s1[own], s2[own], links.astype(np.int64), roots))
+                tiles = [t for t in (*(np.arange(a, min(a + TILE, left)) for a in range(0, left, TILE)),
+                                     *(np.arange(a, min(a + TILE, len(own))) for a in range(left, len(own), TILE)))]
+            for n, x in enumerate(tiles):
+                for y in tiles[n:]:
+                    if left and (x[0] < left) == (y[0] < left):
+                        continue  # pairs inside a block are counted where the block meets itself
+                    hit = members.linked(x, y, threshold)
+                    if x is y:
+                        np.fill_diagonal(hit, False)
+                    else:
+                        links[y] += hit.sum(axis=0)
+                    links[x] += hit.sum(axis=1)
+                    pairs = np.argwhere(hit)
+                    if len(pairs):
+                        root = local_roots(root, np.stack([x[pairs[:, 0]], y[pairs[:, 1]]], axis=1))
+            out.append((s1[own], s2[own], links, root))
         cols = [np.concatenate(c) for c in zip(*out)] if out else [np.zeros(0, np.int64)] * 4
         return pa.table([*map(pa.array, cols), pa.array(np.full(len(cols[0]), i >= 0))], names=["s1", "s2", "links", "root", "several"])
 
@@ -215,31 +299,35 @@ def near_duplicates(docs: DataFrame, ident: str = "doc_id", text: str = "text",
     stars = in_bands.join(apart(hubs, "band"), "band").select(F.col("s1").alias("u"), F.col("hub").alias("v"))
     found = components(stars)
     sizes = found.groupBy("root").count()
-    n_members = found.count()
-    blocks = F.ceil(F.col("count") / BLOCK).cast("int")
     needed = (classes.select("s1", "s2", F.col("r.__mf_r1"), F.col("r.__mf_r2"))
-              .join(found.join(apart(sizes, "root"), "root").select(F.col("node").alias("s1"), F.col("root").alias("comp"), blocks.alias("nb")), "s1")
-              .withColumn("blk", F.pmod(F.xxhash64("s1", "s2"), "nb").cast("int")))
+              .join(found.join(apart(sizes, "root"), "root").select(F.col("node").alias("s1"), F.col("root").alias("comp"), F.col("count").alias("members")), "s1"))
     texts = docs.select(*row_key(ident, text_or_empty(text)), text_or_empty(text).alias("text"))
-    rows = texts.join(needed, ["__mf_r1", "__mf_r2"]).select("comp", "s1", "s2", "nb", "blk", "text")
+    # rows equal in id and text bring a class more than once
+    rows = texts.join(needed, ["__mf_r1", "__mf_r2"]).select("comp", "s1", "s2", "members", "text").dropDuplicates(["s1", "s2"])
 
     def shingle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler()
         for x in batches:
             at = 0
-            for run in text_chunks(x.column(5)):
+            for run in text_chunks(x.column(4)):
                 items = pa.array([s.tobytes() for s in shingler.sets(run)], pa.binary())
-                yield pa.RecordBatch.from_arrays([*x.slice(at, len(run)).columns[:5], items], names=[*x.schema.names[:5], "items"])
+                yield pa.RecordBatch.from_arrays([*x.slice(at, len(run)).columns[:4], items], names=[*x.schema.names[:4], "items"])
                 at += len(run)
 
-    sets = rows.mapInArrow(shingle, "comp long, s1 long, s2 long, nb int, blk int, items binary")
+    sets = cut(rows.mapInArrow(shingle, "comp long, s1 long, s2 long, members long, items binary"))
+    compact = cut(_differences(sets)).withColumn("bytes", 100 + F.octet_length("listed") + F.octet_length("extra"))
+    weights = compact.groupBy("comp").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("bytes") / BLOCK_BYTES)).cast("int").alias("nb"),
+                                          F.sum("bytes").alias("bytes"))
+    weights = cut(weights)
+    shared_tasks = ceil_div(weights.where("nb = 1").agg(F.sum("bytes")).first()[0] or 0, BLOCK_BYTES) or 1
     one = F.col("nb") == 1
     # small components share tasks; a block of a large one meets each block of its component
     other = F.explode(F.when(one, F.array(F.lit(-1))).otherwise(F.sequence(F.lit(0), F.col("nb") - 1))).alias("other")
-    members = sets.select("*", other).select(
-        F.when(one, F.pmod(F.xxhash64("comp"), F.lit(ceil_div(n_members, TASK_CLASSES) or 1))).otherwise(F.col("comp")).alias("g"),
+    members = compact.drop("bytes").join(apart(weights.drop("bytes"), "comp"), "comp") \
+        .withColumn("blk", F.pmod(F.xxhash64("s1", "s2"), "nb").cast("int")).select("*", other).select(
+        F.when(one, F.pmod(F.xxhash64("comp"), F.lit(shared_tasks))).otherwise(F.col("comp")).alias("g"),
         F.when(one, -1).otherwise(F.least("blk", "other")).alias("i"), F.when(one, -1).otherwise(F.greatest("blk", "other")).alias("j"),
-        "comp", "s1", "s2", "blk", "items")
+        "blk", "comp", "s1", "s2", "size", "hub", "has", "listed", "extra")
     verified = cut(_verify(members, threshold))
     links = verified.groupBy("s1", "s2").agg(F.sum("links").alias("n_links"), F.min("root").alias("root"))
     # a component of several blocks is joined up from the groups found in each pair of blocks
@@ -261,8 +349,6 @@ def keep_one_per_group(docs: DataFrame, ident: str = "doc_id", text: str = "text
     rank = F.struct(F.col(ident).isNull().alias("none"), F.col(ident).alias("id"), F.col("__mf_r1"), F.col("__mf_r2"))
     chosen = found.groupBy("root").agg(F.min(rank).alias("x")).select("x.__mf_r1", "x.__mf_r2")
     own = docs.columns
-    keyed = docs.select("*", *row_key(ident, text_or_empty(text)))
-    # rows equal in id and text share the key; they meet in the join's own partitioning
-    equal = Window.partitionBy("__mf_r1", "__mf_r2").orderBy(F.lit(0))
-    return keyed.join(chosen, ["__mf_r1", "__mf_r2"]).withColumn("__mf_n", F.row_number().over(equal)) \
-        .where("__mf_n = 1").select(*own)
+    # rows equal in id and text share the key; one of them is kept before the join
+    keyed = docs.select("*", *row_key(ident, text_or_empty(text))).dropDuplicates(["__mf_r1", "__mf_r2"])
+    return keyed.join(chosen, ["__mf_r1", "__mf_r2"]).select(*own)

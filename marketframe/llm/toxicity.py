@@ -23,7 +23,7 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -31,13 +31,13 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StructField, StructType
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from .common import cut, text_or_empty
 
 HASH_BITS, MAX_TERMS, MIN_CHI2, MAX_SAMPLE = 20, 8192, 12.0, 20_000
 FACTORS, EPOCHS, RATE, DECAY, SEED = 8, 30, 0.1, 1e-4, 3
-CACHE_WORDS = 400_000
+CACHE_WORDS, SLICE_CHARS = 50_000, 1_000_000
 _WORD = re.compile(r"\w+")
 
 
@@ -75,19 +75,27 @@ class Machine:
     v: np.ndarray
     wanted: dict[int, int]
 
-    def scores(self, texts) -> np.ndarray:
-        terms, flat, ends = Buckets(self.wanted), [], [0]
+    def scores(self, texts: Iterable[str | None], terms: Buckets | None = None) -> np.ndarray:
+        """Scores of the texts, which are read in slices of about SLICE_CHARS characters."""
+        terms, out, flat, ends, size = terms or Buckets(self.wanted), [np.zeros(0)], [], [0], 0
         for t in texts:
             flat += terms.of(t or "")
             ends.append(len(flat))
-        return 1.0 / (1.0 + np.exp(-np.clip(self.logits(np.array(flat, np.int64), np.array(ends)), -30, 30)))
+            size += len(t or "")
+            if size >= SLICE_CHARS:
+                out.append(self.logits(np.array(flat, np.int64), np.array(ends)))
+                flat, ends, size = [], [0], 0
+        out.append(self.logits(np.array(flat, np.int64), np.array(ends)))
+        return 1.0 / (1.0 + np.exp(-np.clip(np.concatenate(out), -30, 30)))
 
     def logits(self, flat: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        def total(x):
-            return np.diff(np.concatenate([np.zeros((1, *x.shape[1:])), np.cumsum(x, axis=0)])[ends], axis=0)
-
-        v = self.v[flat]
-        return self.bias + total(self.w[flat]) + 0.5 * (total(v) ** 2 - total(v * v)).sum(axis=1)
+        """Logits of texts whose terms lie end to end in ``flat``."""
+        out, full = np.full(len(ends) - 1, self.bias), np.flatnonzero(np.diff(ends))
+        if len(full):
+            v, at = self.v[flat], ends[full]
+            pairs = np.add.reduceat(v, at) ** 2 - np.add.reduceat(v * v, at)
+            out[full] += np.add.reduceat(self.w[flat], at) + 0.5 * pairs.sum(axis=1)
+        return out
 
 
 def train(rows: list[list[int]], labels: np.ndarray, n_terms: int) -> tuple[float, np.ndarray, np.ndarray]:
@@ -157,8 +165,10 @@ def fit(docs: DataFrame, labels: DataFrame, ident: str = "doc_id", text: str = "
             .withColumn("chi2", n * gap * gap / (seen * (n - seen) * F.lit(float(pos) * neg)))
             .where(F.col("chi2") >= MIN_CHI2).orderBy(F.desc("chi2"), "b").limit(MAX_TERMS).collect())
     wanted = {r["b"]: i for i, r in enumerate(best)}
-    kept = F.array_intersect("b", F.array(*[F.lit(b) for b in sorted(wanted)])) if wanted else F.array().cast("array<int>")
-    got = rows.orderBy("id", "h").select("y", kept.alias("b")).collect()
+    # at most MAX_TERMS rows: a bounded broadcast
+    few = F.broadcast(rows.sparkSession.createDataFrame([(b,) for b in wanted], "b int"))
+    present = rows.select("id", "h", F.explode("b").alias("b")).join(few, "b").groupBy("id", "h").agg(F.sort_array(F.collect_list("b")).alias("b"))
+    got = rows.select("id", "h", "y").join(present, ["id", "h"], "left").orderBy("id", "h").select("y", F.coalesce("b", F.array().cast("array<int>")).alias("b")).collect()
     bias, w, v = train([[wanted[b] for b in r["b"]] for r in got], np.array([float(r["y"] != 0) for r in got]), len(wanted))
     return Machine(bias, w, v, wanted)
 
@@ -166,12 +176,15 @@ def fit(docs: DataFrame, labels: DataFrame, ident: str = "doc_id", text: str = "
 def score(docs: DataFrame, model: Machine, text: str = "text") -> DataFrame:
     """``docs`` with score (0 to 1) and predicted (1 where the score is 0.5 or more)."""
     own = [c for c in docs.columns if c not in ("score", "predicted")]
-    rest = docs.select(*own, text_or_empty(text).alias("__mf_text"))
+    rest, at = docs.select(*own), own.index(text) if text in own else -1
+    if at < 0 or not isinstance(rest.schema[text].dataType, StringType):  # else the text crosses to Python once
+        rest, at = docs.select(*own, text_or_empty(text).alias("__mf_text")), len(own)
+    schema = StructType([*rest.schema.fields[:len(own)], StructField("score", DoubleType())])
 
     def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        terms = Buckets(model.wanted)
         for x in batches:
-            got = pa.array(model.scores(x.column(len(own)).to_pylist()))
-            yield pa.RecordBatch.from_arrays([*x.columns[:-1], got], names=[*x.schema.names[:-1], "score"])
+            got = pa.array(model.scores((t.as_py() for t in x.column(at)), terms))
+            yield pa.RecordBatch.from_arrays([*x.columns[:len(own)], got], names=schema.names)
 
-    schema = StructType([*rest.schema.fields[:-1], StructField("score", DoubleType())])
     return rest.mapInArrow(rate, schema).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
