@@ -49,7 +49,7 @@ from .common import apart, checkpoint_dir, text_or_empty
 
 FOLDER = "/opt/tokenizers"
 BYTE_LEVEL, PIECES = f"{FOLDER}/byte_bpe_50k.json", f"{FOLDER}/piece_bpe_32k.model"
-SLAB_CHARS, CACHE_PARTS, BLOCK_PAIRS, RUN_PAIRS, LARGE_GROUP = 600_000, 300_000, 4_000_000, 2_000_000, 4096
+SLAB_CHARS, CACHE_PARTS, CHUNK_PARTS, BLOCK_PAIRS, RUN_PAIRS, LARGE_GROUP = 300_000, 200_000, 256, 1_500_000, 1_000_000, 4096
 FIGURES = "n_a long, n_b long, n_groups long, n_links long"
 _ODD = re.compile(r"\s |\A | \Z")
 _CUT = re.compile(r"(?<=\S)(?= +[^ ])")
@@ -67,23 +67,23 @@ class _Growing:
     """Token ids of the parts seen, end to end."""
 
     def __init__(self):
-        self.ids, self.sizes = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.ids, self.sizes = np.zeros(0, np.int32), np.zeros(0, np.int32)
 
-    def add(self, lists: list[list[int]]) -> None:
-        self.sizes = np.concatenate([self.sizes, np.array([len(x) for x in lists], np.int64)])
-        self.ids = np.concatenate([self.ids, np.array([i for x in lists for i in x], np.int64)])
+    def add(self, ids: np.ndarray, sizes: np.ndarray) -> None:
+        self.ids, self.sizes = np.concatenate([self.ids, ids.astype(np.int32)]), np.concatenate([self.sizes, sizes.astype(np.int32)])
 
     def of(self, parts: np.ndarray, first: np.ndarray) -> np.ndarray:
-        count = self.sizes[parts]
+        count = self.sizes[parts].astype(np.int64)
         skip = first[parts] - (np.cumsum(count) - count)
-        return self.ids[np.repeat(skip, count) + np.arange(int(count.sum()))]
+        return self.ids[np.repeat(skip, count) + np.arange(int(count.sum()))].astype(np.int64)
 
 
 def _same_bytes(lists: list[list[int]], table: list[bytes], sizes: np.ndarray, want: list[bytes]) -> np.ndarray:
     """Whether the tokens of each list are the wanted bytes."""
     flat = [i for x in lists for i in x]
     owner = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
-    got, length = np.bincount(owner, sizes[np.array(flat, np.int64)], len(lists)).astype(np.int64), np.array([len(w) for w in want], np.int64)
+    got = np.bincount(owner, sizes[np.array(flat, np.int64)], len(lists)).astype(np.int64)
+    length = np.array([len(w) for w in want], np.int64)
     same = got == length
     left, right = (np.frombuffer(b"".join(x), np.uint8) for x in (map(table.__getitem__, flat), want))
     left, right = left[np.repeat(same, got)], right[np.repeat(same, length)]
@@ -128,19 +128,44 @@ class Tokenizers:
             return [text]
         return [p[1:] for p in _CUT.split(" " + text)] if _ODD.search(text) else text.split(" ")
 
+    def _encode(self, texts: list[str]) -> tuple[list[list[int]], list[list[int]], np.ndarray]:
+        """Ids A and B of a blank and each text (B puts the blank there itself), and whether both are its bytes."""
+        a = [e.ids for e in self.a.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)]
+        b, want = self.b.encode(texts, num_threads=1), [(" " + t).encode() for t in texts]
+        return a, b, _same_bytes(a, self.a_bytes, self.a_len, want) & _same_bytes(b, self.b_bytes, self.b_len, want)
+
     def learn(self, parts: list[str]) -> None:
+        """Encodes the parts not known yet, many in a chunk: at a blank between two of them both tokenizers cut."""
         new = list(set(parts).difference(self.parts))
         if not new:
             return
-        for p in new:
+        plain = [p for p in new if self.cuts and p and not p[0].isspace() and not p[-1].isspace()]
+        chunks = [plain[i:i + CHUNK_PARTS] for i in range(0, len(plain), CHUNK_PARTS)]
+        a, b, same = self._encode([" ".join(c) for c in chunks])
+        chosen = [c for c, ok in zip(chunks, same) if ok]
+        known = [p for c in chosen for p in c]
+        ends = np.cumsum([len(p.encode()) + 1 for p in known]) if known else np.zeros(0, np.int64)
+        sides = []
+        for lists, sizes in ((a, self.a_len), (b, self.b_len)):
+            ids = np.array([i for x, ok in zip(lists, same) if ok for i in x], np.int64)
+            reach = np.cumsum(sizes[ids])
+            # every part ends where one of the tokens does
+            last = np.searchsorted(reach, ends)
+            if len(ends) and not (reach[last] == ends).all():
+                known, sides = [], []
+                break
+            sides.append((ids, np.diff(last, prepend=-1)))
+        known_set = set(known)
+        rest = [p for p in new if p not in known_set]
+        if known:
+            for side, (ids, sizes) in zip((self.tokens_a, self.tokens_b), sides):
+                side.add(ids, sizes)
+        a, b, alike = self._encode(rest)
+        for side, lists in ((self.tokens_a, a), (self.tokens_b, b)):
+            side.add(np.array([i for x in lists for i in x], np.int64), np.array([len(x) for x in lists], np.int64))
+        for p in (*known, *rest):
             self.parts[p] = len(self.parts)
-        a = [e.ids for e in self.a.encode_batch_fast([" " + p for p in new], add_special_tokens=False)]
-        b = self.b.encode(new, num_threads=1)  # it puts the blank before the part itself
-        want = [(" " + p).encode() for p in new]
-        same = _same_bytes(a, self.a_bytes, self.a_len, want) & _same_bytes(b, self.b_bytes, self.b_len, want)
-        self.tokens_a.add(a)
-        self.tokens_b.add(b)
-        self.whole = np.concatenate([self.whole, same])
+        self.whole = np.concatenate([self.whole, np.ones(len(known), bool), alike])
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(ids A, documents A, ids B, documents B) of the texts' tokens; a text is a document."""
@@ -323,31 +348,30 @@ def _scanned(docs: DataFrame, text: str, byte_level: str, pieces: str) -> DataFr
     the block's table; times less one). For each block a row more, with __mf_table true: its pairs (steps between
     pair numbers) and in how many documents each is."""
     rows, schema = _rows(docs, text, f"{FIGURES}, groups_sha256 string, __mf_table boolean, {_BLOCK}")
-    n_kept = len(rows.columns) - 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizers, blocks = _tokenizers(byte_level, pieces), 0
 
-        def block(held: list[tuple[pa.RecordBatch, list[pa.Array], np.ndarray, np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        def block(held: list[tuple[list[pa.Array], int, list[pa.Array], np.ndarray, np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
             number = TaskContext.get().partitionId() << 32 | blocks
-            table, local, seen = np.unique(np.concatenate([h[3] for h in held]), return_inverse=True, return_counts=True)
+            table, local, seen = np.unique(np.concatenate([h[4] for h in held]), return_inverse=True, return_counts=True)
             at = 0
-            for part, columns, doc, pair, times in held:
+            for kept, n, columns, doc, pair, times in held:
                 own = local[at:at + len(pair)]
                 at += len(pair)
                 new = np.r_[True, doc[1:] != doc[:-1]] if len(doc) else np.zeros(0, bool)
                 steps = np.r_[own[:1], np.diff(own)]
                 steps[new] = own[new]
-                count = np.bincount(doc, minlength=part.num_rows)
+                count = np.bincount(doc, minlength=n)
                 blobs = []
                 for numbers in (steps, times - 1):
                     data, size = packed(numbers)
                     ends = np.r_[0, np.cumsum(size)][np.r_[0, np.cumsum(count)]].tolist()
                     blobs.append(pa.array([data[s:e].tobytes() for s, e in zip(ends, ends[1:])], pa.binary()))
                 yield pa.RecordBatch.from_arrays(
-                    [*part.columns[:n_kept], *columns, pa.array([False] * part.num_rows), pa.array([number] * part.num_rows, pa.int64()), *blobs],
+                    [*kept, *columns, pa.array([False] * n), pa.array([number] * n, pa.int64()), *blobs],
                     names=schema.names)
-            last = [pa.nulls(1, f.type) for f in part.schema][:n_kept] + [pa.nulls(1, c.type) for c in columns]
+            last = [pa.nulls(1, c.type) for c in (*kept, *columns)]
             last += [pa.array([True]), pa.array([number], pa.int64())]
             last += [pa.array([packed(numbers)[0].tobytes()], pa.binary()) for numbers in (np.diff(table, prepend=0), seen)]
             yield pa.RecordBatch.from_arrays(last, names=schema.names)
@@ -358,8 +382,9 @@ def _scanned(docs: DataFrame, text: str, byte_level: str, pieces: str) -> DataFr
             for texts in _runs(x.column(x.num_columns - 1)):
                 found = Aligned(tokenizers, texts)
                 hashes = [hashlib.sha256(s.encode()).hexdigest() if s else "" for s in found.shown()]
-                held.append((x.slice(at, len(texts)), [*map(pa.array, found.figures()), pa.array(hashes, pa.string())], *found.pairs()))
-                size += len(held[-1][3])
+                # copies: a column of the batch would keep all of it
+                held.append(([c.take(pa.array(np.arange(at, at + len(texts)))) for c in x.columns[:-1]], len(texts), [*map(pa.array, found.figures()), pa.array(hashes, pa.string())], *found.pairs()))
+                size += len(held[-1][4])
                 at += len(texts)
                 if size >= BLOCK_PAIRS:
                     yield from block(held)
