@@ -11,8 +11,9 @@ the texts hold. The loss mask covers the texts of assistant turns.
 
 Defined results: null texts and roles count as empty; rows of a conversation are ordered by turn (null
 first), then role, then text; repeated rows are repeated turns; a null conv_id is a conversation; an
-unknown layout raises ValueError for a table and yields no turn (layout null) for a JSON record; columns
-and fields that no mapping names are ignored where the named ones are present; a record whose list of
+unknown layout raises ValueError for a table and yields no turn (layout null) for a JSON record; other columns
+and fields beside a layout are ignored, also those that another mapping names (of several layouts the one with
+most paths holds); a record whose list of
 turns is empty or null has the turns of its other fields, which may be none. An empty table gives an empty result.
 """
 
@@ -83,22 +84,29 @@ def value_paths(value, at: str = "") -> set[str]:
     return {at}
 
 
-def known_layouts(mappings: list[Mapping] = MAPPINGS) -> dict[str, Mapping]:
-    """Fingerprint to mapping, for every choice of a mapping's optional fields."""
-    return {fingerprint([*m.paths, *extra]): m for m in mappings for k in range(len(m.optional) + 1)
-            for extra in itertools.combinations(m.optional, k)}
+class Layouts:
+    """The known layouts: fingerprint to mapping, for every choice of a mapping's optional fields."""
 
+    def __init__(self, mappings: list[Mapping] = MAPPINGS):
+        self.mappings = mappings
+        self.by_print = {fingerprint([*m.paths, *extra]): m for m in mappings for k in range(len(m.optional) + 1)
+                         for extra in itertools.combinations(m.optional, k)}
 
-def named_paths(mappings: list[Mapping] = MAPPINGS) -> set[str]:
-    return {p for m in mappings for p in (*m.paths, *m.optional)}
+    def of(self, have) -> Mapping | None:
+        """The mapping whose fingerprint the paths have. Other fields may stand beside a layout: then the paths that
+        one mapping names are fingerprinted, and of the mappings found so the one with most paths is taken (ties: the
+        first listed)."""
+        if found := self.by_print.get(fingerprint(have)):
+            return found
+        have = set(have)
+        named = [(own, m) for m in self.mappings if self.by_print.get(fingerprint(own := have & {*m.paths, *m.optional})) is m]
+        return max(named, key=lambda x: (len(x[1].paths), len(x[0])))[1] if named else None
 
 
 def canonical_turns(table: DataFrame, mappings: list[Mapping] = MAPPINGS) -> DataFrame:
     """Rows (conv_id, turn, role, text) of a table whose schema has a known layout."""
     have = schema_paths(table.schema)
-    layouts = known_layouts(mappings)
-    named = named_paths(mappings)
-    found = layouts.get(fingerprint(have)) or layouts.get(fingerprint([p for p in have if p in named]))
+    found = Layouts(mappings).of(have)
     if found is None:
         raise ValueError(f"no mapping has the field paths {sorted(have)}")
     conv = F.col("conv_id") if "conv_id" in have else F.monotonically_increasing_id()
@@ -120,14 +128,13 @@ def canonical_turns(table: DataFrame, mappings: list[Mapping] = MAPPINGS) -> Dat
         .select("conv_id", F.col("turn").cast("long").alias("turn"), "x.role", "x.text")
 
 
-def record_turns(record, layouts: dict[str, Mapping], named: set[str]) -> tuple[str | None, list[tuple[str, str]]]:
+def record_turns(record, layouts: Layouts) -> tuple[str | None, list[tuple[str, str]]]:
     """Layout name and turns of one parsed JSON record (null and no turns when unknown)."""
     have = value_paths(record)
-    found = layouts.get(fingerprint(have))
-    if found is None:
+    if isinstance(record, dict):
         # an empty or null list of turns stands for the paths that its turns would have
-        bare = [m for m in layouts.values() if m.turns and isinstance(record, dict) and m.turns in record and not record[m.turns]]
-        found = layouts.get(fingerprint({p for p in have if p in named} | {p for m in bare for p in m.paths}))
+        have |= {p for m in layouts.mappings if m.turns and m.turns in record and not record[m.turns] for p in m.paths}
+    found = layouts.of(have)
     if found is None or found.name == "rows":
         return None, []
     turns = []
@@ -136,21 +143,23 @@ def record_turns(record, layouts: dict[str, Mapping], named: set[str]) -> tuple[
         if texts or role != "system":
             turns.append((role, "\n".join(map(str, texts))))
     for x in record.get(found.turns) or [] if found.turns else []:
-        turns.append((found.roles.get(x[found.role], x[found.role] or ""), x[found.text] or ""))
+        x = x if isinstance(x, dict) else {found.text: x}  # a turn without a role
+        role = x.get(found.role) or ""
+        turns.append((found.roles.get(role, role) if isinstance(role, str) else str(role), str(x.get(found.text) or "")))
     return found.name, turns
 
 
 def canonical_from_json(table: DataFrame, ident: str, column: str, mappings: list[Mapping] = MAPPINGS) -> DataFrame:
     """Rows (conv_id, layout, turn, role, text) of JSON records in mixed layouts; a record of no known
     layout (or not JSON) is one row with null layout, turn, role and text."""
-    layouts, named = known_layouts(mappings), named_paths(mappings)
+    layouts = Layouts(mappings)
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for x in batches:
             out = []
             for key, raw in zip(x["conv_id"], x["raw"]):
                 try:
-                    layout, turns = record_turns(json.loads(raw), layouts, named)
+                    layout, turns = record_turns(json.loads(raw), layouts)
                 except (TypeError, ValueError, KeyError, AttributeError):
                     layout, turns = None, []
                 out += [(key, layout, i, r, t) for i, (r, t) in enumerate(turns)] if layout else [(key, None, None, None, None)]

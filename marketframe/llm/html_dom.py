@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections import defaultdict
 from html import unescape
 
 # The elements that HTML lays out as blocks, and those whose content is no text: raw text, which
@@ -19,8 +20,11 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "option": ({"option"}, {"select"}),
           "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"})}
 _P_STAYS = frozenset("body html button label option select legend caption td th tr tbody thead tfoot".split())
-_TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[(.*?)\]\]>|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+#: A tag ends at a bracket outside quotes, so that no unfinished tag is read beyond the next one; where quotes do not
+#: pair up, at the first bracket.
+_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/<>]*+)((?:[^<>\"']|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/<>]*+)([^<>]*+)>")
 _ATTR = re.compile(r"\b(class|id|role|itemprop|data-y)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+MAX_OPEN = 512  # deeper elements are read as part of the one above, as browsers do
 
 
 class Node:
@@ -36,7 +40,7 @@ class Node:
 def ended(html: str, tag: str) -> set[int]:
     """Where the opening tags of an element end that have an end tag: each end tag is that of the last one open."""
     found, opened = set(), []
-    for m in re.finditer(rf"<(/?){re.escape(tag)}(?=[\s/>])((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", html, re.I):
+    for m in re.finditer(rf"<(/?){re.escape(tag)}(?=[\s/>])((?:[^<>\"']|\"[^\"]*+\"|'[^']*+')*+)>", html, re.I):
         if not m[1]:
             if not m[2].endswith("/"):
                 opened.append(m.end())
@@ -45,14 +49,65 @@ def ended(html: str, tag: str) -> set[int]:
     return found
 
 
-def parse(html: str) -> list[Node]:
+class _Tokens:
+    """Text and tags of a page in order: (text before, end, name, attributes); name is null for text and for markup
+    that is neither. Every part of the page is looked at a bounded number of times."""
+
+    def __init__(self, html: str):
+        self.html, self.n, self.gone = html, len(html), set()
+
+    def _find(self, what: str, at: int) -> int:
+        """Where ``what`` comes next; what was not found once is not looked for again."""
+        if what in self.gone:
+            return -1
+        if (found := self.html.find(what, at)) < 0:
+            self.gone.add(what)
+        return found
+
+    def next(self, at: int) -> tuple[int, int, str | None, tuple[str, str, str] | None]:
+        """(where the markup begins, where it ends, the text it stands for, (slash, name, attributes))."""
+        html, begin = self.html, at
+        while (begin := html.find("<", begin)) >= 0:
+            mark = html[begin + 1:begin + 2]
+            if mark in ("!", "?"):
+                if html.startswith("<!--", begin):
+                    end = self._find("-->", begin + 4)
+                    return begin, self.n if end < 0 else end + 3, None, None
+                if html.startswith("<![CDATA[", begin) and (end := self._find("]]>", begin)) >= 0:
+                    return begin, end + 3, html[begin + 9:end], None
+                if (end := self._find(">", begin)) >= 0:
+                    return begin, end + 1, None, None
+            elif m := _TAG.match(html, begin):
+                return begin, m.end(), None, (m[1], m[2], m[3]) if m[2] else (m[4], m[5], m[6])
+            begin += 1
+        return -1, self.n, None, None
+
+    def end_of_raw(self, tag: str, at: int) -> int:
+        """Where the end tag of a raw element ends, or -1."""
+        if tag in self.gone:
+            return -1
+        if m := re.compile(rf"</{re.escape(tag)}\b[^<>]*+>", re.I).search(self.html, at):
+            return m.end()
+        self.gone.add(tag)
+        return -1
+
+
+def parse(html: str, marked: bool = False) -> list[Node]:
     """Nodes in page order; node 0 is the root. Unclosed, crossed and truncated markup is accepted. An
-    element of SILENT without an end tag hides the text up to the next block."""
+    element of SILENT without an end tag hides the text up to the next block. ``marked``: the page was made by the
+    trainer, whose own attribute names each block's label; on other pages that attribute means nothing."""
     nodes = [Node("#root", "", -1, 0, None)]
     open_tags: list[tuple[str, int]] = []  # (tag, node, or -1 for an inline element, CLOSED, UNCLOSED)
     run: list[str] = []
     state = [0, 0, 0, 0, 0]  # current block, open links, link characters of the run, open CLOSED and UNCLOSED
     ends: dict[str, set[int]] = {}
+    tokens, places = _Tokens(html), defaultdict(list)  # places: of the open tags, by name
+
+    def push(tag: str, number: int) -> None:
+        places[tag].append(len(open_tags))
+        if number == CLOSED and tag in ("noscript", "template", "object"):
+            places["#closed"].append(len(open_tags))
+        open_tags.append((tag, number))
 
     def text(raw: str) -> None:
         if raw and not state[3] and not state[4]:
@@ -77,6 +132,9 @@ def parse(html: str) -> list[Node]:
     def close(upto: int) -> None:
         while len(open_tags) > upto:
             tag, number = open_tags.pop()
+            places[tag].pop()
+            if places["#closed"] and places["#closed"][-1] == len(open_tags):
+                places["#closed"].pop()
             if number >= 0:
                 end_run()
                 state[0] = nodes[number].parent
@@ -87,51 +145,51 @@ def parse(html: str) -> list[Node]:
 
     at, n = 0, len(html)
     while at < n:
-        m = _TOKEN.search(html, at)
-        if m is None:
+        begin, end, inside, found = tokens.next(at)
+        if begin < 0:
             rest = html[at:]
             # an unfinished tag at the end of a truncated page is markup
-            text(re.sub(r"<[/!?a-zA-Z][^<]*$", "", rest))
+            cut = rest.rfind("<")
+            text(rest[:cut] if cut >= 0 and re.match(r"[/!?a-zA-Z]", rest[cut + 1:cut + 2]) else rest)
             break
-        if m.start() > at:
-            text(html[at:m.start()])
-        at = m.end()
-        if m[1] is not None:
-            text(m[1])
-        if m[3] is None:
+        if begin > at:
+            text(html[at:begin])
+        at = end
+        if inside is not None:
+            text(inside)
+        if found is None:
             continue
-        tag = m[3].lower()
-        if m[2]:
-            for k in range(len(open_tags) - 1, -1, -1):
-                if open_tags[k][0] == tag:
-                    close(k)
-                    break
-                if open_tags[k][0] in ("table", "td", "th", "body") and tag not in BLOCK:
-                    break
-                if open_tags[k][1] == CLOSED and open_tags[k][0] in ("noscript", "template", "object"):
-                    break  # no end tag inside reaches out of these
-            else:
+        slash, tag, attributes = found
+        tag = tag.lower()
+        if slash:
+            if not places[tag]:
                 if tag == "p":
                     end_run()
+                continue
+            k = places[tag][-1]
+            # no end tag inside these reaches out of them
+            walls = ("#closed",) if tag in BLOCK else ("#closed", "table", "td", "th", "body")
+            if not any(places[w] and places[w][-1] > k for w in walls):
+                close(k)
             continue
         if tag == "head":
             continue
         if tag in RAW:
-            if not m[4].endswith("/"):
-                end = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(html, at)
-                at = end.end() if end else at if state[3] or state[4] else n
+            if not attributes.endswith("/"):
+                end = tokens.end_of_raw(tag, at)
+                at = end if end >= 0 else at if state[3] or state[4] else n
             continue
         if tag in SILENT:
-            if not m[4].endswith("/"):
+            if not attributes.endswith("/") and len(open_tags) < MAX_OPEN:
                 if tag not in ends:
                     ends[tag] = ended(html, tag)
                 kind = CLOSED if at in ends[tag] else UNCLOSED
-                open_tags.append((tag, kind))
+                push(tag, kind)
                 state[3 if kind == CLOSED else 4] += 1
             continue
         if state[3]:
-            if tag not in VOID and not m[4].endswith("/"):
-                open_tags.append((tag, -1))
+            if tag not in VOID and not attributes.endswith("/") and len(open_tags) < MAX_OPEN:
+                push(tag, -1)
                 state[1] += tag == "a"
             continue
         if state[4]:
@@ -163,22 +221,25 @@ def parse(html: str) -> list[Node]:
                     break
         if tag in BLOCK:
             end_run()
+        if len(open_tags) >= MAX_OPEN:
+            continue
+        if tag in BLOCK:
             attrs, label = "", nodes[state[0]].label
-            if "=" in m[4]:
-                for a in _ATTR.finditer(m[4]):
+            if "=" in attributes:
+                for a in _ATTR.finditer(attributes):
                     value = a[2] or a[3] or a[4] or ""
-                    if a[1].lower() == "data-y":
-                        label = int(value)
-                    else:
+                    if a[1].lower() != "data-y":
                         attrs += " " + value.lower()
+                    elif marked:
+                        label = int(value)
             parent = nodes[state[0]]
             node = Node(tag, attrs, state[0], parent.depth + 1, label)
             parent.children.append(len(nodes))
-            open_tags.append((tag, len(nodes)))
+            push(tag, len(nodes))
             state[0] = len(nodes)
             nodes.append(node)
         else:
-            open_tags.append((tag, -1))
+            push(tag, -1)
             if tag == "a":
                 state[1] += 1
     close(0)

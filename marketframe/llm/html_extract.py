@@ -6,7 +6,8 @@ siblings and on the page. Trees give each node the chance that it is main text.
 cost over the whole tree: a subtree is all main text, all rest, or (for a small price) decided child by
 child. So a child never contradicts an ancestor that was decided as a whole.
 
-The trees are trained on at most ``MAX_SAMPLE`` pages of the table (by hash of the id). Their own
+The trees are trained on at most ``MAX_SAMPLE`` pages of the table (by hash of the id), of at most
+``MAX_SAMPLE_CHARS`` characters (parameters of ``fit``). Their own
 markup (article, main and the like) says which of their blocks are main text; these blocks are then
 set into ``COMPOSED`` pages of many layouts, with and without telling tags and names, beside menus,
 notices, adverts, forms and reader comments made of other pages' texts.
@@ -33,7 +34,7 @@ from pyspark.sql.types import LongType, StringType, StructField, StructType
 from . import boosting
 from .html_dom import Node, parse
 
-MAX_SAMPLE, MAX_SAMPLE_CHARS, COMPOSED, MIXED_PRICE = 200, 100_000, 500, 2.0
+MAX_SAMPLE, MAX_SAMPLE_CHARS, COMPOSED, MIXED_PRICE = 200, 1_000_000, 500, 2.0
 # What the tokens of class, id and role attributes tell, by kind.
 KINDS = {
     "main": "article content post entry story main text body prose markdown",
@@ -238,16 +239,18 @@ def labelled(nodes: list[Node]) -> np.ndarray:
     return np.array([b if a == b else -1 for a, b in zip(low, high)])
 
 
-def fit(pages: DataFrame, ident: str = "page_id", html: str = "html", max_sample: int = MAX_SAMPLE) -> boosting.Trees:
-    """Trains on pages composed from at most ``max_sample`` pages of the table."""
-    got = (pages.where((F.length(html) > 0) & (F.length(html) <= MAX_SAMPLE_CHARS)).select(F.col(html).alias("h"), F.xxhash64(F.lit(9), ident, html).alias("k"))
+def fit(pages: DataFrame, ident: str = "page_id", html: str = "html", max_sample: int = MAX_SAMPLE,
+        max_chars: int = MAX_SAMPLE_CHARS) -> boosting.Trees:
+    """Trains on pages composed from at most ``max_sample`` pages of the table, of at most ``max_chars`` characters
+    each (both bound what reaches the driver; extraction reads pages of any length)."""
+    got = (pages.where((F.length(html) > 0) & (F.length(html) <= max_chars)).select(F.col(html).alias("h"), F.xxhash64(F.lit(9), ident, html).alias("k"))
            .orderBy("k").limit(max_sample).collect())
     blocks = [sampled_blocks(r["h"]) for r in got]
     mains = [m for m, _ in blocks if m] or [[("p", "no page of the table has main text")]]
     texts = [t for m, _ in blocks for _, t in m] + [t for _, r in blocks for t in r] or ["none"]
     rng, xs, ys = random.Random(4), [], []
     for k in range(COMPOSED):
-        nodes = parse(compose(mains[k % len(mains)][:rng.randint(1, 40)], texts, rng))
+        nodes = parse(compose(mains[k % len(mains)][:rng.randint(1, 40)], texts, rng), marked=True)
         y = labelled(nodes)
         x = features(nodes)
         xs.append(x[y >= 0])

@@ -221,7 +221,7 @@ def _pieces(joined: DataFrame) -> DataFrame:
     def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches:
             out: list[tuple] = []
-            body, wanted = (x.column(x.schema.get_field_index(c)) for c in ("__mf_bytes", "wanted"))
+            body, wanted = (x.column(x.schema.get_field_index(c)) for c in ("__mf_bytes", "__mf_wanted"))
             for d in range(len(x)):
                 text = body[d].as_buffer().to_pybytes()
                 for w in wanted[d].as_py():
@@ -249,7 +249,7 @@ def _parts(joined: DataFrame) -> DataFrame:
 
         for x in batches:
             out: list[tuple] = []
-            body, wanted = (x.column(x.schema.get_field_index(c)) for c in ("__mf_bytes", "wanted"))
+            body, wanted = (x.column(x.schema.get_field_index(c)) for c in ("__mf_bytes", "__mf_wanted"))
             for d in range(len(x)):
                 text = body[d].as_buffer().to_pybytes()
                 for w in wanted[d].as_py():
@@ -355,16 +355,16 @@ def remove_repeats(docs: DataFrame, ident: str = "doc_id", text: str = "text", w
     distinct = places.groupBy("fp", "ph").agg(F.count("*").alias("weight"), F.min(F.struct("r1", "r2", "at")).alias("x"))
     hot = distinct.groupBy("fp").agg((F.count("*") > HOT).alias("hot"))
     wanted = distinct.join(apart(hot, "fp"), "fp").groupBy(F.col("x.r1").alias("__mf_r1"), F.col("x.r2").alias("__mf_r2")).agg(
-        F.collect_list(F.struct("fp", "ph", F.col("x.at").alias("at"), "weight", "hot")).alias("wanted"))
+        F.collect_list(F.struct("fp", "ph", F.col("x.at").alias("at"), "weight", "hot")).alias("__mf_wanted"))
     # the same exchange of the texts serves the cutting of pieces and the removal
     texts = docs.select(*own, *keys, body)
-    hot_or_not = lambda hot: wanted.withColumn("wanted", F.filter("wanted", lambda w: w.hot == F.lit(hot))).where(F.size("wanted") > 0)
+    hot_or_not = lambda hot: wanted.withColumn("__mf_wanted", F.filter("__mf_wanted", lambda w: w.hot == F.lit(hot))).where(F.size("__mf_wanted") > 0)
     found = _merge(_pieces(texts.join(hot_or_not(False), ["__mf_r1", "__mf_r2"]))).unionByName(
         _counted(_parts(texts.join(hot_or_not(True), ["__mf_r1", "__mf_r2"]))))
     # rows equal in id and text bring equal places: the set holds each once
     spans = places.join(found, ["fp", "ph"]).groupBy(F.col("r1").alias("__mf_r1"), F.col("r2").alias("__mf_r2")).agg(
-        F.collect_set(F.struct(F.shiftright("at", 17).alias("place"), "runs")).alias("spans"))
-    joined = texts.join(spans, ["__mf_r1", "__mf_r2"], "left").select(*own, "__mf_bytes", "spans")
+        F.collect_set(F.struct(F.shiftright("at", 17).alias("place"), "runs")).alias("__mf_spans"))
+    joined = texts.join(spans, ["__mf_r1", "__mf_r2"], "left").select(*own, "__mf_bytes", "__mf_spans")
 
     def trim(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches:
