@@ -10,11 +10,13 @@ so that the expected words equal the rest.
 
 The rank is never computed by one sort of a source: ranks are cut into ``BUCKETS`` ordered buckets,
 their words are summed before the shuffle, and only the bucket in which the target is reached is
-ordered row by row.
+ordered, a row for each distinct document: rows equal in id and text are one item of that order, with their
+number. Where the target falls inside such an item, as many of its rows are taken as come nearest to it; they
+are numbered by task first and then inside each task's rows, so that no task holds them all.
 
 Defined results: null text has size 0; documents of size 0 take nothing; a null source is a source of
-its own; sources without words have target 0; rows equal in id and text rank equally and are taken
-alike. An empty table gives an empty result. Input columns that have the name of an output column are replaced.
+its own; sources without words have target 0; rows equal in id and text have one rank, and it is open which of
+them are taken (not how many). An empty table gives an empty result. Input columns that have the name of an output column are replaced.
 """
 
 from __future__ import annotations
@@ -71,6 +73,20 @@ def _order(u: Column, p: Column, size: Column) -> Column:
     return F.when((p <= 0) | (size == 0), F.lit(1.0)).otherwise(up / (up + down))
 
 
+def _first_rows(rows: DataFrame, k: Column) -> DataFrame:
+    """``rows`` (of each source, rows that are all equal) with __mf_one: true for ``k`` rows of each source. Rows are
+    counted by task; a task's rows are numbered from the sum of the tasks before it."""
+    rows = cut(rows.withColumn("__mf_k", k).withColumn("__mf_place", F.monotonically_increasing_id())
+               .withColumn("__mf_task", F.shiftright("__mf_place", 33)))
+    before = Window.partitionBy("__mf_source").orderBy("__mf_task").rowsBetween(Window.unboundedPreceding, -1)
+    tasks = rows.groupBy("__mf_source", "__mf_task").count() \
+        .select(F.col("__mf_source").alias("__mf_s"), F.col("__mf_task").alias("__mf_t"), F.coalesce(F.sum("count").over(before), F.lit(0)).alias("__mf_from"))
+    number = F.row_number().over(Window.partitionBy("__mf_source", "__mf_task").orderBy("__mf_place"))
+    joined = rows.withColumn("__mf_number", number).join(tasks, F.col("__mf_source").eqNullSafe(F.col("__mf_s")) & (F.col("__mf_task") == F.col("__mf_t")))
+    return joined.withColumn("__mf_one", F.col("__mf_from") + F.col("__mf_number") <= F.col("__mf_k")) \
+        .drop("__mf_k", "__mf_place", "__mf_task", "__mf_s", "__mf_t", "__mf_from", "__mf_number")
+
+
 def mix(docs: DataFrame, ident: str = "doc_id", source: str = "source", text: str = "text",
         weight: Column | None = None, seed: int = SEED) -> DataFrame:
     """``docs`` with size, source_size, target, copies (how often the mix takes the document) and taken.
@@ -109,21 +125,33 @@ def mix(docs: DataFrame, ident: str = "doc_id", source: str = "source", text: st
             .where((F.col("__mf_before") < rest) & (F.col("__mf_before") + F.col("__mf_words") >= rest))
             .select(F.col("__mf_source").alias("__mf_s"), F.col("__mf_bucket").alias("__mf_edge"), "__mf_before"))
     rank = F.struct(F.col("__mf_q").alias("q"), F.col("__mf_tie").alias("tie"), F.col("__mf_id").alias("id"))
-    inside = ranked.join(small(edge), ranked["__mf_source"].eqNullSafe(edge["__mf_s"]) & (F.col("__mf_bucket") == F.col("__mf_edge")))
+    inside = ranked.join(small(edge), ranked["__mf_source"].eqNullSafe(edge["__mf_s"]) & (F.col("__mf_bucket") == F.col("__mf_edge"))) \
+        .groupBy("__mf_s", "__mf_edge", "__mf_q", "__mf_tie", "__mf_id", "size", "__mf_before", "__mf_rest").agg(F.count("*").alias("__mf_n"))
     order = Window.partitionBy("__mf_s").orderBy("__mf_q", "__mf_tie", F.col("__mf_id").asc_nulls_first()) \
         .rowsBetween(Window.unboundedPreceding, -1)
+    seen = F.coalesce(F.sum(F.col("size") * F.col("__mf_n")).over(order), F.lit(0)) + F.col("__mf_before")
     # nearest to the rest: a document counts while its middle lies below it
-    last = (inside.withColumn("__mf_seen", F.coalesce(F.sum("size").over(order), F.lit(0)) + F.col("__mf_before"))
-            .groupBy("__mf_s", "__mf_edge").agg(
-                F.max(F.when(F.col("__mf_seen") + F.col("size") / 2 <= rest, rank)).alias("__mf_last")))
-    cuts = sums.join(last, sums["__mf_source"].eqNullSafe(last["__mf_s"]), "left").drop("__mf_s")
+    taken = F.floor((rest - F.col("__mf_seen")) / F.nullif("size", F.lit(0)) + 0.5)
+    last = (inside.withColumn("__mf_seen", seen)
+            .withColumn("__mf_k", F.when(F.col("size") == 0, F.when(F.col("__mf_seen") <= rest, F.col("__mf_n")).otherwise(0))
+                        .otherwise(F.greatest(F.lit(0), F.least(F.col("__mf_n"), taken))))
+            .groupBy("__mf_s", "__mf_edge").agg(F.max(F.when(F.col("__mf_k") > 0, F.struct(
+                rank.alias("rank"), F.col("__mf_k").alias("k"), F.col("__mf_n").alias("n")))).alias("__mf_last")))
+    cuts = cut(sums.join(last, sums["__mf_source"].eqNullSafe(last["__mf_s"]), "left").drop("__mf_s"))
     full = _ranked(docs.select(*own), ident, text, seed)
     full = full.withColumn("__mf_id", F.col(ident)).join(small(cuts), F.col(source).eqNullSafe(F.col("__mf_source"))) \
         .withColumn("__mf_q", _order(F.col("__mf_u"), p, F.col("size"))) \
         .withColumn("__mf_bucket", F.least(F.lit(BUCKETS - 1), F.floor(F.col("__mf_q") * BUCKETS)).cast("int"))
+    at_edge = (F.col("__mf_bucket") == F.col("__mf_edge")) & F.col("__mf_last").isNotNull()
+    parted = F.coalesce(at_edge & (rank == F.col("__mf_last.rank")) & (F.col("__mf_last.k") < F.col("__mf_last.n")), F.lit(False))
     # a source with no edge takes none if its rest is nothing, else (by rounding) all
     one = F.when(F.col("__mf_edge").isNull(), rest > 0.5).when(F.col("__mf_bucket") != F.col("__mf_edge"), F.col("__mf_bucket") < F.col("__mf_edge")) \
-        .otherwise(F.coalesce(rank <= F.col("__mf_last"), F.lit(False)))
-    copies = F.when(F.col("size") == 0, F.lit(0)).otherwise(F.col("__mf_whole") + F.when(one, 1).otherwise(0)).cast("long")
+        .otherwise(F.coalesce(rank <= F.col("__mf_last.rank"), F.lit(False)))
+    if cuts.where("__mf_last.k < __mf_last.n").isEmpty():
+        full = full.withColumn("__mf_one", one)
+    else:
+        whole = full.where(~parted).withColumn("__mf_one", one)
+        full = whole.unionByName(_first_rows(full.where(parted), F.col("__mf_last.k")))
+    copies = F.when(F.col("size") == 0, F.lit(0)).otherwise(F.col("__mf_whole") + F.when(F.col("__mf_one"), 1).otherwise(0)).cast("long")
     return full.withColumn("copies", copies).withColumn("taken", (F.col("copies") * F.col("size")).cast("long")) \
         .select(*own, "size", "source_size", "target", "copies", "taken")
