@@ -400,7 +400,7 @@ def link_statistics(docs: DataFrame, text: str = "text", byte_level: str = BYTE_
     tokens), n_best (links whose pair has its A id's greatest count) and count_sum (of the counts of all links)."""
     spark = docs.sparkSession
     path = f"{checkpoint_dir(spark).rstrip('/')}/token_alignment-{uuid.uuid4().hex}"
-    _scanned(docs, text, byte_level, pieces).write.option("compression", "zstd").parquet(path)
+    _scanned(docs.drop("n_best", "count_sum"), text, byte_level, pieces).write.option("compression", "zstd").parquet(path)
     table = spark.read.parquet(path)
     wide_b = len(_tokenizers(byte_level, pieces).b_bytes)
 
