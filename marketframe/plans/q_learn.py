@@ -1,5 +1,6 @@
 """Queries: learners (ML-01..03, 05..07, 09..11) and balancing (BAL-01).
-Rows-only checks: model outputs have no SQL oracle. Boosting runs with the operators' defaults."""
+Rows-only checks where a fitted model decides. All learners run at the operators' full sizes: boosting up to 1,000
+rounds of depth 6 with a patience of 50, the search 50 trials, the sequence learner 50 iterations."""
 
 from __future__ import annotations
 
@@ -10,9 +11,10 @@ from ..config import DEFAULT
 from ..operators import serve as sv
 from ..operators.features import engineer_features
 from ..operators.indicators import FEATURE_COLUMNS
-from ..operators.learners import (assemble, boosted_learner, experiment_log, fit_predict, leaderboard,
-                                  model_importances, ovr_probabilities, probs_array, random_search, refit_best,
-                                  tree_learner, with_prediction)
+from ..operators import boosting
+from ..operators.learners import (RUN_LOG, append_run, assemble, boosted_fit, boosted_predict, contribution_importance, experiment_log, fit_predict,
+                                  leaderboard, model_importances, permutation_importance, probs_array, random_search,
+                                  refit_best, tree_learner, with_prediction)
 from ..operators.metrics import classification_metrics
 from ..operators.splits import chrono_split, inner_split, sequences, spread, time_series_folds, zscore, zscore_stats
 from ..operators.stack import balanced_runs, oof_f1, stack_fit_predict, stack_runs
@@ -24,8 +26,7 @@ from .catalog import register
 
 SENT = ["sentiment_score", "sentiment_confidence", "news_count_7d", "sentiment_trend_3d"]
 MODEL_COLS = FEATURE_COLUMNS + SENT
-PARAMS = {"rf": {"num_trees": 100, "max_depth": 6}, "gbt": {}, "mlp": {"max_iter": 30}}
-SEQUENCE = {"max_iter": 50}       # the sequence learner by itself; inside the stack it runs 30
+PARAMS = {"rf": {"num_trees": 100, "max_depth": 6}, "gbt": {}, "mlp": {"max_iter": 50}}
 
 
 def training_table(spark, sf) -> DataFrame:
@@ -57,15 +58,27 @@ def ml_01(spark, sf):
     return _metrics_of(fit_predict("rf", train, test, MODEL_COLS, **PARAMS["rf"]), test, "random_forest")
 
 
+def _boosted(spark, sf):
+    """(bin edges, model) of the training rows, watched by the inner validation slice; one per application."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _BOOSTED:
+        x = inner_split(training_table(spark, sf).drop("split")).where(F.col("split") == "train")
+        rows = x.select(F.lit(0).alias("fit"), "symbol", "date", "label", (F.col("inner") == "val").alias("watching"), *MODEL_COLS)
+        edges, models = boosted_fit(rows, MODEL_COLS, {0: boosting.Params(**PARAMS["gbt"])})
+        _BOOSTED[key] = edges, models[0]
+    return _BOOSTED[key]
+
+
+_BOOSTED: dict[tuple[str, str], object] = {}
+
+
 @register("ml_02_boosted_learner")
 def ml_02(spark, sf):
-    t = training_table(spark, sf)
-    x = inner_split(t.drop("split"))
-    train = x.where(F.col("split") == "train").withColumn("is_val", F.col("inner") == "val")
-    test = x.where(F.col("split") == "test")
-    m = boosted_learner(validation_col="is_val", **PARAMS["gbt"]).fit(assemble(train, MODEL_COLS))
-    scored = m.transform(assemble(test, MODEL_COLS)).select("symbol", "date", ovr_probabilities(F.col("rawPrediction")).alias("probs"))
-    return _metrics_of(scored, test, "ovr_gbt")
+    test = _split(spark, sf)[1]
+    edges, model = _boosted(spark, sf)
+    scored = boosted_predict(test, MODEL_COLS, edges, model, ["symbol", "date"])
+    return _metrics_of(scored, test, "boosted_trees").withColumns({
+        "rounds_run": F.lit(model.rounds_run), "best_round": F.lit(len(model.roots)), "best_loss": F.lit(model.best_loss)})
 
 
 @register("ml_03_sequence_learner")
@@ -74,7 +87,7 @@ def ml_03(spark, sf):
     stats = zscore_stats(t.where(F.col("split") == "train"), MODEL_COLS, ["symbol"])
     x = cut_lineage(spread(sequences(zscore(t, stats, MODEL_COLS, ["symbol"]), MODEL_COLS)))
     train, test = x.where(F.col("split") == "train"), x.where(F.col("split") == "test")
-    return _metrics_of(fit_predict("mlp", train, test, MODEL_COLS, **SEQUENCE), test, "sequence_mlp")
+    return _metrics_of(fit_predict("mlp", train, test, MODEL_COLS, **PARAMS["mlp"]), test, "sequence_mlp")
 
 
 def _trials(spark, sf) -> DataFrame:
@@ -92,8 +105,9 @@ def ml_05(spark, sf):
 @register("ml_05_refit_best")
 def ml_05_refit(spark, sf):
     train, test = _split(spark, sf)
-    scored = refit_best(_trials(spark, sf), train, MODEL_COLS).transform(assemble(test, MODEL_COLS))
-    return _metrics_of(scored.select("symbol", "date", probs_array().alias("probs")), test, "searched_forest")
+    edges, model = refit_best(_trials(spark, sf), train, MODEL_COLS)
+    return _metrics_of(boosted_predict(test, MODEL_COLS, edges, model, ["symbol", "date"]), test, "searched_trees") \
+        .withColumn("rounds", F.lit(len(model.roots)))
 
 
 @register("ml_06_leaderboard")
@@ -114,14 +128,18 @@ def _stack(spark, sf):
     return _STACKS[key]
 
 
-@register("ml_07_stacking")
-def ml_07(spark, sf):
+def _stack_metrics(spark, sf) -> DataFrame:
     test = _split(spark, sf)[1]
     j = with_prediction(_stack(spark, sf).scored) \
         .join(test.select("symbol", "date", F.col("label").alias("y_true")), ["symbol", "date"])
     return classification_metrics(j)
 
 
+@register("ml_07_stacking")
+def ml_07(spark, sf):
+    return _stack_metrics(spark, sf)
+
+
 @register("ml_07_fold_f1")
 def ml_07_fold_f1(spark, sf):
     return oof_f1(_stack(spark, sf).oof)
@@ -133,6 +151,48 @@ def ml_09(spark, sf):
     return model_importances(train, MODEL_COLS, n=10)
 
 
+# a fixed rule, so that SQL can tell what each of its features carries
+RULE = {"rsi_14": 50.0001, "price_sma20_ratio": 1.0001, "macd_hist": 0.0001, "log_return_1d": 0.0001}
+
+
+def _by_rule(rows: DataFrame) -> DataFrame:
+    votes = sum(F.when(F.col(c) > at, 1).otherwise(0) for c, at in RULE.items())
+    return rows.withColumn("y_pred", F.lit(4) - votes)
+
+
+_LISTED = ", ".join(f"('{c}')" for c in RULE)
+_VALUE = "CASE feature " + " ".join(f"WHEN '{c}' THEN {c}" for c in RULE) + " END"
+_VOTES = " - ".join(["4", *(f"CASE WHEN (CASE WHEN feature = '{c}' THEN value ELSE {c} END) > {at} THEN 1 ELSE 0 END" for c, at in RULE.items())])
+
+
+@register("ml_09_permutation", O.with_bars(O.BARS_FLAG, O.PROCESSED, f"""
+base AS (SELECT symbol, date, label, {", ".join(f"{c}::DOUBLE AS {c}" for c in RULE)}, row_number() OVER (PARTITION BY symbol ORDER BY date) AS i FROM processed),
+dealt AS (SELECT symbol, feature, {_VALUE} AS value,
+    row_number() OVER (PARTITION BY symbol, feature ORDER BY md5(concat_ws(':', '{DEFAULT.random_state}', feature, date::VARCHAR)), date) AS i
+    FROM base, (VALUES {_LISTED}) f(feature)),
+rows_of AS (SELECT base.*, NULL::VARCHAR AS feature, NULL::DOUBLE AS value FROM base
+    UNION ALL SELECT base.*, feature, value FROM base JOIN dealt USING (symbol, i)),
+pred AS (SELECT symbol, feature, label AS y, {_VOTES} AS p FROM rows_of),
+both_of AS (SELECT symbol, feature, y AS cls, 1 AS s, 0 AS q, CASE WHEN y = p THEN 1 ELSE 0 END AS t FROM pred
+    UNION ALL SELECT symbol, feature, p, 0, 1, 0 FROM pred),
+per AS (SELECT symbol, feature, cls, 2.0::DOUBLE * sum(t) / (sum(s) + sum(q)) AS f1 FROM both_of GROUP BY ALL),
+macro AS (SELECT symbol, feature, avg(f1) AS macro_f1 FROM per GROUP BY ALL)""", body="""
+SELECT m.symbol, m.feature, round(b.macro_f1, 6) AS base_f1, round(m.macro_f1, 6) AS permuted_f1, round(b.macro_f1 - m.macro_f1, 6) AS importance
+FROM macro m JOIN macro b ON m.symbol = b.symbol AND b.feature IS NULL WHERE m.feature IS NOT NULL"""))
+def ml_09_permutation(spark, sf):
+    from .q_models import _processed
+    found = permutation_importance(_processed(spark, sf).select("symbol", "date", "label", *RULE), list(RULE), _by_rule)
+    return found.select("symbol", "feature", *[F.round(c, 6).alias(c) for c in ("base_f1", "permuted_f1", "importance")])
+
+
+@register("ml_09_contributions")
+def ml_09_contributions(spark, sf):
+    """Mean absolute contribution of the features to the boosted learner's predictions on the test rows."""
+    edges, model = _boosted(spark, sf)
+    test = boosting.binned(_split(spark, sf)[1], MODEL_COLS, edges, ["symbol", "date"])
+    return contribution_importance(boosting.explain(test, model, MODEL_COLS, ["symbol", "date"]), MODEL_COLS)
+
+
 @register("ml_10_batch_scoring")
 def ml_10(spark, sf):
     train, test = _split(spark, sf)
@@ -144,12 +204,15 @@ def ml_10(spark, sf):
 
 @register("ml_11_experiment_log")
 def ml_11(spark, sf):
-    train, test = _split(spark, sf)
-    metrics = _metrics_of(fit_predict("rf", train, test, MODEL_COLS, **PARAMS["rf"]), test, "random_forest")
-    log = experiment_log("run-0001", metrics, {**PARAMS["rf"], "test_size": DEFAULT.test_size})
+    """The stack's run: metrics per symbol and model, macro F1 per fold and slot, parameters."""
+    stack = _stack(spark, sf)
+    params = {f"{slot}.{k}": v for slot, own in PARAMS.items() for k, v in own.items()} | {"test_size": DEFAULT.test_size, "cv_folds": DEFAULT.cv_folds}
+    params |= {f"gbt.run{run}.{k}": v for run, (ran, kept) in stack.rounds.items() for k, v in (("rounds_run", ran), ("best_round", kept))}
+    log = experiment_log("run-0001", _stack_metrics(spark, sf), params, oof_f1(stack.oof))
     path = io.scratch_path(spark, "experiments")
-    log.write.mode("append").parquet(path)
-    return spark.read.parquet(path)
+    for _ in range(2):  # a rerun replaces its rows
+        append_run(log, path)
+    return spark.read.parquet(path).select(*RUN_LOG)
 
 
 # ---- balancing (BAL-01) ------------------------------------------------------------------------

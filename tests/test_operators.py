@@ -345,13 +345,14 @@ def test_feature_groups_name_a_missing_group(spark):
 
 def test_registered_learners_have_full_size(spark):
     """No cut in rounds, depth, trees or iterations against the reference's sizes."""
-    from marketframe.operators import learners
+    from marketframe.operators import boosting, learners
     from marketframe.plans import q_learn
 
-    gbt = learners.boosted_learner(**q_learn.PARAMS["gbt"]).getClassifier()
-    assert (gbt.getMaxIter(), gbt.getMaxDepth()) == (1000, 6)
-    assert {200 <= d["num_trees"] <= 1000 for d in learners.draw_params(50)} == {True}
-    assert learners.sequence_learner(20, **q_learn.SEQUENCE).getMaxIter() == 50
+    gbt = boosting.Params(**q_learn.PARAMS["gbt"])
+    assert (gbt.rounds, gbt.depth, gbt.patience) == (1000, 6, 50)
+    draws = learners.draw_params(50)
+    assert all(200 <= d.rounds <= 1000 and 20 <= d.leaves <= 150 and 4 <= d.depth <= 12 and d.patience == 50 for d in draws)
+    assert learners.sequence_learner(20, **q_learn.PARAMS["mlp"]).getMaxIter() == 50
 
 
 def test_digest_per_request(spark):
