@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.feature import HashingTF, RegexTokenizer, UnivariateFeatureSelector
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,6 +23,8 @@ COMPANY_NAMES = {
 QUERY_SUFFIX = " stock NSE news"
 # Scorer failure result.
 FAILED_SCORE = ("neutral", 0.0, 0.5)
+# The classes of a headline scorer.
+SCORER_LABELS = ["negative", "neutral", "positive"]
 # Default word lists of the lexicon scorer; both are parameters.
 POSITIVE_WORDS = ["beat", "beats", "best", "climb", "gain", "gains", "good", "growth", "high", "jump", "outperform",
                   "profit", "profits", "rally", "record", "rise", "rises", "soar", "strong", "surge", "upgrade", "win"]
@@ -56,16 +62,40 @@ def score_with_lexicon(headlines: DataFrame, text: str = "headline", positive: l
                     F.when(up | down, share).otherwise(FAILED_SCORE[2]).alias("confidence"))
 
 
-def score_with_model(headlines: DataFrame, predict_udf, text: str = "headline") -> DataFrame:
-    """SEN-01 (c): plug-in model scorer. ``predict_udf`` is a vectorised (pandas /
-    ``predict_batch_udf``) function returning struct<label, confidence>; scores map
-    positive/neutral/negative to +1/0/-1. Errors inside the model are the caller's
-    UDF's business; a null result becomes the failure result."""
-    r = predict_udf(F.col(text))
+def fit_scorer(labelled: DataFrame, text: str = "headline", label: str = "label", n_terms: int = 1 << 16, kept_terms: int = 300,
+               regularisation: float = 0.01, iterations: int = 50) -> PipelineModel:
+    """A text classifier for ``score_with_model``: words, hashed into ``n_terms`` present or absent terms, of which
+    the ``kept_terms`` that tell the classes apart best (chi-square) enter a logistic loss over the classes of
+    SCORER_LABELS. The fit is distributed and reads every labelled row; a null text has no words; rows with other
+    labels are left out."""
+    code = F.array_position(F.array(*map(F.lit, SCORER_LABELS)), F.col(label)) - 1
+    rows = labelled.select(F.coalesce(F.col(text), F.lit("")).alias("_text"), code.cast("double").alias("_y")).where("_y >= 0")
+    words = RegexTokenizer(inputCol="_text", outputCol="_words", pattern=r"[^\p{L}\p{N}]+")
+    terms = HashingTF(inputCol="_words", outputCol="_terms", numFeatures=n_terms, binary=True)
+    chosen = UnivariateFeatureSelector(featuresCol="_terms", labelCol="_y", outputCol="_kept", selectionMode="numTopFeatures") \
+        .setFeatureType("categorical").setLabelType("categorical").setSelectionThreshold(kept_terms)
+    model = LogisticRegression(featuresCol="_kept", labelCol="_y", family="multinomial", maxIter=iterations, regParam=regularisation)
+    return Pipeline(stages=[words, terms, chosen, model]).fit(rows)
+
+
+def score_with_model(headlines: DataFrame, model, text: str = "headline") -> DataFrame:
+    """SEN-01 (c): score by a model: one that ``fit_scorer`` returns, or a vectorised (pandas /
+    ``predict_batch_udf``) function that gives struct<label, confidence> for a text column. Scores map
+    positive/neutral/negative to +1/0/-1; the confidence is the class's probability; a null result of a function
+    becomes the failure result, and so does a null text."""
+    if isinstance(model, PipelineModel):
+        own = headlines.columns
+        x = model.transform(headlines.withColumn("_text", F.coalesce(F.col(text), F.lit(""))))
+        found = F.element_at(F.array(*map(F.lit, SCORER_LABELS)), F.col("prediction").cast("int") + 1)
+        known = F.col(text).isNotNull()
+        x = x.select(*own, F.when(known, F.struct(found.alias("label"), F.array_max(vector_to_array("probability")).alias("confidence"))).alias("_r"))
+        headlines, r, drop = x, F.col("_r"), ["_r"]
+    else:
+        r, drop = model(F.col(text)), []
     lab = F.coalesce(r["label"], F.lit(FAILED_SCORE[0]))
     score = F.when(lab == "positive", 1.0).when(lab == "negative", -1.0).otherwise(0.0)
     conf = F.coalesce(r["confidence"], F.lit(FAILED_SCORE[2]))
-    return headlines.select("*", lab.alias("label"), score.alias("score"), conf.alias("confidence"))
+    return headlines.select("*", lab.alias("label"), score.alias("score"), conf.alias("confidence")).drop(*drop)
 
 
 def aggregate_scores(scored: DataFrame, keys: list[str]) -> DataFrame:

@@ -111,6 +111,19 @@ def top_feature_lists(importance: DataFrame, by: str = SYMBOL) -> DataFrame:
     return g.select(by, F.col("_t.feature").alias("feat_names"), F.col("_t.importance").alias("feat_values"))
 
 
+def prediction_features(explained: DataFrame, cols: list[str], n: int = 5) -> DataFrame:
+    """TOP-04 of single predictions: of ``boosting.explain``'s rows the ``n`` features with the largest absolute
+    contribution, and what the others add together (``other``)."""
+    named = F.transform(F.col("contributions"), lambda v, i: F.struct(
+        F.abs(v).alias("size"), (-i).alias("at"), F.element_at(F.array(*map(F.lit, cols)), i + 1).alias("feature"), v.alias("contribution")))
+    # the largest first; ties to the first listed
+    top = F.slice(F.reverse(F.array_sort(named)), 1, n)
+    x = explained.withColumn("_top", top).withColumn("_sum", F.aggregate("contributions", F.lit(0.0), lambda a, v: a + v))
+    other = F.col("_sum") - F.aggregate("_top", F.lit(0.0), lambda a, v: a + v["contribution"])
+    return x.select(*[c for c in explained.columns if c != "contributions"], other.alias("other"), F.posexplode("_top").alias("_i", "_t")) \
+        .select(*[c for c in explained.columns if c != "contributions"], "other", (F.col("_i") + 1).alias("rank"), "_t.feature", "_t.contribution")
+
+
 def prediction_records(preds: DataFrame, sentiment: DataFrame, top: DataFrame,
                        model_used: str = "forecast_distribution") -> DataFrame:
     """JOIN-06 / SRV-01: prediction + live sentiment + top features + explanation.

@@ -16,6 +16,7 @@ from ..operators.learners import (RUN_LOG, append_run, assemble, boosted_fit, bo
                                   leaderboard, model_importances, permutation_importance, probs_array, random_search,
                                   refit_best, tree_learner, with_prediction)
 from ..operators.metrics import classification_metrics
+from ..operators.sentiment import SCORER_LABELS, fit_scorer, score_with_model
 from ..operators.splits import chrono_split, inner_split, sequences, spread, time_series_folds, zscore, zscore_stats
 from ..operators.stack import balanced_runs, oof_f1, stack_fit_predict, stack_runs
 from ..session import cut_lineage, shared_table
@@ -215,6 +216,43 @@ def ml_11(spark, sf):
     return spark.read.parquet(path).select(*RUN_LOG)
 
 
+@register("top_04_prediction_features")
+def top_04_prediction(spark, sf):
+    """The five features that say most in the boosted learner's prediction for each symbol's latest row. What all
+    features add, with the bias, is the margin of the predicted class."""
+    edges, model = _boosted(spark, sf)
+    latest = boosting.binned(sv.latest_rows(_split(spark, sf)[1].select("symbol", "date", *MODEL_COLS)), MODEL_COLS, edges, ["symbol", "date"])
+    return sv.prediction_features(boosting.explain(latest, model, MODEL_COLS, ["symbol", "date"]), MODEL_COLS)
+
+
+# ---- trained headline scorer (SEN-01) ------------------------------------------------------------
+
+def _held_out():
+    return F.crc32(F.col("position").cast("string").cast("binary")) % 5 == 0
+
+
+def _trained_scores(spark, sf) -> DataFrame:
+    """Every headline, scored by a classifier that learned the labelled headlines of four fifths of the ids."""
+    headlines = fx.headlines(spark, sf).withColumn("held_out", _held_out())
+    known = fx.labelled_headlines(spark, sf)
+    return score_with_model(headlines, fit_scorer(known.where(~_held_out())))
+
+
+@register("sen_01_trained_scorer")
+def sen_01_trained(spark, sf):
+    return _trained_scores(spark, sf).select("symbol", "date", "position", "held_out", "label", "score", F.round("confidence", 6).alias("confidence"))
+
+
+@register("sen_01_trained_report")
+def sen_01_report(spark, sf):
+    """Accuracy and F1 of the trained scorer on the labelled headlines, held out or not."""
+    truth = fx.labelled_headlines(spark, sf).select("position", F.col("label").alias("truth"))
+    code = lambda c: (F.array_position(F.array(*map(F.lit, SCORER_LABELS)), F.col(c)) - 1).cast("int")
+    j = _trained_scores(spark, sf).join(truth, "position").select("held_out", code("truth").alias("y_true"), code("label").alias("y_pred"))
+    counts = j.groupBy("held_out").agg(F.count("*").alias("n"))
+    return classification_metrics(j, ["held_out"]).join(counts, "held_out").select("held_out", "n", "accuracy", "macro_f1", "weighted_f1")
+
+
 # ---- balancing (BAL-01) ------------------------------------------------------------------------
 
 def _scaled_train(spark, sf) -> DataFrame:

@@ -91,6 +91,13 @@ def scored_headlines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_from_labels(hl, scored)
 
 
+def labelled_headlines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The headlines that the label table knows, with its label (text and label only meet by id)."""
+    lab = read_table(spark, sf_dir, "labels", ["doc_id", "quality", "toxic"])
+    label = F.when(F.col("toxic") == 1, "negative").when(F.col("quality") == 1, "positive").otherwise("neutral")
+    return headlines(spark, sf_dir).join(lab.select(F.col("doc_id").alias("position"), label.alias("label")), "position")
+
+
 def predictions_persistence(bars: DataFrame) -> DataFrame:
     """Long prediction table (symbol, date, model, y_true, y_pred).
 
