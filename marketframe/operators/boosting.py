@@ -25,7 +25,7 @@ from pyspark.sql.types import StructType
 
 from ..config import DEFAULT
 
-N_CLASSES, N_BINS, MAX_ROWS, EDGE_ERROR, BLOCK_VALUES = 5, 32, 50_000, 0.002, 500_000
+N_CLASSES, N_BINS, MAX_ROWS, EDGE_ACCURACY, BLOCK_VALUES = 5, 32, 50_000, 10_000, 500_000
 
 
 @dataclass(frozen=True)
@@ -277,9 +277,8 @@ def train(bins: np.ndarray, labels: np.ndarray, watching: np.ndarray, p: Params,
 
 def bin_edges(df: DataFrame, cols: list[str], n_bins: int = N_BINS) -> np.ndarray:
     """(feature, n_bins - 1) quantiles of every column over all rows: one aggregation."""
-    accuracy = int(1 / EDGE_ERROR)
     at = F.array(*[F.lit(i / n_bins) for i in range(1, n_bins)])
-    row = df.agg(*[F.percentile_approx(F.col(c).cast("double"), at, accuracy).alias(f"q{i}") for i, c in enumerate(cols)]).first()
+    row = df.agg(*[F.percentile_approx(F.col(c).cast("double"), at, EDGE_ACCURACY).alias(f"q{i}") for i, c in enumerate(cols)]).first()
     return np.array([row[i] if row[i] is not None else [0.0] * (n_bins - 1) for i in range(len(cols))])
 
 
