@@ -44,7 +44,7 @@ def words(t):
 @pytest.mark.parametrize("key", sorted(queries.ORACLES))
 def test_oracle(spark, key):
     con = duckdb.connect()
-    for t in ("documents", "embeddings", "conversations"):
+    for t in ("documents", "embeddings", "conversations", "benchmark"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     ok, why = frames_equal(queries.QUERIES[key](spark, SF).toPandas(), con.sql(queries.ORACLES[key]).df())
     assert ok, why
