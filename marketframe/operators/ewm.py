@@ -156,53 +156,60 @@ class Ewm:
         return self.valid or f"({self.x}) IS NOT NULL"
 
 
-def ewm_columns(df: DataFrame, series: list[Ewm], by: str = SYMBOL, order: str = DATE,
-                idx: str = IDX) -> DataFrame:
-    """Compute several EWM series in one batch of window steps.
+@dataclass(frozen=True)
+class Batch:
+    """What a batch of EWM series needs: one count per test for "observed" (test -> column), the seeds'
+    SQL, the weighted sums, and the SQL of the series out of them."""
+    seen: dict[str, str]
+    seeds: list[str]
+    sums: list[Sum]
+    outs: list[str]
+    helpers: set[str]
 
-    * rma: weights r^(t-j) over observed values; null until n values are observed;
-      a null input row carries the previous mean.
-    * ema: EMA_t = alpha x_t + r EMA_(t-1) from the n-th observed value, seeded with
-      the mean of the first n observed values; equal to alpha * N(y) with y =
-      seed/alpha at the seed row and 0 before. The input may start with nulls but
-      must have none after its first value (true for close and for MACD).
-    """
+
+def ewm_batch(series: list[Ewm], by: str = SYMBOL, order: str = DATE) -> Batch:
     w = f"PARTITION BY {by} ORDER BY {order}"
-    run = f"{w} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW"
     seen_of: dict[str, str] = {}
     den_of: dict[tuple[str, float], str] = {}
-    pre = []
+    seeds: list[str] = []
     sums: list[Sum] = []
+    outs: list[str] = []
     for e in series:
-        if e.observed not in seen_of:
-            seen_of[e.observed] = f"_seen{len(seen_of)}"
-            pre.append(f"sum(CASE WHEN {e.observed} THEN 1 ELSE 0 END) OVER ({run}) AS {seen_of[e.observed]}")
-    for e in series:
-        seen = seen_of[e.observed]
+        seen = seen_of.setdefault(e.observed, f"_seen{len(seen_of)}")
         if e.kind == "rma":
             sums.append(Sum(f"_num_{e.name}", f"CASE WHEN {e.observed} THEN {e.x} END", e.alpha))
             key = (e.observed, e.alpha)
             if key not in den_of:
                 den_of[key] = f"_den{len(den_of)}"
                 sums.append(Sum(den_of[key], f"CASE WHEN {e.observed} THEN 1D END", e.alpha))
+            outs.append(f"CASE WHEN {seen} >= {e.n} THEN try_divide(_num_{e.name}, {den_of[key]}) END AS {e.name}")
         else:
-            pre.append(f"avg({e.x}) OVER ({w} ROWS BETWEEN {e.n - 1} PRECEDING AND CURRENT ROW) "
-                       f"AS _seed_{e.name}")
+            seeds.append(f"avg({e.x}) OVER ({w} ROWS BETWEEN {e.n - 1} PRECEDING AND CURRENT ROW) "
+                         f"AS _seed_{e.name}")
             y = (f"CASE WHEN NOT ({e.observed}) THEN NULL WHEN {seen} = {e.n} "
                  f"THEN _seed_{e.name} / {e.alpha!r}D WHEN {seen} > {e.n} THEN {e.x} ELSE 0D END")
             sums.append(Sum(f"_num_{e.name}", y, e.alpha))
-    df = df.selectExpr("*", *pre)
-    df = ewm_sums(df, sums, by, order, idx)
-    outs = []
-    for e in series:
-        seen = seen_of[e.observed]
-        if e.kind == "rma":
-            den = den_of[(e.observed, e.alpha)]
-            outs.append(f"CASE WHEN {seen} >= {e.n} THEN try_divide(_num_{e.name}, {den}) END AS {e.name}")
-        else:
             outs.append(f"CASE WHEN {seen} >= {e.n} THEN {e.alpha!r}D * _num_{e.name} END AS {e.name}")
     helpers = {s.name for s in sums} | set(seen_of.values()) | {f"_seed_{e.name}" for e in series}
-    return df.selectExpr(*_keep(df, helpers), *outs)
+    return Batch(seen_of, seeds, sums, outs, helpers)
+
+
+def ewm_columns(df: DataFrame, series: list[Ewm], by: str = SYMBOL, order: str = DATE,
+                idx: str = IDX) -> DataFrame:
+    """Compute several EWM series in one batch of window steps.
+
+    * rma: weights r^(t-j) over observed values; null until n values are observed;
+      a null input row carries the previous mean.
+    * ema: EMA_t = alpha x_t + r EMA_(t-1) from the n-th observed value, seeded with
+      the mean of the first n observed values; equal to alpha * N(y) with y =
+      seed/alpha at the seed row and 0 before. The input may start with nulls but
+      must have none after its first value (true for close and for MACD).
+    """
+    run = f"PARTITION BY {by} ORDER BY {order} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW"
+    batch = ewm_batch(series, by, order)
+    counts = [f"sum(CASE WHEN {test} THEN 1 ELSE 0 END) OVER ({run}) AS {name}" for test, name in batch.seen.items()]
+    df = ewm_sums(df.selectExpr("*", *counts, *batch.seeds), batch.sums, by, order, idx)
+    return df.selectExpr(*_keep(df, batch.helpers), *batch.outs)
 
 
 def rma(df: DataFrame, out: str, x: str, n: int, **kw) -> DataFrame:

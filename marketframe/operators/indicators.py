@@ -44,6 +44,9 @@ FEATURE_COLUMNS = (
 )
 INT_FEATURES = {"doji", "hammer", "bullish_engulf", "day_of_week", "month", "quarter", "is_month_end"}
 
+#: Volume with the sign of the price change (needs the base columns).
+SIGNED_VOLUME = f"CASE WHEN {IDX} = 0 THEN 1D ELSE signum(_diff) END * volume"
+
 BAR_COLUMNS = ["symbol", "date", "open", "high", "low", "close", "volume"]
 
 
@@ -111,25 +114,36 @@ def second_base(df: DataFrame, by: str = SYMBOL, order: str = DATE) -> DataFrame
     return df.selectExpr("*", f"lag(_tp, 1) {W.over()} AS _tp1")
 
 
-def ewm_stage_columns(df: DataFrame, by: str = SYMBOL, order: str = DATE) -> DataFrame:
-    """All EWM-based series in two batches: EMAs/RSI/ATR/DM first, then the MACD
-    signal and ADX, which smooth first-batch outputs."""
-    kw = dict(by=by, order=order)
+def first_ewms() -> list[Ewm]:
+    """The EWM series over helper columns: EMAs, RSI, ATR, directional movement."""
     first = [Ewm(f"_ema{n}", "close", n, "ema") for n in EMA_LENGTHS + [12, 26]]
     # gain and loss are observed exactly where the price change is; +DM and -DM
     # exactly where the previous high/low exist: those pairs share counts and weights
     for n in (7, 14):
         first += [Ewm(f"_ag{n}", "_gain", n, "rma", "_diff IS NOT NULL"),
                   Ewm(f"_al{n}", "_loss", n, "rma", "_diff IS NOT NULL")]
-    first += [Ewm("_atr", "_tr", 14, "rma"), Ewm("_pdm14", "_pdm", 14, "rma", "_up IS NOT NULL"),
-              Ewm("_ndm14", "_ndm", 14, "rma", "_up IS NOT NULL")]
-    df = ewm_columns(df, first, **kw)
+    return first + [Ewm("_atr", "_tr", 14, "rma"), Ewm("_pdm14", "_pdm", 14, "rma", "_up IS NOT NULL"),
+                    Ewm("_ndm14", "_ndm", 14, "rma", "_up IS NOT NULL")]
+
+
+def second_ewms() -> list[Ewm]:
+    """The EWM series over outputs of the first batch."""
+    return [Ewm("_macds", "_macd", 9, "ema"), Ewm("_adx", "_dx", 14, "rma")]
+
+
+def macd_and_dx(df: DataFrame) -> DataFrame:
+    """Inputs of the second batch; the spent helpers go."""
     dmp, dmn = "(try_divide(100D, _atr) * _pdm14)", "(try_divide(100D, _atr) * _ndm14)"
     spent = {"_gain", "_loss", "_tr", "_pdm", "_ndm", "_up", "_dn", "_ema12", "_ema26", "_pdm14", "_ndm14"}
-    df = df.selectExpr(*[f"`{c}`" for c in df.columns if c not in spent], "_ema12 - _ema26 AS _macd",
-                       f"try_divide(100D * abs({dmp} - {dmn}), {dmp} + {dmn}) AS _dx")
-    second = [Ewm("_macds", "_macd", 9, "ema"), Ewm("_adx", "_dx", 14, "rma")]
-    return ewm_columns(df, second, **kw).drop("_dx")
+    return df.selectExpr(*[f"`{c}`" for c in df.columns if c not in spent], "_ema12 - _ema26 AS _macd",
+                         f"try_divide(100D * abs({dmp} - {dmn}), {dmp} + {dmn}) AS _dx")
+
+
+def ewm_stage_columns(df: DataFrame, by: str = SYMBOL, order: str = DATE) -> DataFrame:
+    """All EWM-based series in two batches: EMAs/RSI/ATR/DM first, then the MACD
+    signal and ADX, which smooth first-batch outputs."""
+    df = macd_and_dx(ewm_columns(df, first_ewms(), by=by, order=order))
+    return ewm_columns(df, second_ewms(), by=by, order=order).drop("_dx")
 
 
 def indicator_exprs(by: str = SYMBOL, order: str = DATE) -> dict[str, str]:
@@ -182,8 +196,7 @@ def indicator_exprs(by: str = SYMBOL, order: str = DATE) -> dict[str, str]:
     out["bb_pct_b"] = "_bb_placeholder"
     out["atr_14"] = "_atr"
     out["hist_vol_20"] = f"{_rolled('stddev_samp', '_pct', 20, W)} * {math.sqrt(252.0)!r}D"
-    sign = f"CASE WHEN {i} = 0 THEN 1D ELSE signum(_diff) END"
-    out["obv"] = f"sum({sign} * volume) {W.running()}"
+    out["obv"] = f"sum({SIGNED_VOLUME}) {W.running()}"
     out["vwap"] = f"try_divide(sum(close * volume) {W.running()}, sum(volume) {W.running()})"
     dtp = "(_tp - _tp1)"
     psum = f"sum(CASE WHEN {dtp} > 0 THEN _tp * volume ELSE 0D END) {W.last(14)}"
@@ -216,8 +229,12 @@ def compute_indicators(bars: DataFrame, by: str = SYMBOL, order: str = DATE) ->
     df = base_columns(by_series(bars, by), by, order)
     df = ewm_stage_columns(df, by, order)
     df = second_base(df, by, order)
-    exprs = indicator_exprs(by, order)
-    keep = [f"`{c}`" for c in bars.columns] + [IDX]
+    return feature_columns_of(df, bars.columns + [IDX], indicator_exprs(by, order), by, order)
+
+
+def feature_columns_of(df: DataFrame, kept: list[str], exprs: dict[str, str], by: str = SYMBOL, order: str = DATE) -> DataFrame:
+    """The columns ``kept`` and the 60 indicator columns, out of base, EWM and second-base columns."""
+    keep = [f"`{c}`" for c in kept]
     first = {k: v for k, v in exprs.items() if "_placeholder" not in v}
     staged = df.selectExpr(*keep, *[f"{e} AS {n}" for n, e in first.items()])
     W = _W(by, order)

@@ -10,6 +10,7 @@ from ..operators.features import (CORE_COLUMNS, PROCESSED_COLUMNS, candle_rows,
                                   gated_features)
 from ..operators.indicators import FEATURE_COLUMNS, INT_FEATURES, compute_indicators
 from ..operators.labels import forecast_class, forward_return, label_class, with_labels
+from ..operators.long_series import compute_indicators_chunked
 from ..sources import fixtures as fx
 from . import oracle as O
 from .catalog import register, rounded, sql_round
@@ -64,6 +65,13 @@ for _key, _cols in INDICATOR_GROUPS.items():
     register(_key, _ind_sql(_cols))(_ind_query(_cols))
 
 
+@register("ind_28_long_series", _ind_sql(FEATURE_COLUMNS))
+def ind_28(spark, sf):
+    """All indicators with each series spread over chunks of 512 rows."""
+    ind = compute_indicators_chunked(fx.bars_flag(spark, sf), chunk_rows=512)
+    return rounded(ind.select("symbol", "date", *FEATURE_COLUMNS))
+
+
 # ---- bars (SRC-08) -------------------------------------------------------------
 
 @register("src_08_bars_from_ticks", O.with_bars(O.BARS_FLAG, body=f"SELECT symbol, date, {sql_round(['open', 'high', 'low', 'close', 'volume'])} FROM bars"))
