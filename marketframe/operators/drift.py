@@ -1,10 +1,11 @@
 """Distribution drift between a reference split (first 80 %) and a current split
 (last 20 %) per (symbol, feature).
 
-One explode and one count per (symbol, feature, value); the counts, not the rows, are dealt by
-(symbol, feature), so the features of a symbol are spread over tasks. Every statistic (totals, PSI, KS,
-Wasserstein, chi-square, z-test, Jensen-Shannon) comes from windows over the sorted values of one
-(symbol, feature) and one aggregation on the same key. Only the p-values of chi-square and the z-test use
+One explode and one count per (symbol, feature, value). The counts are range-partitioned by (symbol,
+feature, value), so that the values of one feature may lie in many parts. Cumulative counts run inside
+a part and start at the part's offset, the sum of the parts before it; each part knows the next one's
+first value. No window and no join works on a key wider than one feature's part: what a whole (symbol,
+feature) has to know (totals, deciles, sums of shares) is aggregated, and dealt back to its parts. Only the p-values of chi-square and the z-test use
 a small vectorised pandas function (Spark has no gamma or erf), on one row per (symbol, feature).
 """
 
@@ -19,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from ..config import DEFAULT
+from ..session import cut_lineage
 from .splits import chrono_split
 
 # Drift settings.
@@ -50,26 +52,52 @@ def drift_long(processed: DataFrame, cols: list[str], test_size: float = DEFAULT
 
 
 def value_counts(long: DataFrame) -> DataFrame:
-    """(symbol, feature, value, n_ref, n_cur): one grouped aggregation, then dealt by (symbol, feature)."""
-    counts = long.where(F.col("value").isNotNull() & ~F.isnan("value")).groupBy("symbol", "feature", "value").agg(
+    """(symbol, feature, value, n_ref, n_cur): one grouped aggregation."""
+    return long.where(F.col("value").isNotNull() & ~F.isnan("value")).groupBy("symbol", "feature", "value").agg(
         F.count(F.when(F.col("split") == "reference", 1)).alias("n_ref"),
         F.count(F.when(F.col("split") == "current", 1)).alias("n_cur"))
-    return counts.repartition("symbol", "feature")
 
 
-def _ranked_value(rank: Column) -> Column:
-    """The reference value of 0-based ``rank``, out of the cumulative counts of one (symbol, feature)."""
-    return F.min(F.when(F.col("cum_ref") > rank, F.col("value"))).over(Window.partitionBy("symbol", "feature"))
+GROUP = ["symbol", "feature"]
+PART = GROUP + ["_part"]
+
+
+def in_parts(counts: DataFrame, n_parts: int | None = None) -> DataFrame:
+    """Deals the counts to parts of consecutive values (``n_parts``: by default the session's shuffle
+    partitions, merged by their size). Written once: the part's number must not change in a rerun."""
+    ranges = counts.repartitionByRange(*([n_parts] if n_parts else []), *GROUP, "value")
+    return cut_lineage(ranges.withColumn("_part", F.spark_partition_id()))
+
+
+def part_totals(dealt: DataFrame) -> DataFrame:
+    """One row per part of a (symbol, feature): what lies before it, the first value after it, and the
+    totals of the whole feature. A feature has at most as many rows here as there are partitions."""
+    parts = dealt.groupBy(*PART).agg(F.sum("n_ref").alias("_ref"), F.sum("n_cur").alias("_cur"), F.min("value").alias("_least"),
+                                     F.sum(F.col("value") * F.col("n_ref")).alias("_sum"))
+    group = Window.partitionBy(*GROUP)
+    before = group.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
 
+    def offset(n: str) -> Column:
+        return F.coalesce(F.sum(n).over(before), F.lit(0))
 
-def _decile_edge(q: float) -> Column:
-    """Reference quantile with linear interpolation between the two ranks around (n - 1) * q."""
-    pos = (F.col("ref_total") - 1) * F.lit(q)
-    low, high = _ranked_value(F.floor(pos)), _ranked_value(F.ceil(pos))
-    return low + (high - low) * (pos - F.floor(pos))
+    return parts.select(
+        *PART, offset("_ref").alias("_before_ref"), offset("_cur").alias("_before_cur"),
+        F.lead("_least").over(group.orderBy("_part")).alias("_next"), F.sum("_ref").over(group).alias("ref_total"),
+        F.sum("_cur").over(group).alias("cur_total"), F.sum("_sum").over(group).alias("ref_sum"))
+
+
+def _ranks(k: int, bins: int) -> tuple[Column, Column, Column]:
+    """The two ranks around (n - 1) * k / bins, and the way from the one to the other."""
+    pos = (F.col("ref_total") - 1) * F.lit(k / bins)
+    return F.floor(pos), F.ceil(pos), pos - F.floor(pos)
+
+
+def _ranked_value(rank: Column) -> Column:
+    """The reference value of 0-based ``rank``: an aggregate over the cumulative counts."""
+    return F.min(F.when(F.col("cum_ref") > rank, F.col("value")))
 
 
-def drift_statistics(counts: DataFrame, bins: int = PSI_BINS) -> DataFrame:
+def drift_statistics(counts: DataFrame, bins: int = PSI_BINS, n_parts: int | None = None) -> DataFrame:
     """Every statistic of every (symbol, feature), out of ``value_counts``:
 
     * totals: ref_total, cur_total, n_distinct;
@@ -80,24 +108,34 @@ def drift_statistics(counts: DataFrame, bins: int = PSI_BINS) -> DataFrame:
       the least value where there are two;
     * DRF-05 js_distance (natural log) of the shares, zero shares set to 1e-4 and renormalised.
     """
-    group = Window.partitionBy("symbol", "feature")
-    run = group.orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
+    part = Window.partitionBy(*PART).orderBy("value")
+    run = part.rowsBetween(Window.unboundedPreceding, 0)
     n_ref, n_cur = F.col("n_ref"), F.col("n_cur")
     ref_total, cur_total = F.col("ref_total"), F.col("cur_total")
-    x = counts.select(
-        "*", F.sum("n_ref").over(run).alias("cum_ref"), F.sum("n_cur").over(run).alias("cum_cur"),
-        (F.lead("value").over(group.orderBy("value")) - F.col("value")).alias("gap"),
-        F.sum("n_ref").over(group).alias("ref_total"), F.sum("n_cur").over(group).alias("cur_total"),
-        F.sum(F.col("value") * n_ref).over(group).alias("ref_sum"))
+    dealt = in_parts(counts, n_parts)
+    parts = part_totals(dealt)
+    x = dealt.join(parts, PART).select(
+        *PART, "value", "n_ref", "n_cur", "ref_total", "cur_total",
+        (F.col("_before_ref") + F.sum("n_ref").over(run)).alias("cum_ref"),
+        (F.col("_before_cur") + F.sum("n_cur").over(run)).alias("cum_cur"),
+        (F.coalesce(F.lead("value").over(part), F.col("_next")) - F.col("value")).alias("gap"),
+        F.try_divide("ref_sum", "ref_total").alias("ref_mean"))
     x = x.select(
-        "*", F.array(*[_decile_edge(k / bins) for k in range(1, bins)]).alias("edges"),
-        F.try_divide(F.col("ref_sum"), ref_total).alias("ref_mean"),
-        F.when(n_ref == 0, SMOOTHING).otherwise(F.try_divide(n_ref, ref_total)).alias("p"),
+        "*", F.when(n_ref == 0, SMOOTHING).otherwise(F.try_divide(n_ref, ref_total)).alias("p"),
         F.when(n_cur == 0, SMOOTHING).otherwise(F.try_divide(n_cur, cur_total)).alias("q"),
         F.abs(F.try_divide("cum_ref", "ref_total") - F.try_divide("cum_cur", "cur_total")).alias("cdf_gap"),
         F.try_divide(n_ref * cur_total, ref_total).alias("expected"))
-    pn = F.try_divide(F.col("p"), F.sum("p").over(group))
-    qn = F.try_divide(F.col("q"), F.sum("q").over(group))
+    # what the whole feature knows: values at the ranks around its deciles, sums of shares
+    ranks = [_ranks(k, bins) for k in range(1, bins)]
+    known = x.groupBy(*GROUP).agg(
+        F.sum("p").alias("_p"), F.sum("q").alias("_q"),
+        F.array(*[_ranked_value(low) for low, _, _ in ranks]).alias("_low"),
+        F.array(*[_ranked_value(high) for _, high, _ in ranks]).alias("_high"))
+    # ... goes to its parts first, so that no join meets all values of a feature
+    known = parts.select(*PART, "ref_total").join(known, GROUP).select(*PART, "_p", "_q", F.array(*[
+        F.col("_low")[k] + (F.col("_high")[k] - F.col("_low")[k]) * way for k, (_, _, way) in enumerate(ranks)]).alias("edges"))
+    x = x.join(known, PART)
+    pn, qn = F.try_divide(F.col("p"), F.col("_p")), F.try_divide(F.col("q"), F.col("_q"))
     below = F.aggregate("edges", F.lit(0), lambda acc, e: acc + F.when(F.col("value") > e, 1).otherwise(0))
     x = x.select("*", pn.alias("pn"), qn.alias("qn"), below.alias("bin"))
     mid = (F.col("pn") + F.col("qn")) / 2.0
