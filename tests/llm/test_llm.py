@@ -5,7 +5,6 @@ import json
 import random
 import re
 import sys
-import uuid
 from collections import Counter
 from pathlib import Path
 
@@ -252,28 +251,40 @@ def test_hamming_search(spark):
     assert hamming_search.search(table.limit(0), table.limit(0)).count() == 0
 
 
-def test_hamming_search_in_blocks(spark, monkeypatch, tmp_path):
-    """A task holds about one block of queries, however many there are."""
-    folder = str(tmp_path)
-
-    class Logged(hamming_search.MultiIndex):
-        def __init__(self, codes):
-            super().__init__(codes)
-            self.log = f"{folder}/{uuid.uuid4()}"
-
-        def search(self, query, enough):
-            with open(self.log, "a") as f:
-                f.write("x")
-            return super().search(query, enough)
-
+def test_hamming_search_probes(spark):
+    """Rounds meet every code at most once per query, verify few of all pairs, and leave none of the nearest out."""
     rng = np.random.default_rng(6)
-    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rng.normal(size=(300, 64)))], "vec_id long, embedding array<double>")
-    want = hamming_search.search(table, table, k=3).orderBy("query_id", "rank").collect()
-    monkeypatch.setattr(hamming_search, "QUERY_BLOCK", 20)
-    monkeypatch.setattr(hamming_search, "INDEX_BLOCK", 100)
-    monkeypatch.setattr(hamming_search, "MultiIndex", Logged)
-    assert hamming_search.search(table, table, k=3).orderBy("query_id", "rank").collect() == want
-    assert max(p.stat().st_size for p in tmp_path.iterdir()) <= 60
+    n = 20_000
+    x = rng.integers(0, 2**63, n, dtype=np.int64)
+    x[n // 2:] = x[:n // 2] ^ (np.int64(1) << rng.integers(0, 63, n // 2)) ^ (np.int64(1) << rng.integers(0, 63, n // 2))
+    x[100:1200] = x[100]  # a hot code
+    rows = spark.createDataFrame([(i, int(v)) for i, v in enumerate(x)], "vec_id long, c long")
+    table = rows.select("vec_id", F.transform(F.sequence(F.lit(0), F.lit(63)), lambda b: F.getbit("c", b).cast("double")).alias("embedding"))
+    report = []
+    got = hamming_search.search(table, table.where("vec_id % 500 = 0"), k=1, report=report).toPandas()
+    distance = np.bitwise_count(x[::500, None].view(np.uint64) ^ x[None].view(np.uint64))
+    for at, q in enumerate(range(0, n, 500)):
+        want = min((int(d), i) for i, d in enumerate(distance[at]) if i != q)
+        own = got[got.query_id == q]
+        assert list(zip(own.distance, own.id)) == [want]
+    codes = len(np.unique(x))
+    assert sum(v for _, _, v in report) < 0.1 * report[0][1] * codes
+    assert [asked for _, asked, _ in report] == sorted((asked for _, asked, _ in report), reverse=True)
+
+
+@pytest.mark.parametrize("bits, n", [(1, 1), (64, 2000), (70, 5), (768, 10**9)])
+def test_hamming_segments(bits, n):
+    """Segments cover every bit once and stay inside a word."""
+    parts = hamming_search.segments(bits, n)
+    covered = [64 * p.word + p.shift + b for p in parts for b in range(p.bits)]
+    assert covered == list(range(bits)) and all(p.shift + p.bits <= 64 and p.bits <= 16 for p in parts)
+
+
+def test_hamming_search_equal_ids_and_few_rows(spark):
+    rows = [(1, [1.0, 1.0]), (1, [-1.0, 1.0]), (2, [1.0, -1.0]), (3, [1.0, -1.0])]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = hamming_search.search(table, table, k=5).orderBy("query_id", "rank").collect()
+    assert [(r.query_id, r.id) for r in got] == [(1, 2), (1, 3), (2, 3), (2, 1), (3, 2), (3, 1)]
 
 
 def test_near_duplicates(spark, edge):
