@@ -10,7 +10,7 @@ from conftest import SF_SMALL
 # A representative slice of the registry (the full registry runs in scripts/check_oracle.py).
 KEYS = [
     "features_full", "src_08_bars_from_ticks", "lbl_01_label", "lbl_02_forecast_class",
-    "ind_12_macd", "ind_13_adx", "ind_14_aroon", "prj_04_inf_ffill_zero",
+    "ind_12_macd", "ind_13_adx", "ind_14_aroon", "ind_28_long_series", "prj_04_inf_ffill_zero",
     "dq_01_raw_range_rules", "dq_03_arrival_order", "dq_04_duplicate_dates",
     "set_01_upsert_last_wins", "set_03_dedupe_first", "set_04_lookback_union",
     "sen_02_daily_sentiment", "sen_03_live_sentiment", "agg_07_confusion_matrix",
