@@ -24,11 +24,14 @@ def dedupe_first(df: DataFrame, keys: list[str], order: str) -> DataFrame:
 def lookback_union(headlines: DataFrame, days: DataFrame, lookback: int = DEFAULT.news_lookback_days) -> DataFrame:
     """SET-04: for each (symbol, day) in ``days``, the headlines dated day-(lookback-1)..day.
 
-    Each headline is fanned out to the ``lookback`` days it serves (a fixed factor)
-    and equi-joined on (symbol, day): no range join, no cross product."""
-    fan = headlines.select("*", F.explode(F.sequence(F.col("date"), F.date_add("date", lookback - 1))).alias("as_of"))
-    d = days.select("symbol", F.col("date").alias("as_of")).distinct()
-    return fan.join(d, ["symbol", "as_of"])
+    The days are fanned out, not the headlines: a (symbol, date) gets the list of the at most ``lookback`` days
+    it serves, and a headline meets it in one equi-join on (symbol, date) and is repeated after it. So a
+    text moves at most once."""
+    dates = F.explode(F.sequence(F.date_sub("as_of", lookback - 1), F.col("as_of"))).alias("date")
+    served = days.select("symbol", F.col("date").alias("as_of")).distinct().select("symbol", "as_of", dates) \
+        .groupBy("symbol", "date").agg(F.collect_list("as_of").alias("as_of"))
+    others = [c for c in headlines.columns if c != "symbol"]
+    return headlines.join(served, ["symbol", "date"]).select("symbol", F.explode("as_of").alias("as_of"), *others)
 
 
 def cap_per_group(df: DataFrame, keys: list[str], order: str, n: int = DEFAULT.max_headlines_per_stock) -> DataFrame:
