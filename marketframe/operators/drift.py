@@ -7,6 +7,10 @@ a part and start at the part's offset, the sum of the parts before it; each part
 first value. No window and no join works on a key wider than one feature's part: what a whole (symbol,
 feature) has to know (totals, deciles, sums of shares) is aggregated, and dealt back to its parts. Only the p-values of chi-square and the z-test use
 a small vectorised pandas function (Spark has no gamma or erf), on one row per (symbol, feature).
+
+Many short series would pay for all that with a row per value in every shuffle. ``statistics_by_series`` takes
+the same statistics from a series of at most ``SERIES_ROWS`` rows as one group of wide rows, where the features
+lie; ``drift_report`` sends each series its way by its length.
 """
 
 from __future__ import annotations
@@ -15,9 +19,10 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
+from pyspark.sql.types import DoubleType, StructType
 
 from ..config import DEFAULT
 from ..session import cut_lineage
@@ -34,6 +39,7 @@ DATASET_SHARE = 0.5
 WASSERSTEIN_MIN_NORM = 0.001
 SMOOTHING = 0.0001
 KS_TERMS = 12
+SERIES_ROWS = 20_000            # rows of a series that one group may hold; longer ones go by range
 
 
 def drift_columns(processed: DataFrame, n_first: int = 30, extra: tuple[str, ...] = ("label",)) -> list[str]:
@@ -153,6 +159,12 @@ def drift_statistics(counts: DataFrame, bins: int = PSI_BINS, n_parts: int | Non
         F.sum(F.try_divide((n_cur - F.col("expected")) ** 2, F.col("expected"))).alias("chi2"),
         F.min_by("n_ref", "value").alias("x1"), F.min_by("n_cur", "value").alias("x2"),
         F.sum(0.5 * F.col("pn") * F.log(F.col("pn") / mid) + 0.5 * F.col("qn") * F.log(F.col("qn") / mid)).alias("jsd"))
+    return _scores(g)
+
+
+def _scores(g: DataFrame) -> DataFrame:
+    """The statistics out of a (symbol, feature)'s totals, bins and sums."""
+    ref_total, cur_total = F.col("ref_total"), F.col("cur_total")
     both = F.try_divide(ref_total * cur_total, ref_total + cur_total)
     pool = F.try_divide(F.col("x1") + F.col("x2"), ref_total + cur_total)
     z = F.try_divide(F.try_divide("x1", "ref_total") - F.try_divide("x2", "cur_total"),
@@ -175,6 +187,76 @@ def _psi(ref_bins: str, cur_bins: str) -> Column:
     return F.aggregate(terms, F.lit(0.0), lambda acc, t: acc + t)
 
 
+_SERIES_SCHEMA = ("feature string, ref_total long, cur_total long, n_distinct long, ref_bins array<long>, cur_bins array<long>, "
+                  "ref_std double, ks_stat double, w1 double, chi2 double, x1 long, x2 long, jsd double")
+
+
+def _feature_sums(x: np.ndarray, is_ref: np.ndarray, bins: int) -> dict:
+    """What ``_scores`` reads, of one feature (x: its values without nulls and NaN). A null where the share of
+    an empty split would be needed."""
+    value, at = np.unique(x, return_inverse=True)
+    n_ref, n_cur = (np.bincount(at[side], minlength=len(value)) for side in (is_ref, ~is_ref))
+    cum_ref, cum_cur = np.cumsum(n_ref), np.cumsum(n_cur)
+    ref_total, cur_total = int(cum_ref[-1]), int(cum_cur[-1])
+    p = np.where(n_ref == 0, SMOOTHING, n_ref / max(ref_total, 1))
+    q = np.where(n_cur == 0, SMOOTHING, n_cur / max(cur_total, 1))
+    pn, qn = p / p.sum(), q / q.sum()
+    mid = (pn + qn) / 2.0
+    found = {"ref_total": ref_total, "cur_total": cur_total, "n_distinct": len(value), "x1": int(n_ref[0]), "x2": int(n_cur[0]),
+             "jsd": float((0.5 * pn * np.log(pn / mid) + 0.5 * qn * np.log(qn / mid)).sum()),
+             "ref_std": None, "ks_stat": None, "w1": None, "chi2": None}
+    place = np.zeros(len(value), np.int64)
+    if ref_total:
+        pos = (ref_total - 1) * (np.arange(1, bins) / bins)
+        low, high = (value[np.searchsorted(cum_ref, rank, side="right")] for rank in (np.floor(pos), np.ceil(pos)))
+        place = (value[:, None] > low + (high - low) * (pos - np.floor(pos))).sum(axis=1)
+        mean = (value * n_ref).sum() / ref_total
+        found["ref_std"] = math.sqrt((n_ref * (value - mean) ** 2).sum() / ref_total)
+    if ref_total and cur_total:
+        cdf_gap = np.abs(cum_ref / ref_total - cum_cur / cur_total)
+        expected = (n_ref * cur_total / ref_total)[n_ref > 0]
+        found |= {"ks_stat": float(cdf_gap.max()), "w1": float((cdf_gap[:-1] * np.diff(value)).sum()),
+                  "chi2": float(((n_cur[n_ref > 0] - expected) ** 2 / expected).sum())}
+    counted = lambda n: np.bincount(place, n, bins).astype(np.int64).tolist()
+    return found | {"ref_bins": counted(n_ref), "cur_bins": counted(n_cur)}
+
+
+def statistics_by_series(processed: DataFrame, cols: list[str], test_size: float = DEFAULT.test_size,
+                         bins: int = PSI_BINS) -> DataFrame:
+    """``drift_statistics`` of series that fit into a group each: one pass over wide rows, partitioned by
+    symbol as the feature table is."""
+    x = chrono_split(processed.where(F.col("symbol").isNotNull()).select("symbol", "date", *cols), test_size)
+    rows = x.select("symbol", (F.col("split") == "train").alias("is_ref"), F.array(*[F.col(c).cast("double") for c in cols]).alias("x"))
+    schema = StructType([rows.schema["symbol"], *StructType.fromDDL(_SERIES_SCHEMA).fields])
+    kinds = {"feature": pa.string(), "ref_bins": pa.list_(pa.int64()), "cur_bins": pa.list_(pa.int64())}
+    real = {"ref_std", "ks_stat", "w1", "chi2", "jsd"}
+
+    def one(table: pa.Table) -> pa.Table:
+        is_ref = table.column("is_ref").to_numpy()
+        values = table.column("x").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(is_ref), len(cols))
+        found = []
+        for c, x in zip(cols, values.T):
+            seen = ~np.isnan(x)
+            if seen.any():
+                found.append({"symbol": table.column("symbol")[0].as_py(), "feature": c, **_feature_sums(x[seen], is_ref[seen], bins)})
+        arrow = pa.schema([(c, table.schema.field(c).type if c == "symbol" else kinds.get(c, pa.float64() if c in real else pa.int64()))
+                           for c in schema.names])
+        return pa.Table.from_pylist(found, schema=arrow)
+
+    return _scores(rows.groupBy("symbol").applyInArrow(one, schema))
+
+
+def statistics_of(processed: DataFrame, cols: list[str], lengths: DataFrame | None = None, most: int = SERIES_ROWS) -> DataFrame:
+    """The statistics of every series, by its length. ``lengths`` (symbol, count) may be a cheaper bound of the
+    rows of each symbol than counting ``processed``."""
+    lengths = processed.groupBy("symbol").count() if lengths is None else lengths
+    long = cut_lineage(lengths.where(F.col("count") > most).select("symbol"))
+    if long.isEmpty():
+        return statistics_by_series(processed, cols)
+    by_range = drift_statistics(value_counts(drift_long(processed.join(long, "symbol", "left_semi"), cols)))
+    return by_range.unionByName(statistics_by_series(processed.join(long, "symbol", "left_anti"), cols))
+
+
 def ks_p_value(lam: Column) -> Column:
     """Asymptotic Kolmogorov survival Q(lambda): 2 sum (-1)^(j-1) exp(-2 j^2 lambda^2) from lambda 1 on,
     below it 1 - sqrt(2 pi) / lambda * sum exp(-(2j-1)^2 pi^2 / (8 lambda^2)). Either series has lost
@@ -232,11 +314,11 @@ def z_p_value(z: pd.Series) -> pd.Series:
     return pd.Series([float("nan") if v is None or np.isnan(v) else math.erfc(abs(v) / math.sqrt(2.0)) for v in z])
 
 
-def drift_report(processed: DataFrame, cols: list[str] | None = None) -> DataFrame:
+def drift_report(processed: DataFrame, cols: list[str] | None = None, lengths: DataFrame | None = None) -> DataFrame:
     """DRF-06: per (symbol, feature) the method chosen by reference size and distinct
     count, its score, and the drift flag with the method's own direction
     (p-value tests drift when p < 0.05; distances when >= 0.1); PSI stands beside it."""
-    g = drift_statistics(value_counts(drift_long(processed, cols or drift_columns(processed))))
+    g = statistics_of(processed, cols or drift_columns(processed), lengths)
     small = F.col("ref_total") <= SMALL_REFERENCE
     categorical = F.col("n_distinct") <= CATEGORICAL_MAX_DISTINCT
     method = (F.when(small & categorical & (F.col("n_distinct") == 2), "z")
