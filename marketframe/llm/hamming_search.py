@@ -1,8 +1,8 @@
 """Exact top-k search over binary codes by incremental multi-index hashing, as joins.
 
 A vector's code has one bit per dimension (set where the value is above 0). Each 64-bit word of a code is
-cut into even segments, so long that a segment's value is shared by about PER_VALUE codes (then values probed
-and codes met weigh alike), and one table holds, for each code and segment, the segment's value. For a query, radius r = 0, 1, 2, ... joins all values within r bits of the query's segments
+cut into even segments, so long that a segment's value is shared by about PER_VALUE codes (a value probed is a
+row that is made, moved and sorted, which costs about as much as comparing that many codes met), and one table holds, for each code and segment, the segment's value. For a query, radius r = 0, 1, 2, ... joins all values within r bits of the query's segments
 with the table, and verifies the codes met on all bits. By the pigeonhole principle, once radius r is done
 in the first a of m segments (and r - 1 in the others) every code within m * r + a - 1 bits has been met. So
 a query is proven as soon as its kth verified distance is covered; it probes no segment past that, and
@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from .common import ceil_div, cut
 
-K, LONGEST, PER_VALUE = 10, 16, 4
+K, LONGEST, PER_VALUE = 10, 16, 10
 
 
 @dataclass(frozen=True)

@@ -2,6 +2,7 @@
 
 import hashlib
 import json
+import math
 import random
 import re
 import sys
@@ -280,6 +281,20 @@ def test_hamming_segments(bits, n):
     assert covered == list(range(bits)) and all(p.shift + p.bits <= 64 and p.bits <= 16 for p in parts)
 
 
+@pytest.mark.parametrize("n", [10_256, 51_282, 256_410, 2_500_000])
+def test_hamming_segments_weigh_values_probed(n):
+    """Random codes: no other number of segments costs much less, where a value probed weighs as ten codes met."""
+    kth = next(d for d in range(65) if n * sum(math.comb(64, i) for i in range(d + 1)) >= (hamming_search.K + 1) * 2**64)
+
+    def cost(sizes):
+        probed = [(math.comb(b, r), b) for r in range(65) for b in sizes[:max(0, kth - len(sizes) * r + 1)]]
+        return sum(values * (10 + n / 2**b) for values, b in probed)
+
+    chosen = [p.bits for p in hamming_search.segments(64, n)]
+    others = [[64 // m + (i < 64 % m) for i in range(m)] for m in range(4, 17)]
+    assert cost(chosen) <= 1.2 * min(cost(sizes) for sizes in others)
+
+
 def test_hamming_search_equal_ids_and_few_rows(spark):
     rows = [(1, [1.0, 1.0]), (1, [-1.0, 1.0]), (2, [1.0, -1.0]), (3, [1.0, -1.0])]
     table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
