@@ -130,7 +130,7 @@ FROM bars GROUP BY symbol"""))
 def src_02(spark, sf):
     path = io.scratch_path(spark, "bars-parquet")
     io.write_bars(fx.bars_supplier(spark, sf), path, fmt="parquet")
-    got = spark.read.parquet(path).groupBy("symbol").agg(
+    got = io.read_per_symbol(spark, path).groupBy("symbol").agg(
         F.count("*").alias("n_rows"), *[F.sum(c).alias(c) for c in _OHLCV])
     return rounded(got.withColumn("symbol", F.col("symbol").cast("string")), 4)
 
