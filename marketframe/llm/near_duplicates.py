@@ -32,12 +32,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import WORD_GAP, apart, ceil_div, cut, row_key, text_or_empty
+from .common import WORD_GAP, apart, bound_batches, ceil_div, cut, row_key, text_or_empty
 from .components import components
 
 SHINGLE, THRESHOLD, RECALL, ROWS = 5, 0.8, 0.99999, 4
 CHUNK_WORDS, CACHE_WORDS, HUB_CLASSES = 100_000, 50_000, 512
-BLOCK, BLOCK_BYTES, TILE, COLUMNS, PAIRS = 4096, 6_000_000, 1024, 1024, 1_000_000
+BLOCK, BLOCK_BYTES, TILE, COLUMNS, PAIRS = 4096, 6_000_000, 512, 1024, 250_000
 _GAPS = str.maketrans({c: " " for c in WORD_GAP})
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -291,6 +291,7 @@ def near_duplicates(docs: DataFrame, ident: str = "doc_id", text: str = "text",
     """One row per document: id, __mf_r1, __mf_r2 (its row key), class_id (least id with an equal shingle
     set), n_links (other classes at the threshold), group_id (least id of its connected group), and
     root, a number that names the group."""
+    bound_batches(docs.sparkSession)
     signed = cut(signatures(docs, ident, text, choose_bands(threshold, recall)))
     classes = cut(signed.groupBy("s1", "s2").agg(F.min("id").alias("class_id"), F.first("bands").alias("bands"),
                                                  F.min(F.struct("__mf_r1", "__mf_r2")).alias("r")))

@@ -37,12 +37,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import apart, cut, row_key, text_or_empty
+from .common import apart, bound_batches, cut, row_key, text_or_empty
 
 LENGTH, SEED, STEP = 200, 50, 25
 HOT, PART = 2000, 16
-CHUNK = 1 << 19
+CHUNK = 1 << 17
 BATCH = 60_000
+ROWS = 5_000
 SHARD = 16_384
 _LOW = np.uint64((1 << 20) - 1)
 _BASE, _ALL = 0x9E3779B97F4A7C15, (1 << 64) - 1
@@ -227,7 +228,7 @@ def _pieces(joined: DataFrame) -> DataFrame:
                 for w in wanted[d].as_py():
                     place, more = w["at"] >> 17, w["at"] & 511
                     out.append((w["fp"], w["ph"], w["weight"], text[place:place + more + LENGTH]))
-                if len(out) > 20_000:
+                if len(out) > ROWS:
                     yield batch(out)
                     out = []
             yield batch(out)
@@ -262,7 +263,7 @@ def _parts(joined: DataFrame) -> DataFrame:
                         core = text[anchor - a:anchor - a - PART + 1 + LENGTH]
                         g = xxhash.xxh64_intdigest(core, fp & _ALL ^ a)
                         out.append((g - (g >> 63 << 64), fp, w["ph"], low - place, w["weight"], text[low:high + LENGTH]))
-                if len(out) > 20_000:
+                if len(out) > ROWS:
                     yield batch(out)
                     out = []
             yield batch(out)
@@ -345,6 +346,7 @@ def remove_repeats(docs: DataFrame, ident: str = "doc_id", text: str = "text", w
     """``docs`` without ``text``, with n_bytes, n_removed, n_spans and kept (binary: the bytes that no
     repeated window covers). With ``whole_characters`` a character goes only if all its bytes go, so
     that kept is UTF-8 again."""
+    bound_batches(docs.sparkSession)
     added = ("n_bytes", "n_removed", "n_spans", "kept")
     own = [c for c in docs.columns if c != text and c not in added]
     keys = row_key(ident, text_or_empty(text))

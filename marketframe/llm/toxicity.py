@@ -27,13 +27,12 @@ from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from .common import cut, text_or_empty
+from .common import bound_batches, cut, text_or_empty
 
 HASH_BITS, MAX_TERMS, MIN_CHI2, MAX_SAMPLE = 20, 8192, 12.0, 20_000
 FACTORS, EPOCHS, RATE, DECAY, SEED = 8, 30, 0.1, 1e-4, 3
@@ -136,6 +135,7 @@ def fit(docs: DataFrame, labels: DataFrame, ident: str = "doc_id", text: str = "
         max_sample: int = MAX_SAMPLE) -> Machine:
     """Fits on at most ``max_sample`` labelled documents. Only hashed buckets of the sample, its
     MAX_TERMS best buckets and the rows restricted to these reach the driver."""
+    bound_batches(docs.sparkSession)
     known = (labels.where(F.col(label).isNotNull() & F.col(ident).isNotNull()).groupBy(F.col(ident).alias("__mf_id"))
              .agg(F.max(F.col(label).cast("int")).alias("__mf_y")))
     texts = docs.select(F.col(ident).alias("__mf_id"), text_or_empty(text).alias("__mf_text")).withColumn("__mf_h", F.xxhash64("__mf_text"))
@@ -145,13 +145,14 @@ def fit(docs: DataFrame, labels: DataFrame, ident: str = "doc_id", text: str = "
     # at most max_sample rows: a bounded broadcast, the texts stay where they are
     sample = texts.join(F.broadcast(pick), ["__mf_id", "__mf_h"])
 
-    def hashed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         terms = Buckets()
         for x in batches:
-            yield pd.DataFrame({"id": x["__mf_id"], "h": x["__mf_h"], "y": x["__mf_y"], "b": [terms.of(t) for t in x["__mf_text"]]})
+            b = pa.array([terms.of(t.as_py()) for t in x.column(3)], pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([*x.columns[:3], b], names=["id", "h", "y", "b"])
 
     kind = pick.schema["__mf_id"].dataType.simpleString()
-    rows = cut(sample.mapInPandas(hashed, f"id {kind}, h long, y int, b array<int>").dropDuplicates(["id", "h"]))
+    rows = cut(sample.select("__mf_id", "__mf_h", "__mf_y", "__mf_text").mapInArrow(hashed, f"id {kind}, h long, y int, b array<int>").dropDuplicates(["id", "h"]))
     sums = {r[0]: r[1] for r in rows.groupBy("y").count().collect()}
     neg, pos = sums.get(0, 0), sum(v for k, v in sums.items() if k != 0)
     if not neg or not pos:
@@ -175,6 +176,7 @@ def fit(docs: DataFrame, labels: DataFrame, ident: str = "doc_id", text: str = "
 
 def score(docs: DataFrame, model: Machine, text: str = "text") -> DataFrame:
     """``docs`` with score (0 to 1) and predicted (1 where the score is 0.5 or more)."""
+    bound_batches(docs.sparkSession)
     own = [c for c in docs.columns if c not in ("score", "predicted")]
     rest, at = docs.select(*own), own.index(text) if text in own else -1
     if at < 0 or not isinstance(rest.schema[text].dataType, StringType):  # else the text crosses to Python once
