@@ -96,6 +96,36 @@ def test_grouped_fits_and_scores(spark, table):
     assert all(60 <= r["count"] <= 140 for r in bounded)
 
 
+def test_every_row_learns(spark):
+    """A tree of one node tells how many rows it has seen; 60,000 are more than a fit took before."""
+    rows = spark.range(60_000).selectExpr("0 AS fit", "'S' AS symbol", "id AS date", "int(id % 3) AS label", "id % 10 = 0 AS watching", "double(id % 7) AS f0")
+    params = {0: boosting.Params(rounds=1, depth=0, alpha=0.0, row_fraction=1.0)}
+    model = learners.boosted_fit(rows, ["f0"], params)[1][0]
+    counts = np.array([18_000, 18_000, 18_000, 0, 0])
+    g, h = 54_000 * 0.2 - counts, 54_000 * 2 * 0.2 * 0.8
+    assert model.value[model.roots[0]] == pytest.approx(-0.05 * g / (h + 1.0), rel=1e-9)
+
+
+def test_spread_fit_equals_a_group(spark, table, monkeypatch):
+    """Fits over blocks of rows, by Spark, against fits of one group: loss, rounds and margins; margins are written on the way."""
+    rows = table.select(F.explode(F.array(F.lit(1), F.lit(2))).alias("fit"), "symbol", "date", "label", (F.col("date") >= 400).alias("watching"), *COLS)
+    every = {"row_fraction": 1.0, "feature_fraction": 1.0, "min_weight": 8.0}
+    params = {1: boosting.Params(rounds=5, depth=2, **every), 2: boosting.Params(rounds=40, depth=2, step=2.0, patience=2, leaves=3, min_rows=4, **every)}
+    edges, whole = learners.boosted_fit(rows, COLS, params)
+    for name, value in (("GROUP_ROWS", 100), ("BLOCK_ROWS", 64), ("WRITE_EVERY", 2)):
+        monkeypatch.setattr(boosting, name, value)
+    spread = learners.boosted_fit(rows, COLS, params)[1]
+    bins = boosting.as_matrix(boosting.binned(table, COLS, edges, ["date"]).toArrow().column("bins"), len(COLS))
+    assert whole[2].rounds_run < 40
+    for k, model in whole.items():
+        assert (spread[k].rounds_run, len(spread[k].roots)) == (model.rounds_run, len(model.roots))
+        assert spread[k].best_loss == pytest.approx(model.best_loss)
+        assert np.allclose(spread[k].margins(bins), model.margins(bins))
+    drawn = {1: boosting.Params(rounds=3, depth=2, row_fraction=0.5)}
+    one, two = (learners.boosted_fit(x.where("fit = 1"), COLS, drawn)[1][1] for x in (rows, rows.repartition(5)))
+    assert np.allclose(one.margins(bins), two.margins(bins)) and len(one.roots) == 3
+
+
 def test_explained_predictions_add_up(spark, table):
     rows = table.select(F.lit(0).alias("fit"), "symbol", "date", "label", F.lit(False).alias("watching"), *COLS)
     edges, models = learners.boosted_fit(rows, COLS, {0: boosting.Params(rounds=10)})
