@@ -57,7 +57,7 @@ def test_no_window_function_over_short_series(bars, monkeypatch):
 def test_runs_and_batches_change_nothing(bars, monkeypatch):
     x = bars.where("date IS NOT NULL").orderBy("symbol", "date").selectExpr(
         "symbol", "date", *series_arrays.PRICES, "1D AS day_of_week", "double(month(date)) AS month", "1D AS quarter", "0D AS is_month_end").toArrow()
-    run = series_arrays.processed_batches("symbol", ["symbol", "date"], ["_i", *features.FEATURE_COLUMNS, "label"], DEFAULT.labels)
+    run = series_arrays.processed_batches("symbol", ["symbol", "date"], ["symbol", "date", "_i", *features.PROCESSED_COLUMNS], DEFAULT.labels)
     whole = pa.Table.from_batches(run(iter(x.combine_chunks().to_batches())))
     monkeypatch.setattr(series_arrays, "CELLS", 100)
     parts = pa.Table.from_batches(run(iter(x.combine_chunks().to_batches(max_chunksize=37))))
