@@ -16,6 +16,7 @@ lie; ``drift_report`` sends each series its way by its length.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -25,7 +26,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructType
 
 from ..config import DEFAULT
-from ..session import cut_lineage
+from ..session import arrow_map, cut_lineage
+from .series_arrays import SERIES_ROWS, whole_series   # series of more rows go by range
 from .splits import chrono_split
 
 # Drift settings.
@@ -39,7 +41,6 @@ DATASET_SHARE = 0.5
 WASSERSTEIN_MIN_NORM = 0.001
 SMOOTHING = 0.0001
 KS_TERMS = 12
-SERIES_ROWS = 20_000            # rows of a series that one group may hold; longer ones go by range
 
 
 def drift_columns(processed: DataFrame, n_first: int = 30, extra: tuple[str, ...] = ("label",)) -> list[str]:
@@ -189,70 +190,114 @@ def _psi(ref_bins: str, cur_bins: str) -> Column:
 
 _SERIES_SCHEMA = ("feature string, ref_total long, cur_total long, n_distinct long, ref_bins array<long>, cur_bins array<long>, "
                   "ref_std double, ks_stat double, w1 double, chi2 double, x1 long, x2 long, jsd double")
-
-
-def _feature_sums(x: np.ndarray, is_ref: np.ndarray, bins: int) -> dict:
-    """What ``_scores`` reads, of one feature (x: its values without nulls and NaN). A null where the share of
-    an empty split would be needed."""
-    value, at = np.unique(x, return_inverse=True)
-    n_ref, n_cur = (np.bincount(at[side], minlength=len(value)) for side in (is_ref, ~is_ref))
-    cum_ref, cum_cur = np.cumsum(n_ref), np.cumsum(n_cur)
-    ref_total, cur_total = int(cum_ref[-1]), int(cum_cur[-1])
-    p = np.where(n_ref == 0, SMOOTHING, n_ref / max(ref_total, 1))
-    q = np.where(n_cur == 0, SMOOTHING, n_cur / max(cur_total, 1))
-    pn, qn = p / p.sum(), q / q.sum()
+_REAL = {"ref_std", "ks_stat", "w1", "chi2", "jsd"}
+
+
+def _series_sums(x: np.ndarray, is_ref: np.ndarray, bins: int) -> tuple[np.ndarray, dict[str, np.ndarray]]:
+    """What ``_scores`` reads, for all features of a series at once; x: (feature, row), nulls and NaN are left out.
+    Returns the features that have values and, by name, one entry for each. NaN where the share of an empty split would
+    be needed."""
+    order = np.argsort(x, axis=1)
+    v, ref = np.take_along_axis(x, order, axis=1), is_ref[order]
+    seen = ~np.isnan(v)
+    ends = seen.copy()
+    ends[:, :-1] &= v[:, 1:] != v[:, :-1]
+    f, at = np.nonzero(ends)                      # the distinct values, by feature and value
+    value, cum_ref, cum_cur = v[f, at], np.cumsum(ref & seen, axis=1)[f, at], np.cumsum(~ref & seen, axis=1)[f, at]
+    new = np.concatenate([[True], f[1:] != f[:-1]])[:len(f)]
+    starts = np.flatnonzero(new)
+    if not len(starts):
+        return starts, {}
+    group, last = np.cumsum(new) - 1, np.concatenate([starts[1:], [len(f)]]) - 1
+    n_ref, n_cur = (c - np.where(new, 0, np.concatenate([[0], c[:-1]])) for c in (cum_ref, cum_cur))
+    ref_total, cur_total = cum_ref[last], cum_cur[last]
+    total = lambda y: np.add.reduceat(y, starts)
+    p = np.where(n_ref == 0, SMOOTHING, n_ref / np.maximum(ref_total, 1)[group])
+    q = np.where(n_cur == 0, SMOOTHING, n_cur / np.maximum(cur_total, 1)[group])
+    pn, qn = p / total(p)[group], q / total(q)[group]
     mid = (pn + qn) / 2.0
-    found = {"ref_total": ref_total, "cur_total": cur_total, "n_distinct": len(value), "x1": int(n_ref[0]), "x2": int(n_cur[0]),
-             "jsd": float((0.5 * pn * np.log(pn / mid) + 0.5 * qn * np.log(qn / mid)).sum()),
-             "ref_std": None, "ks_stat": None, "w1": None, "chi2": None}
-    place = np.zeros(len(value), np.int64)
-    if ref_total:
-        pos = (ref_total - 1) * (np.arange(1, bins) / bins)
-        low, high = (value[np.searchsorted(cum_ref, rank, side="right")] for rank in (np.floor(pos), np.ceil(pos)))
-        place = (value[:, None] > low + (high - low) * (pos - np.floor(pos))).sum(axis=1)
-        mean = (value * n_ref).sum() / ref_total
-        found["ref_std"] = math.sqrt((n_ref * (value - mean) ** 2).sum() / ref_total)
-    if ref_total and cur_total:
-        cdf_gap = np.abs(cum_ref / ref_total - cum_cur / cur_total)
-        expected = (n_ref * cur_total / ref_total)[n_ref > 0]
-        found |= {"ks_stat": float(cdf_gap.max()), "w1": float((cdf_gap[:-1] * np.diff(value)).sum()),
-                  "chi2": float(((n_cur[n_ref > 0] - expected) ** 2 / expected).sum())}
-    counted = lambda n: np.bincount(place, n, bins).astype(np.int64).tolist()
-    return found | {"ref_bins": counted(n_ref), "cur_bins": counted(n_cur)}
+    some_ref, both = np.where(ref_total > 0, ref_total, np.nan), (ref_total > 0) & (cur_total > 0)
+    mean = total(value * n_ref) / some_ref
+    cdf_gap = np.abs(cum_ref / np.maximum(ref_total, 1)[group] - cum_cur / np.maximum(cur_total, 1)[group])
+    gap = np.zeros_like(value)
+    gap[:-1] = value[1:] - value[:-1]
+    gap[last] = 0.0
+    expected = n_ref * np.where(both, cur_total / some_ref, 1.0)[group]
+    known = np.where(both, 1.0, np.nan)
+    # the reference values around each decile, and how many values lie between the deciles
+    sorted_ref = np.sort(x[:, is_ref], axis=1)[f[starts]]
+    pos = (ref_total - 1)[:, None] * (np.arange(1, bins) / bins)
+    edges = np.full(pos.shape, np.inf)
+    if sorted_ref.shape[1]:
+        low, high = (np.take_along_axis(sorted_ref, np.maximum(r, 0).astype(int), axis=1) for r in (np.floor(pos), np.ceil(pos)))
+        edges = np.where((ref_total > 0)[:, None], low + (high - low) * (pos - np.floor(pos)), np.inf)
+
+    def counted(side: np.ndarray, n: np.ndarray) -> np.ndarray:
+        upto = np.stack([np.count_nonzero(side <= e[:, None], axis=1) for e in edges.T], axis=1)
+        return np.diff(upto, axis=1, prepend=0, append=n[:, None]).ravel()
+
+    return f[starts], {
+        "ref_total": ref_total, "cur_total": cur_total, "n_distinct": last - starts + 1,
+        "ref_bins": counted(sorted_ref, ref_total), "cur_bins": counted(x[:, ~is_ref][f[starts]], cur_total),
+        "ref_std": np.sqrt(total(n_ref * (value - mean[group]) ** 2) / some_ref), "ks_stat": np.maximum.reduceat(cdf_gap, starts) * known,
+        "w1": total(cdf_gap * gap) * known, "chi2": total(np.where(n_ref > 0, (n_cur - expected) ** 2 / np.where(n_ref > 0, expected, 1.0), 0.0)) * known,
+        "x1": n_ref[starts], "x2": n_cur[starts], "jsd": total(0.5 * pn * np.log(pn / mid) + 0.5 * qn * np.log(qn / mid))}
+
+
+def _series_table(symbol: pa.Array, x: np.ndarray, is_ref: np.ndarray, cols: list[str], bins: int) -> pa.Table:
+    """``_series_sums`` as rows of (symbol, _SERIES_SCHEMA); symbol: an array whose first entry is the series' own."""
+    with np.errstate(all="ignore"):
+        features, sums = _series_sums(x, is_ref, bins)
+    n = len(features)
+    out = {"symbol": symbol.take(pa.array(np.zeros(n, np.int64))), "feature": pa.array([cols[f] for f in features], pa.string())}
+    for name in (c.split()[0] for c in _SERIES_SCHEMA.split(", ")[1:]):
+        a = sums.get(name, np.zeros(0))
+        if name.endswith("_bins"):
+            out[name] = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * bins), pa.array(a.astype(np.int64)))
+        elif name in _REAL:
+            out[name] = pa.array(a.astype(float), pa.float64(), from_pandas=True)  # NaN: null
+        else:
+            out[name] = pa.array(a.astype(np.int64))
+    return pa.table(out)
 
 
 def statistics_by_series(processed: DataFrame, cols: list[str], test_size: float = DEFAULT.test_size,
-                         bins: int = PSI_BINS) -> DataFrame:
+                         bins: int = PSI_BINS, in_order: bool = False) -> DataFrame:
     """``drift_statistics`` of series that fit into a group each: one pass over wide rows, partitioned by
-    symbol as the feature table is."""
-    x = chrono_split(processed.where(F.col("symbol").isNotNull()).select("symbol", "date", *cols), test_size)
+    symbol as the feature table is. ``in_order``: the rows of a series lie together and in the order of their dates, as
+    ``engineer_features`` leaves them, so that they need not be moved again."""
+    schema = StructType([processed.schema["symbol"], *StructType.fromDDL(_SERIES_SCHEMA).fields])
+    if in_order:
+        def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for table, bounds in whole_series(batches, "symbol"):
+                symbol = table.column("symbol").combine_chunks()
+                x = np.stack([table.column(c).to_numpy().astype(float) for c in cols])
+                done = [_series_table(symbol.slice(a, 1), x[:, a:b], np.arange(b - a) < math.floor((b - a) * (1.0 - test_size)), cols, bins)
+                        for a, b in zip(bounds, bounds[1:]) if symbol[a].is_valid]
+                if done:
+                    yield from pa.concat_tables(done).combine_chunks().to_batches()
+
+        return _scores(arrow_map(processed, each, schema))
+    known = processed.where(F.col("symbol").isNotNull())
+    x = chrono_split(known.select("symbol", "date", *cols), test_size)
     rows = x.select("symbol", (F.col("split") == "train").alias("is_ref"), F.array(*[F.col(c).cast("double") for c in cols]).alias("x"))
-    schema = StructType([rows.schema["symbol"], *StructType.fromDDL(_SERIES_SCHEMA).fields])
-    kinds = {"feature": pa.string(), "ref_bins": pa.list_(pa.int64()), "cur_bins": pa.list_(pa.int64())}
-    real = {"ref_std", "ks_stat", "w1", "chi2", "jsd"}
 
     def one(table: pa.Table) -> pa.Table:
         is_ref = table.column("is_ref").to_numpy()
         values = table.column("x").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(is_ref), len(cols))
-        found = []
-        for c, x in zip(cols, values.T):
-            seen = ~np.isnan(x)
-            if seen.any():
-                found.append({"symbol": table.column("symbol")[0].as_py(), "feature": c, **_feature_sums(x[seen], is_ref[seen], bins)})
-        arrow = pa.schema([(c, table.schema.field(c).type if c == "symbol" else kinds.get(c, pa.float64() if c in real else pa.int64()))
-                           for c in schema.names])
-        return pa.Table.from_pylist(found, schema=arrow)
+        return _series_table(table.column("symbol").combine_chunks(), np.ascontiguousarray(values.T), is_ref, cols, bins)
 
     return _scores(rows.groupBy("symbol").applyInArrow(one, schema))
 
 
-def statistics_of(processed: DataFrame, cols: list[str], lengths: DataFrame | None = None, most: int = SERIES_ROWS) -> DataFrame:
+def statistics_of(processed: DataFrame, cols: list[str], lengths: DataFrame | None = None, most: int = SERIES_ROWS,
+                  in_order: bool = False) -> DataFrame:
     """The statistics of every series, by its length. ``lengths`` (symbol, count) may be a cheaper bound of the
-    rows of each symbol than counting ``processed``."""
+    rows of each symbol than counting ``processed``. ``in_order`` holds only where no series is longer than ``most``."""
     lengths = processed.groupBy("symbol").count() if lengths is None else lengths
     long = cut_lineage(lengths.where(F.col("count") > most).select("symbol"))
     if long.isEmpty():
-        return statistics_by_series(processed, cols)
+        return statistics_by_series(processed, cols, in_order=in_order)
     by_range = drift_statistics(value_counts(drift_long(processed.join(long, "symbol", "left_semi"), cols)))
     return by_range.unionByName(statistics_by_series(processed.join(long, "symbol", "left_anti"), cols))
 
@@ -314,11 +359,13 @@ def z_p_value(z: pd.Series) -> pd.Series:
     return pd.Series([float("nan") if v is None or np.isnan(v) else math.erfc(abs(v) / math.sqrt(2.0)) for v in z])
 
 
-def drift_report(processed: DataFrame, cols: list[str] | None = None, lengths: DataFrame | None = None) -> DataFrame:
+def drift_report(processed: DataFrame, cols: list[str] | None = None, lengths: DataFrame | None = None,
+                 in_order: bool = False) -> DataFrame:
     """DRF-06: per (symbol, feature) the method chosen by reference size and distinct
     count, its score, and the drift flag with the method's own direction
-    (p-value tests drift when p < 0.05; distances when >= 0.1); PSI stands beside it."""
-    g = statistics_of(processed, cols or drift_columns(processed), lengths)
+    (p-value tests drift when p < 0.05; distances when >= 0.1); PSI stands beside it. ``in_order``: the rows of a series
+    lie together, in order, as ``engineer_features`` leaves series of at most SERIES_ROWS bars (``lengths``)."""
+    g = statistics_of(processed, cols or drift_columns(processed), lengths, in_order=in_order)
     small = F.col("ref_total") <= SMALL_REFERENCE
     categorical = F.col("n_distinct") <= CATEGORICAL_MAX_DISTINCT
     method = (F.when(small & categorical & (F.col("n_distinct") == 2), "z")

@@ -52,3 +52,16 @@ def test_texts_meet_the_days_before_they_are_repeated(spark):
         got.explain()
     plan = said.getvalue()
     assert plan.index("Generate") < plan.index("Join")
+
+
+def test_drift_of_rows_in_order_moves_nothing(spark):
+    """Series whose rows lie together give the same statistics as grouped ones, without a shuffle or a window."""
+    rng = np.random.default_rng(7)
+    rows = [(s, DAY + dt.timedelta(days=i), float(rng.normal()), float(rng.integers(0, 3)), None if i % 4 == 0 else 1.0, float("nan") if i < n * 0.9 else 2.0)
+            for s, n in (("A", 400), ("B", 3), ("C", 1), (None, 5)) for i in range(n)]
+    cols = list("abcd")
+    df = spark.createDataFrame(rows, "symbol string, date date, " + ", ".join(f"{c} double" for c in cols)).coalesce(1)
+    got = drift.statistics_by_series(df, cols, in_order=True)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Window" not in plan
+    pd.testing.assert_frame_equal(_ordered(got), _ordered(drift.statistics_by_series(df, cols)))
