@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from marketframe.config import DEFAULT
 from marketframe.operators import features, series_arrays
+from marketframe.operators.bars import most_bars
 from marketframe.plans import catalog
 
 DAY = dt.date(2020, 1, 1)
@@ -54,6 +55,12 @@ def test_no_window_function_over_short_series(bars, monkeypatch):
     assert "Window" in plan(features.engineer_features(bars))
 
 
+def test_bars_are_bounded_without_building_them(spark):
+    ticks = spark.createDataFrame([("A", DAY + dt.timedelta(days=d)) for d in (0, 0, 0, 2, 2, 4)] + [("B", DAY)] * 5 + [("B", None), ("C", None), (None, DAY)],
+                                  "symbol string, date date")
+    assert {r.symbol: r["count"] for r in most_bars(ticks, F.col("symbol"), F.col("date")).collect()} == {"A": 5, "B": 2, "C": 1, None: 1}
+
+
 def test_runs_and_batches_change_nothing(bars, monkeypatch):
     x = bars.where("date IS NOT NULL").orderBy("symbol", "date").selectExpr(
         "symbol", "date", *series_arrays.PRICES, "1D AS day_of_week", "double(month(date)) AS month", "1D AS quarter", "0D AS is_month_end").toArrow()
