@@ -78,3 +78,12 @@ def test_wide_tables_round_as_spark_does(spark):
     wide = catalog.rounded(df.select("name", *[F.col("v").alias(f"c{k}") for k in range(catalog.WIDE)]))
     assert "MapInArrow" in wide._jdf.queryExecution().executedPlan().toString()
     assert list(map(str, (r.c0 for r in wide.collect()))) == list(map(str, (r.v for r in catalog.rounded(df).collect())))
+
+
+def test_equal_values_stay_equal(spark):
+    """Drift counts distinct values: stoch_k, whose values recur, is the windows' to the last bit."""
+    rng = np.random.default_rng(11)
+    rows = [("A", DAY + dt.timedelta(days=i), *(100 + rng.integers(0, 9, 4) / 7).tolist(), 1.0) for i in range(400)]
+    bars = spark.createDataFrame(rows, BARS).selectExpr("symbol", "date", "open", "greatest(high, low) AS high", "least(high, low) AS low", "close", "volume")
+    got, want = (_sorted(f(bars))["stoch_k"] for f in (features.engineer_features, features.features_by_windows))
+    assert (got == want).all() and want.nunique() < len(want)
